@@ -59,8 +59,8 @@ _CTES = {
                count(*) AS n_payments, max(payment_installments) AS max_installments
         FROM b_order_payments GROUP BY order_id""",
     "s_points": """
-        SELECT geolocation_zip_code_prefix AS zip_prefix, avg(geolocation_lat) AS lat,
-               avg(geolocation_lng) AS lng, max(geolocation_state) AS geo_state
+        SELECT geolocation_zip_code_prefix AS zip_prefix, {mean geolocation_lat} AS lat,
+               {mean geolocation_lng} AS lng, max(geolocation_state) AS geo_state
         FROM b_geolocation GROUP BY 1""",
     "gold": """
         SELECT review_id, order_id, review_score, review_comment_title, review_comment_message,
@@ -136,9 +136,19 @@ def _array(values: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
+def _mean(column: str) -> str:
+    """Mean over exact decimals: summing doubles gives other last bits for every row order."""
+    return f"CAST(sum(CAST({column} AS DECIMAL(25,15))) AS DOUBLE) / count({column})"
+
+
 def _ctes() -> dict[str, str]:
     entries = ", ".join(f"('{token}', {valence})" for token, valence in LEXICON)
-    fixed = {"{lexicon}": entries, "{themes}": _array(THEMES)}
+    fixed = {
+        "{lexicon}": entries,
+        "{themes}": _array(THEMES),
+        "{mean geolocation_lat}": _mean("geolocation_lat"),
+        "{mean geolocation_lng}": _mean("geolocation_lng"),
+    }
     texts = {}
     for name, text in _CTES.items():
         for mark, value in fixed.items():
@@ -358,8 +368,8 @@ def oracle_sql() -> dict[str, str]:
                    (SELECT {_FREQUENCY_JSON.format(labels='run_a')}) AS freq""",
         "city_lateness": f"""
             SELECT customer_city, count(*) AS n, round(avg(is_late::INT), 6) AS late_rate,
-                   round(avg(review_score), 6) AS avg_score, round(avg(lat), 6) AS lat,
-                   round(avg(lng), 6) AS lng, min(customer_state) AS state,
+                   round(avg(review_score), 6) AS avg_score, round({_mean('lat')}, 6) AS lat,
+                   round({_mean('lng')}, 6) AS lng, min(customer_state) AS state,
                    CAST(round_even(avg(is_late::INT) * 100, 1) AS VARCHAR) || '%' AS late_pct,
                    CAST(round_even(avg(review_score), 2) AS VARCHAR) AS avg_score_str
             FROM features WHERE customer_city IS NOT NULL GROUP BY customer_city

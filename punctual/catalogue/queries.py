@@ -54,7 +54,7 @@ def _stored(spark: SparkSession, name: str) -> str:
 
 
 def _rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Averages of doubles depend on summation order in their last bits; round for comparison."""
+    """Means are compared to six digits: the engines cast doubles to decimals differently."""
     return frame.withColumns({c: F.round(c, digits) for c in columns})
 
 

@@ -14,12 +14,11 @@ GAP_WINDOW = (-30, 60)
 def gap_days(estimated: Column, delivered: Column) -> Column:
     """Estimated minus delivered in fractional days; positive is early.
 
-    Both sides are read as zone-less timestamps, so a clock change adds or drops no hour.
+    Both sides are read as zone-less timestamps and subtracted as such, so a clock change of the
+    session's zone adds or drops no hour.
     """
-    micros = F.timestamp_diff(
-        "MICROSECOND", delivered.cast("timestamp_ntz"), estimated.cast("timestamp_ntz")
-    )
-    return micros / F.lit(1e6) / F.lit(86400.0)
+    gap = estimated.cast("timestamp_ntz") - delivered.cast("timestamp_ntz")
+    return gap.cast("interval second").cast("decimal(18,6)").cast("double") / F.lit(86400.0)
 
 
 def is_late(gap: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Order-independent money sums and report rounding."""
+"""Order-independent sums and means, and report rounding."""
 
 from __future__ import annotations
 
@@ -11,6 +11,11 @@ def money_sum(amount: Column) -> Column:
     return F.sum(amount.cast("decimal(18,2)")).cast("double")
 
 
+def exact_mean(value: Column) -> Column:
+    """Mean of the present values, summed in decimals: the same bits for any partitioning."""
+    return F.sum(value.cast("decimal(25,15)")).cast("double") / F.count(value)
+
+
 def mean_flag(flag: Column) -> Column:
     """Share of true values."""
     return F.avg(flag.cast("int"))

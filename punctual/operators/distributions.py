@@ -46,11 +46,12 @@ def gap_histogram_daily(features: DataFrame, window: tuple[int, int] = GAP_WINDO
     low, high = window
     bins = high - low
     gap = clip(F.col("delivery_gap_days"), low, high)
-    binned = features.select(
+    # ``least`` skips missing values, so missing gaps go first.
+    binned = features.filter(F.col("delivery_gap_days").isNotNull()).select(
         F.least(F.floor(gap - low) + 1, F.lit(bins)).alias("bin"),
         "delivery_outcome",
         F.lit(1).cast("bigint").alias("n"),
-    ).filter(F.col("bin").isNotNull())
+    )
     return _with_empty_bins(binned, bins).select(
         "bin",
         (F.col("bin") - 1 + low).cast("double").alias("bin_start"),
@@ -60,8 +61,21 @@ def gap_histogram_daily(features: DataFrame, window: tuple[int, int] = GAP_WINDO
     )
 
 
-def _edge(index: Column, low: Column, high: Column, bins: int) -> Column:
-    return F.when(index >= bins, high).otherwise(low + index * ((high - low) / bins))
+def _edge(index: Column, bins: int) -> Column:
+    """Lower edge of the 0-based bin ``index``; the edge after the last bin is the upper bound."""
+    step = (F.col("high") - F.col("low")) / bins
+    return F.when(index >= bins, F.col("high")).otherwise(F.col("low") + index * step)
+
+
+def _with_range(frame: DataFrame, bounds: Column) -> DataFrame:
+    """Add ``low``, ``high`` and ``total``; a single distinct value gets a unit-wide range."""
+    half = F.when(F.col("_b.low") == F.col("_b.high"), F.lit(0.5)).otherwise(F.lit(0.0))
+    return frame.withColumn("_b", bounds).select(
+        *frame.columns,
+        (F.col("_b.low") - half).alias("low"),
+        (F.col("_b.high") + half).alias("high"),
+        F.col("_b.total").alias("total"),
+    )
 
 
 def gap_histogram_equal_width(
@@ -85,26 +99,26 @@ def gap_histogram_equal_width(
             F.min("gap").alias("low"), F.max("gap").alias("high"), F.sum("n").alias("total")
         ).alias("bounds")
     ).scalar()
-    # One distinct value: a unit-wide range around it.
-    flat = bounds["low"] == bounds["high"]
-    low = F.when(flat, bounds["low"] - 0.5).otherwise(bounds["low"])
-    high = F.when(flat, bounds["high"] + 0.5).otherwise(bounds["high"])
-
-    value = F.col("gap")
-    guess = F.least(F.floor((value - low) / (high - low) * bins), F.lit(bins - 1))
-    # The guess may be one off at an edge; the edges themselves decide.
-    index = (
-        F.when(value < _edge(guess, low, high, bins), guess - 1)
-        .when((value >= _edge(guess + 1, low, high, bins)) & (guess < bins - 1), guess + 1)
-        .otherwise(guess)
+
+    value, guess = F.col("gap"), F.col("guess")
+    scaled = (value - F.col("low")) / (F.col("high") - F.col("low")) * bins
+    binned = (
+        _with_range(counts, bounds)
+        .withColumn("guess", F.least(F.floor(scaled), F.lit(bins - 1)))
+        # The guess may be one off at an edge; the edges themselves decide.
+        .withColumn(
+            "bin",
+            F.when(value < _edge(guess, bins), guess)
+            .when((value >= _edge(guess + 1, bins)) & (guess < bins - 1), guess + 2)
+            .otherwise(guess + 1),
+        )
     )
-    binned = counts.select((index + 1).alias("bin"), "delivery_outcome", "n")
-    position = F.col("bin")
-    return _with_empty_bins(binned, bins).select(
+    filled = _with_range(_with_empty_bins(binned, bins), bounds)
+    return filled.select(
         "bin",
-        _edge(position - 1, low, high, bins).alias("bin_start"),
-        _edge(position, low, high, bins).alias("bin_end"),
+        _edge(F.col("bin") - 1, bins).alias("bin_start"),
+        _edge(F.col("bin"), bins).alias("bin_end"),
         "delivery_outcome",
         "n",
-        (F.col("n") / bounds["total"]).alias("share"),
+        (F.col("n") / F.col("total")).alias("share"),
     )

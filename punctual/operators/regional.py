@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from punctual.functions.numeric import mean_flag, percent_text
+from punctual.functions.numeric import exact_mean, mean_flag, percent_text
 
 MIN_ORDERS = 30
 
@@ -23,8 +23,8 @@ def city_lateness(features: DataFrame, min_orders: int = MIN_ORDERS) -> DataFram
             F.count(F.lit(1)).alias("n"),
             mean_flag(F.col("is_late")).alias("late_rate"),
             F.avg("review_score").alias("avg_score"),
-            F.avg("customer_lat").alias("lat"),
-            F.avg("customer_lng").alias("lng"),
+            exact_mean(F.col("customer_lat")).alias("lat"),
+            exact_mean(F.col("customer_lng")).alias("lng"),
             F.min("customer_state").alias("state"),
         )
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctual.functions.numeric import money_sum
+from punctual.functions.numeric import exact_mean, money_sum
 
 
 def orders_clean(orders: DataFrame) -> DataFrame:
@@ -20,30 +20,38 @@ def orders_clean(orders: DataFrame) -> DataFrame:
     )
 
 
-def reviews_dedup(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:
-    """The richest row per review among its delivered orders.
+def deduplicated(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:
+    """The richest row per review among its delivered orders, with its ``has_text`` flag.
 
-    Text first, then the newest answer, then the smallest order id; the remaining columns settle
-    what is still tied, so the pick does not depend on partitioning. The ``rn = 1`` filter makes
-    Spark keep one row per review and map partition before the shuffle, so a review id that holds
-    a large part of the rows costs its reducer one row per map task.
+    Text first, then the newest answer, then the smallest order id; a hash of the remaining
+    columns settles what is still tied, so the pick does not depend on partitioning. Flag and hash
+    are taken at the scan: title and message are only shuffled for a reader that selects them.
+    The ``rn = 1`` filter makes Spark keep one row per review and map task before the shuffle, so
+    a review id that holds a large part of the rows costs its reducer one row per map task.
     """
-    delivered = order_reviews.join(clean.select("order_id"), "order_id", "left_semi")
     ranked = {"review_id", "order_id", "review_answer_timestamp"}
-    ordering = [
-        F.col("review_comment_message").isNotNull().desc(),
+    rest = [c for c in order_reviews.columns if c not in ranked]
+    delivered = order_reviews.withColumns(
+        {"has_text": F.col("review_comment_message").isNotNull(), "_tie": F.xxhash64(*rest)}
+    ).join(clean.select("order_id"), "order_id", "left_semi")
+    best_first = Window.partitionBy("review_id").orderBy(
+        F.col("has_text").desc(),
         F.col("review_answer_timestamp").desc_nulls_last(),
         F.col("order_id").asc_nulls_last(),
-        *[F.col(c).asc_nulls_last() for c in order_reviews.columns if c not in ranked],
-    ]
-    best_first = Window.partitionBy("review_id").orderBy(*ordering)
+        "_tie",
+    )
     return (
         delivered.withColumn("rn", F.row_number().over(best_first))
         .filter("rn = 1")
-        .select(*order_reviews.columns)
+        .select(*order_reviews.columns, "has_text")
     )
 
 
+def reviews_dedup(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:
+    """``deduplicated`` with the columns of the source table."""
+    return deduplicated(order_reviews, clean).drop("has_text")
+
+
 def order_items_agg(order_items: DataFrame) -> DataFrame:
     """Items at order grain."""
     return order_items.groupBy("order_id").agg(
@@ -66,7 +74,7 @@ def order_payments_agg(order_payments: DataFrame) -> DataFrame:
 def geolocation_centroid(geolocation: DataFrame) -> DataFrame:
     """One point per zip prefix; the largest state name represents the prefix."""
     return geolocation.groupBy(F.col("geolocation_zip_code_prefix").alias("zip_prefix")).agg(
-        F.avg("geolocation_lat").alias("lat"),
-        F.avg("geolocation_lng").alias("lng"),
+        exact_mean(F.col("geolocation_lat")).alias("lat"),
+        exact_mean(F.col("geolocation_lng")).alias("lng"),
         F.max("geolocation_state").alias("geo_state"),
     )

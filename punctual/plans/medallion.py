@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,7 +51,9 @@ def gold_from_silver(tables: Silver, customers: DataFrame) -> DataFrame:
 
 def build_gold(bronze: Bronze) -> DataFrame:
     """Gold as one lazy plan."""
-    return gold_from_silver(build_silver(bronze), bronze.customers)
+    tables = build_silver(bronze)
+    flagged = silver.deduplicated(bronze.order_reviews, tables.orders_clean)
+    return gold_from_silver(replace(tables, reviews_dedup=flagged), bronze.customers)
 
 
 def load_gold(spark: SparkSession, sources: Sources) -> DataFrame:
@@ -124,7 +126,10 @@ def gold_statement(views: dict[str, str]) -> str:
     ),
     point AS (
         SELECT geolocation_zip_code_prefix AS customer_zip_code_prefix,
-               avg(geolocation_lat) AS customer_lat, avg(geolocation_lng) AS customer_lng
+               CAST(sum(CAST(geolocation_lat AS DECIMAL(25,15))) AS DOUBLE)
+                   / count(geolocation_lat) AS customer_lat,
+               CAST(sum(CAST(geolocation_lng AS DECIMAL(25,15))) AS DOUBLE)
+                   / count(geolocation_lng) AS customer_lng
         FROM {views['geolocation']}
         GROUP BY geolocation_zip_code_prefix
     ),

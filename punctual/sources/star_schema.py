@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 
 from punctual.sources.bronze import Bronze
 
+# Declared schemas: no job reads file footers while a plan is being built.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz",
+    "lineitem": (
+        "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz"
+    ),
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, event_type string",
+    "documents": "doc_id bigint, text string, source string",
+}
+
 # Event type -> review score; every other type scores 5.
 EVENT_SCORES = {"error": 1, "signup": 2, "view": 3, "click": 4}
 ESTIMATE_DAYS = 1800
@@ -47,7 +62,7 @@ def star_schema_bronze(spark: SparkSession, folder: str) -> Bronze:
     """Map ``folder/*.parquet`` onto the source tables; every expression is lazy."""
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
     lineitem = table("lineitem")
     nation = table("nation")
