@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def money_sum(amount: Column) -> Column:
-    """Sum in cents-exact decimals, reported as double: the same bits for any partitioning."""
-    return F.sum(amount.cast("decimal(18,2)")).cast("double")
+    """Sum of amounts with two decimals, reported as double: the same bits for any partitioning.
+
+    Whole cents are added as integers, which stays in generated code where a wide decimal would
+    not. Exact for single amounts below 10^13; a sum beyond 64 bits fails instead of wrapping.
+    """
+    cents = F.sum(F.rint(amount.cast("double") * 100).cast("bigint"))
+    return (cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("double")
 
 
 def exact_mean(value: Column) -> Column:

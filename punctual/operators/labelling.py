@@ -110,10 +110,11 @@ def label_sample(
     batch_size: int = BATCH_SIZE,
     parallelism: int = 8,
     max_chars: int | None = PROMPT_TEXT_CHARS,
+    instructions: str = INSTRUCTIONS,
 ) -> DataFrame:
     """Label a ranked sample: the labels as answered, themes clamped."""
     prompts = review_blocks(sample, batch_size, max_chars).withColumn(
-        "prompt", F.concat(F.lit(INSTRUCTIONS), F.col("reviews"))
+        "prompt", F.concat(F.lit(instructions), F.col("reviews"))
     )
     return explode_labels(ask_labeler(prompts, labeler, parallelism))
 
@@ -124,13 +125,13 @@ def build_themes(
     n_sample: int | None = SAMPLE_SIZE,
     batch_size: int = BATCH_SIZE,
     seed: int = SEED,
-    parallelism: int = 8,
+    **options,
 ) -> DataFrame:
-    """Label a reproducible sample of the negative reviews.
+    """Label a reproducible sample of the negative reviews; ``options`` go to ``label_sample``.
 
     Every evaluation calls the labeler: store the result (``ResultCache``) before using it twice.
     """
-    return label_sample(negative_sample(features, n_sample, seed), labeler, batch_size, parallelism)
+    return label_sample(negative_sample(features, n_sample, seed), labeler, batch_size, **options)
 
 
 def one_label_per_review(labels: DataFrame) -> DataFrame:

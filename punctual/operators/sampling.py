@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Up to this many rows a top-n (one bounded heap per task) is cheaper than ranking all rows.
 TOP_N_ROWS = 10_000
-HASH_BUCKETS = 4096
+HASH_DIGITS = 4
 
 
 def seeded_hash(key: str, seed: int) -> Column:
@@ -19,11 +19,12 @@ def hash_rank(frame: DataFrame, key: str, seed: int) -> DataFrame:
     """Add ``rank``, the exact 1-based position in the sampling order, without a global sort.
 
     Rows are ranked inside hash buckets; the offset of a bucket is the number of rows in the
-    buckets before it. Only the bucket counts (at most ``HASH_BUCKETS`` rows, hence the broadcast)
-    see a global window. The hash spreads unique keys evenly, so no bucket is hot.
+    buckets before it. Only the bucket counts (at most 16^``HASH_DIGITS`` = 65,536 rows, hence the
+    broadcast) see a global window. The hash spreads unique keys evenly, so no bucket is hot.
+    ``frame`` is read twice, for the counts and for the ranks: pass a stored table.
     """
     hashed = frame.withColumn("_hash", seeded_hash(key, seed)).withColumn(
-        "_bucket", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int")
+        "_bucket", F.conv(F.substring("_hash", 1, HASH_DIGITS), 16, 10).cast("int")
     )
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from punctual.functions.delivery import outcome_rank
 from punctual.operators import labelling, themes
 from punctual.operators.sentiment import ModelLoader, build_sentiment, sentiment_summary
 from punctual.sources.cache import ResultCache
@@ -56,6 +57,21 @@ def label_new_reviews(
     return cache.save(name, merged)
 
 
+def theme_stability(
+    features: DataFrame, cache: ResultCache, labeler: labelling.Labeler, **options
+) -> DataFrame:
+    """Label the same sample twice and report how often the theme is the same.
+
+    Each run is stored by its own job. In one plan the two runs would look alike, and Spark could
+    evaluate one of them and use it for both.
+    """
+    runs = [
+        cache.save(name, labelling.build_themes(features, labeler, **options))
+        for name in ("stability_a", "stability_b")
+    ]
+    return labelling.stability(*runs)
+
+
 def theming_job(
     features: DataFrame,
     cache: ResultCache,
@@ -73,4 +89,4 @@ def theming_job(
     second = cache.save("themes_check", labelling.build_themes(features, labeler, **options))
     summary = themes.theme_summary(first, labelling.stability(first, second))
     chart = themes.theme_frequency(themes.labels_with_reviews(first, features))
-    return JobResult(first, summary), chart.orderBy("theme_rank", F.desc("delivery_outcome"))
+    return JobResult(first, summary), chart.orderBy("theme_rank", outcome_rank(F.col("delivery_outcome")))

@@ -103,6 +103,12 @@ def stage(bronze: Bronze, root: str) -> Stages:
 
 def gold_statement(views: dict[str, str]) -> str:
     """Gold as one portable SQL statement over registered tables; ``has_text`` is 0 or 1."""
+
+    def cents(column: str) -> str:
+        return (
+            f"CAST(CAST(sum(CAST(rint({column} * 100) AS BIGINT)) AS DECIMAL(20,0)) * 0.01 AS DOUBLE)"
+        )
+
     return f"""
     WITH delivered AS (
         SELECT order_id, customer_id, order_purchase_timestamp,
@@ -112,14 +118,14 @@ def gold_statement(views: dict[str, str]) -> str:
     ),
     basket AS (
         SELECT order_id, count(*) AS n_items, count(DISTINCT seller_id) AS n_sellers,
-               CAST(sum(CAST(price AS DECIMAL(18,2))) AS DOUBLE) AS items_total,
-               CAST(sum(CAST(freight_value AS DECIMAL(18,2))) AS DOUBLE) AS freight_total
+               {cents('price')} AS items_total,
+               {cents('freight_value')} AS freight_total
         FROM {views['order_items']}
         GROUP BY order_id
     ),
     paid AS (
         SELECT order_id,
-               CAST(sum(CAST(payment_value AS DECIMAL(18,2))) AS DOUBLE) AS payment_total,
+               {cents('payment_value')} AS payment_total,
                max(payment_installments) AS max_installments
         FROM {views['order_payments']}
         GROUP BY order_id

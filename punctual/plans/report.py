@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame
 from punctual.operators import distributions, profile, regional, sentiment as sentiment_ops
 from punctual.operators import themes as theme_ops
 from punctual.operators.gold import grain_check
+from punctual.operators.labelling import Labeler, build_themes
+from punctual.plans.medallion import stage
+from punctual.sources.bronze import Bronze
+from punctual.sources.cache import ResultCache
 
 
 def quantitative(features: DataFrame) -> dict[str, DataFrame]:
@@ -39,3 +43,31 @@ def report(
         "theme_frequency": theme_ops.theme_frequency(joined),
         "city_lateness": regional.city_lateness(features, min_orders),
     }
+
+
+def analyse(
+    bronze: Bronze,
+    cache: ResultCache,
+    load_model: sentiment_ops.ModelLoader,
+    lexicon: DataFrame,
+    labeler: Labeler,
+    regenerate_sentiment: bool = False,
+    regenerate_themes: bool = False,
+    min_orders: int = regional.MIN_ORDERS,
+) -> dict[str, DataFrame]:
+    """Source tables to report tables.
+
+    The layers are rebuilt and stored; model results are loaded when they exist, so a plain run
+    calls neither the model nor the labeler.
+    """
+    features = stage(bronze, cache.path("stages")).features
+    sentiment = cache.load_or_build(
+        "sentiment",
+        lambda: sentiment_ops.build_sentiment(features, load_model, lexicon),
+        regenerate_sentiment,
+    )
+    labels = cache.load_or_build(
+        "themes", lambda: build_themes(features, labeler), regenerate_themes
+    )
+    buyers = {"one_time_buyers": profile.one_time_buyers(bronze.orders, bronze.customers)}
+    return {**buyers, **report(features, sentiment, labels, min_orders)}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def materialize(frame: DataFrame, path: str) -> DataFrame:
     """Write ``frame`` as Parquet and read it back: lineage ends at the files.
 
+    An earlier table at ``path`` is replaced; frames that still read it must be finished first.
     The re-read frame has exact size statistics, so later joins broadcast it only when it fits
     ``spark.sql.autoBroadcastJoinThreshold``.
     """

@@ -66,7 +66,6 @@ def star_schema_bronze(spark: SparkSession, folder: str) -> Bronze:
 
     lineitem = table("lineitem")
     nation = table("nation")
-    money = "decimal(18,2)"
     return Bronze(
         orders=_orders(table("orders"), lineitem),
         order_reviews=_order_reviews(table("events"), table("documents")),
@@ -74,12 +73,12 @@ def star_schema_bronze(spark: SparkSession, folder: str) -> Bronze:
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("order_item_id"),
             F.col("l_suppkey").alias("seller_id"),
-            F.col("l_extendedprice").cast(money).alias("price"),
-            F.col("l_quantity").cast(money).alias("freight_value"),
+            F.col("l_extendedprice").alias("price"),
+            F.col("l_quantity").alias("freight_value"),
         ),
         order_payments=lineitem.filter("l_returnflag <> 'N'").select(
             F.col("l_orderkey").alias("order_id"),
-            F.col("l_extendedprice").cast(money).alias("payment_value"),
+            F.col("l_extendedprice").alias("payment_value"),
             F.col("l_linenumber").alias("payment_installments"),
         ),
         customers=table("customer")
