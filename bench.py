@@ -22,7 +22,7 @@ from punctual.catalogue import stand_ins  # noqa: E402
 from punctual.operators.labelling import build_themes  # noqa: E402
 from punctual.operators.sentiment import build_sentiment  # noqa: E402
 from punctual.plans import medallion  # noqa: E402
-from punctual.plans.report import report  # noqa: E402
+from punctual.plans.report import fetch, report  # noqa: E402
 from punctual.session import tune  # noqa: E402
 from punctual.sources.cache import ResultCache  # noqa: E402
 from punctual.sources.star_schema import star_schema_bronze  # noqa: E402
@@ -91,8 +91,7 @@ def main() -> None:
     def whole_report() -> None:
         source = star_schema_bronze(spark, FOLDER)
         stored = cache.save("features", medallion.build_features(source))
-        for table in report(stored, cache.load("sentiment"), cache.load("themes")).values():
-            table.collect()
+        fetch(report(stored, cache.load("sentiment"), cache.load("themes")))
 
     timed("report_from_cache", whole_report)
     print(

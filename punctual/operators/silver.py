@@ -31,8 +31,10 @@ def deduplicated(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:
     """
     ranked = {"review_id", "order_id", "review_answer_timestamp"}
     rest = [c for c in order_reviews.columns if c not in ranked]
+    # The hash skips missing values, so which ones are missing is hashed too.
+    tie = F.xxhash64(*rest, *[F.col(c).isNull() for c in rest])
     delivered = order_reviews.withColumns(
-        {"has_text": F.col("review_comment_message").isNotNull(), "_tie": F.xxhash64(*rest)}
+        {"has_text": F.col("review_comment_message").isNotNull(), "_tie": tie}
     ).join(clean.select("order_id"), "order_id", "left_semi")
     best_first = Window.partitionBy("review_id").orderBy(
         F.col("has_text").desc(),

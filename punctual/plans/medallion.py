@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,9 +51,15 @@ def gold_from_silver(tables: Silver, customers: DataFrame) -> DataFrame:
 
 def build_gold(bronze: Bronze) -> DataFrame:
     """Gold as one lazy plan."""
-    tables = build_silver(bronze)
-    flagged = silver.deduplicated(bronze.order_reviews, tables.orders_clean)
-    return gold_from_silver(replace(tables, reviews_dedup=flagged), bronze.customers)
+    clean = silver.orders_clean(bronze.orders)
+    return gold_reviews(
+        silver.deduplicated(bronze.order_reviews, clean),
+        clean,
+        bronze.customers,
+        silver.order_items_agg(bronze.order_items),
+        silver.order_payments_agg(bronze.order_payments),
+        silver.geolocation_centroid(bronze.geolocation),
+    )
 
 
 def load_gold(spark: SparkSession, sources: Sources) -> DataFrame:

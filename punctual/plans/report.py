@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import DataFrame, Row
 
 from punctual.operators import distributions, profile, regional, sentiment as sentiment_ops
 from punctual.operators import themes as theme_ops
@@ -71,3 +73,13 @@ def analyse(
     )
     buyers = {"one_time_buyers": profile.one_time_buyers(bronze.orders, bronze.customers)}
     return {**buyers, **report(features, sentiment, labels, min_orders)}
+
+
+def fetch(tables: dict[str, DataFrame], parallelism: int = 4) -> dict[str, list[Row]]:
+    """The rows of report tables, with their jobs submitted side by side.
+
+    For report-sized results only: a few rows per outcome, bin, theme or city.
+    """
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = pool.map(lambda table: table.collect(), tables.values())
+    return dict(zip(tables, rows))

@@ -28,33 +28,26 @@ ESTIMATE_DAYS = 1800
 
 
 def _orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    shipped = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.max("l_shipdate").alias("last_shipped")
-    )
-    return orders.join(shipped, "o_orderkey", "left").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderstatus").alias("order_status"),
-        F.col("o_orderdate").alias("order_purchase_timestamp"),
-        F.col("last_shipped").alias("order_delivered_customer_date"),
-        (F.col("o_orderdate") + F.expr(f"interval '{ESTIMATE_DAYS}' day")).alias(
-            "order_estimated_delivery_date"
-        ),
+    shipped = lineitem.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last_shipped"))
+    return orders.join(shipped, F.expr("o_orderkey = l_orderkey"), "left").selectExpr(
+        "o_orderkey AS order_id",
+        "o_custkey AS customer_id",
+        "o_orderstatus AS order_status",
+        "o_orderdate AS order_purchase_timestamp",
+        "last_shipped AS order_delivered_customer_date",
+        f"o_orderdate + INTERVAL '{ESTIMATE_DAYS}' DAY AS order_estimated_delivery_date",
     )
 
 
 def _order_reviews(events: DataFrame, documents: DataFrame) -> DataFrame:
-    score = F.lit(5)
-    for event_type, value in EVENT_SCORES.items():
-        score = F.when(F.col("event_type") == event_type, value).otherwise(score)
-    event_id = F.col("event_id")
-    return events.join(documents, events.event_id == documents.doc_id, "left").select(
-        F.when(event_id % 100 == 99, event_id - 1).otherwise(event_id).alias("review_id"),
-        event_id.alias("order_id"),
-        score.alias("review_score"),
-        F.col("source").alias("review_comment_title"),
-        F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("review_comment_message"),
-        F.col("ts").cast("date").cast("timestamp_ntz").alias("review_answer_timestamp"),
+    scores = " ".join(f"WHEN '{name}' THEN {score}" for name, score in EVENT_SCORES.items())
+    return events.join(documents, F.expr("event_id = doc_id"), "left").selectExpr(
+        "CASE WHEN event_id % 100 = 99 THEN event_id - 1 ELSE event_id END AS review_id",
+        "event_id AS order_id",
+        f"CASE event_type {scores} ELSE 5 END AS review_score",
+        "source AS review_comment_title",
+        "CASE WHEN doc_id % 7 <> 0 THEN text END AS review_comment_message",
+        "CAST(CAST(ts AS DATE) AS TIMESTAMP_NTZ) AS review_answer_timestamp",
     )
 
 
@@ -69,34 +62,34 @@ def star_schema_bronze(spark: SparkSession, folder: str) -> Bronze:
     return Bronze(
         orders=_orders(table("orders"), lineitem),
         order_reviews=_order_reviews(table("events"), table("documents")),
-        order_items=lineitem.filter("l_quantity > 10").select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("order_item_id"),
-            F.col("l_suppkey").alias("seller_id"),
-            F.col("l_extendedprice").alias("price"),
-            F.col("l_quantity").alias("freight_value"),
+        order_items=lineitem.filter("l_quantity > 10").selectExpr(
+            "l_orderkey AS order_id",
+            "l_linenumber AS order_item_id",
+            "l_suppkey AS seller_id",
+            "l_extendedprice AS price",
+            "l_quantity AS freight_value",
         ),
-        order_payments=lineitem.filter("l_returnflag <> 'N'").select(
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_extendedprice").alias("payment_value"),
-            F.col("l_linenumber").alias("payment_installments"),
+        order_payments=lineitem.filter("l_returnflag <> 'N'").selectExpr(
+            "l_orderkey AS order_id",
+            "l_extendedprice AS payment_value",
+            "l_linenumber AS payment_installments",
         ),
         customers=table("customer")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            F.col("c_custkey").alias("customer_id"),
-            F.col("c_name").alias("customer_unique_id"),
-            F.col("r_name").alias("customer_state"),
-            F.col("c_nationkey").alias("customer_zip_code_prefix"),
-            F.concat("n_name", F.lit("-"), "c_mktsegment").alias("customer_city"),
+        .join(nation, F.expr("c_nationkey = n_nationkey"))
+        .join(table("region"), F.expr("n_regionkey = r_regionkey"))
+        .selectExpr(
+            "c_custkey AS customer_id",
+            "c_name AS customer_unique_id",
+            "r_name AS customer_state",
+            "c_nationkey AS customer_zip_code_prefix",
+            "concat(n_name, '-', c_mktsegment) AS customer_city",
         ),
         geolocation=table("supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("s_nationkey").alias("geolocation_zip_code_prefix"),
-            (F.col("s_acctbal") / 1000).alias("geolocation_lat"),
-            (F.col("s_suppkey").cast("double") / 10).alias("geolocation_lng"),
-            F.col("n_name").alias("geolocation_state"),
+        .join(nation, F.expr("s_nationkey = n_nationkey"))
+        .selectExpr(
+            "s_nationkey AS geolocation_zip_code_prefix",
+            "s_acctbal / 1000 AS geolocation_lat",
+            "CAST(s_suppkey AS DOUBLE) / 10 AS geolocation_lng",
+            "n_name AS geolocation_state",
         ),
     )

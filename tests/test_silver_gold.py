@@ -105,6 +105,18 @@ def test_exact_duplicates_and_full_ties_are_settled_the_same_way_everywhere(spar
     assert len(picks) == 1 and len(next(iter(picks))) == 2
 
 
+def test_ties_that_differ_only_in_which_text_is_missing_are_settled(spark):
+    source = make_bronze(spark, [order("o1")], [review("r", "o1", "x")]).order_reviews
+    rows = source.withColumn("extra", F.lit("e")).withColumn("review_comment_title", F.lit(None).cast("string"))
+    other = source.withColumn("extra", F.lit(None).cast("string")).withColumn("review_comment_title", F.lit("e"))
+    clean = silver.orders_clean(make_bronze(spark, [order("o1")], []).orders)
+    picks = {
+        silver.reviews_dedup(frame, clean).first()
+        for frame in (rows.union(other).coalesce(1), other.union(rows).coalesce(1))
+    }
+    assert len(picks) == 1
+
+
 def test_repeated_orders_do_not_repeat_deduplicated_reviews(spark):
     rows = dedup_rows(spark, [order("o1"), order("o1")], [review("r", "o1")])
     assert len(rows) == 1
