@@ -16,9 +16,14 @@ def money_sum(amount: Column) -> Column:
     return (cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("double")
 
 
-def exact_mean(value: Column) -> Column:
-    """Mean of the present values, summed in decimals: the same bits for any partitioning."""
-    return F.sum(value.cast("decimal(25,15)")).cast("double") / F.count(value)
+def exact_sum(value: Column) -> Column:
+    """Sum in decimals: the same bits for any partitioning."""
+    return F.sum(value.cast("decimal(25,15)"))
+
+
+def mean_of(total: Column, count: Column) -> Column:
+    """Mean from an exact sum and the number of present values; missing without values."""
+    return F.when(count > 0, total.cast("double") / count)
 
 
 def mean_flag(flag: Column) -> Column:

@@ -23,9 +23,11 @@ THEME_NAMES = {
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words of the whole text. Accents and combining marks are kept."""
-    parts = F.split(F.lower(text.cast("string")), r"[^\p{L}\p{M}\p{N}]+")
-    return F.filter(parts, lambda word: word != "")
+    """Lower-cased words of the whole text. Accents and combining marks are kept.
+
+    Text that starts or ends with other characters yields an empty word there.
+    """
+    return F.split(F.lower(text.cast("string")), r"[^\p{L}\p{M}\p{N}]+")
 
 
 def shorten(text: Column, max_chars: int | None) -> Column:

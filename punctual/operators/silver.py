@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from punctual.functions.numeric import exact_mean, money_sum
+from punctual.functions.numeric import exact_sum, mean_of, money_sum
 
 
 def orders_clean(orders: DataFrame) -> DataFrame:
@@ -73,10 +73,37 @@ def order_payments_agg(order_payments: DataFrame) -> DataFrame:
     )
 
 
+def _point_sums(geolocation: DataFrame, *keys: str) -> DataFrame:
+    lat, lng = F.col("geolocation_lat"), F.col("geolocation_lng")
+    return geolocation.groupBy(F.col("geolocation_zip_code_prefix").alias("zip_prefix"), *keys).agg(
+        exact_sum(lat).alias("lat"),
+        F.count(lat).alias("n_lat"),
+        exact_sum(lng).alias("lng"),
+        F.count(lng).alias("n_lng"),
+    )
+
+
+def zip_points(geolocation: DataFrame) -> DataFrame:
+    """One point per zip prefix."""
+    return _point_sums(geolocation).select(
+        "zip_prefix",
+        mean_of(F.col("lat"), F.col("n_lat")).alias("lat"),
+        mean_of(F.col("lng"), F.col("n_lng")).alias("lng"),
+    )
+
+
 def geolocation_centroid(geolocation: DataFrame) -> DataFrame:
-    """One point per zip prefix; the largest state name represents the prefix."""
-    return geolocation.groupBy(F.col("geolocation_zip_code_prefix").alias("zip_prefix")).agg(
-        exact_mean(F.col("geolocation_lat")).alias("lat"),
-        exact_mean(F.col("geolocation_lng")).alias("lng"),
-        F.max("geolocation_state").alias("geo_state"),
+    """One point per zip prefix; the largest state name represents the prefix.
+
+    A maximum of strings cannot be kept in a hash aggregation, and the raw points should not be
+    sorted for it: points are added up per prefix and state, the few results per prefix.
+    """
+    return (
+        _point_sums(geolocation, "geolocation_state")
+        .groupBy("zip_prefix")
+        .agg(
+            mean_of(F.sum("lat"), F.sum("n_lat")).alias("lat"),
+            mean_of(F.sum("lng"), F.sum("n_lng")).alias("lng"),
+            F.max("geolocation_state").alias("geo_state"),
+        )
     )

@@ -43,7 +43,7 @@ def theme_examples(joined: DataFrame, max_chars: int | None = EXAMPLE_CHARS) ->
         joined.dropna(subset=["review_comment_message"])
         .groupBy("theme")
         .agg(
-            shorten(F.min_by("review_comment_message", "review_id"), max_chars).alias("example")
+            F.min_by(shorten(F.col("review_comment_message"), max_chars), "review_id").alias("example")
         )
     )
 
@@ -54,9 +54,9 @@ def theme_frequency(joined: DataFrame, max_chars: int | None = EXAMPLE_CHARS) ->
     Counts and examples come from one aggregation; totals and the example of a theme are windows
     over its few outcome rows, so no lookup join is needed. Ties in the ranking go by name.
     """
+    text = F.col("review_comment_message")
     first = F.when(
-        F.col("review_comment_message").isNotNull(),
-        F.struct("review_id", "review_comment_message"),
+        text.isNotNull(), F.struct("review_id", shorten(text, max_chars).alias("example"))
     )
     per_outcome = joined.groupBy("theme", "delivery_outcome").agg(
         F.count(F.lit(1)).alias("n"), F.min(first).alias("first")
@@ -65,7 +65,7 @@ def theme_frequency(joined: DataFrame, max_chars: int | None = EXAMPLE_CHARS) ->
     totals = per_outcome.withColumns(
         {
             "theme_total": F.sum("n").over(theme),
-            "example": shorten(F.min("first").over(theme)["review_comment_message"], max_chars),
+            "example": F.min("first").over(theme)["example"],
         }
     )
     # One row per theme and outcome reaches this window.

@@ -58,7 +58,7 @@ def build_gold(bronze: Bronze) -> DataFrame:
         bronze.customers,
         silver.order_items_agg(bronze.order_items),
         silver.order_payments_agg(bronze.order_payments),
-        silver.geolocation_centroid(bronze.geolocation),
+        silver.zip_points(bronze.geolocation),
     )
 
 
