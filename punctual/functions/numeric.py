@@ -13,7 +13,11 @@ def money_sum(amount: Column) -> Column:
     not. Exact for single amounts below 10^13; a sum beyond 64 bits fails instead of wrapping.
     """
     cents = F.sum(F.rint(amount.cast("double") * 100).cast("bigint"))
-    return (cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("double")
+    # Up to 2^53 cents are a double without rounding, so the division gives the nearest double.
+    in_decimals = cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")
+    return F.when(cents.between(-(2**53), 2**53), cents.cast("double") / 100).otherwise(
+        in_decimals.cast("double")
+    )
 
 
 def exact_sum(value: Column) -> Column:

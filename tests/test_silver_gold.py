@@ -213,3 +213,23 @@ def test_single_statement_equals_the_builders(spark):
     )
     key = "review_id"
     assert statement.orderBy(key).collect() == medallion.build_gold(bronze).orderBy(key).collect()
+
+
+def test_money_sums_are_exact_for_any_size_and_order(spark):
+    from decimal import Decimal
+
+    from punctual.functions.numeric import money_sum
+
+    groups = {
+        "tenths": [0.1] * 3 + [0.2] * 7,
+        "beyond_exact_doubles": [99999999999.99] * 1001,
+        "refunds": [-12.34, 0.05, -99999.99],
+        "missing": [None, 1.1],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: r.s for r in frame.groupBy("k").agg(money_sum(F.col("v")).alias("s")).collect()}
+    assert got == {
+        k: float(sum(Decimal(str(v)) for v in values if v is not None)) for k, values in groups.items()
+    }
+    assert frame.filter("v IS NULL").agg(money_sum(F.col("v")).alias("s")).first().s is None
