@@ -99,7 +99,7 @@ def theme_outcome_pivot(joined: DataFrame) -> DataFrame:
 def theme_summary(labels: DataFrame, stability: DataFrame) -> DataFrame:
     """One row: number of labels, stability and the frequencies as JSON, most frequent first.
 
-    ``labels`` is reduced to one row per theme before anything is gathered.
+    ``labels`` is reduced to one row per theme of the fixed vocabulary before anything is gathered.
     """
     counts = theme_counts(labels).withColumn(
         "entry", F.struct((-F.col("n")).alias("by"), F.col("theme").alias("theme"), F.col("n").alias("n"))
