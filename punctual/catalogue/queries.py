@@ -23,7 +23,7 @@ from punctual.operators import (
 from punctual.plans import jobs, medallion
 from punctual.session import shared_folder, tune
 from punctual.sources.bronze import Bronze, Sources, register_frame, table_counts
-from punctual.sources.cache import ResultCache
+from punctual.sources.cache import ResultCache, materialize
 from punctual.sources.star_schema import star_schema_bronze
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,12 +62,18 @@ def _labels(bronze: Bronze, run: int = 1) -> DataFrame:
     return stand_ins.rule_labels(bronze.order_reviews, run)
 
 
-def _sentiment(spark: SparkSession, bronze: Bronze) -> tuple[DataFrame, DataFrame]:
-    features = medallion.build_features(bronze)
-    scored = sentiment_ops.build_sentiment(
+def _stored_texts(spark: SparkSession, bronze: Bronze, name: str) -> DataFrame:
+    """The reviews with text, written once for a query that reads them twice."""
+    texts = medallion.build_features(bronze).filter("has_text").select(
+        "review_id", "review_score", "review_comment_message", "has_text", "is_negative", "is_late"
+    )
+    return materialize(texts, _stored(spark, name))
+
+
+def _sentiment(spark: SparkSession, features: DataFrame) -> DataFrame:
+    return sentiment_ops.build_sentiment(
         features, stand_ins.star_model(), stand_ins.lexicon(spark)
     )
-    return scored, features
 
 
 # Sources and profiles
@@ -218,22 +224,24 @@ def lexicon_sentiment(spark, bronze):
 
 @_query
 def sentiment_labels(spark, bronze):
-    return _sentiment(spark, bronze)[0]
+    return _sentiment(spark, medallion.build_features(bronze))
 
 
 @_query
 def sentiment_summary(spark, bronze):
-    return sentiment_ops.sentiment_summary(_sentiment(spark, bronze)[0])
+    return sentiment_ops.sentiment_summary(_sentiment(spark, medallion.build_features(bronze)))
 
 
 @_query
 def sentiment_disagreements(spark, bronze):
-    return sentiment_ops.disagreements(*_sentiment(spark, bronze))
+    texts = _stored_texts(spark, bronze, "sentiment_disagreements")
+    return sentiment_ops.disagreements(_sentiment(spark, texts), texts)
 
 
 @_query
 def disagreement_examples(spark, bronze):
-    return sentiment_ops.disagreement_examples(*_sentiment(spark, bronze))
+    texts = _stored_texts(spark, bronze, "disagreement_examples")
+    return sentiment_ops.disagreement_examples(_sentiment(spark, texts), texts)
 
 
 # Themes
@@ -247,9 +255,8 @@ def negative_sample(spark, bronze):
 @_query
 def all_negatives_ranked(spark, bronze):
     """The whole negative population in sampling order, without a global sort."""
-    return labelling.negative_sample(medallion.build_features(bronze), n_sample=None).select(
-        "review_id", "rank"
-    )
+    texts = _stored_texts(spark, bronze, "all_negatives_ranked")
+    return labelling.negative_sample(texts, n_sample=None).select("review_id", "rank")
 
 
 @_query
@@ -260,8 +267,8 @@ def theme_batches(spark, bronze):
 @_query
 def theme_batches_whole_text(spark, bronze):
     """Every negative review with its whole text, in batches."""
-    sample = labelling.negative_sample(medallion.build_features(bronze), n_sample=None)
-    return labelling.review_blocks(sample, max_chars=None)
+    texts = _stored_texts(spark, bronze, "theme_batches_whole_text")
+    return labelling.review_blocks(labelling.negative_sample(texts, n_sample=None), max_chars=None)
 
 
 @_query
@@ -386,7 +393,7 @@ def sentiment_job(spark, bronze):
 
 @_query
 def theming_job(spark, bronze):
-    features = medallion.build_features(bronze)
+    texts = _stored_texts(spark, bronze, "theming_job_texts")
     cache = ResultCache(spark, _stored(spark, "theming_job"))
-    result, _ = jobs.theming_job(features, cache, stand_ins.id_labeler(), regenerate=True)
+    result, _ = jobs.theming_job(texts, cache, stand_ins.id_labeler(), regenerate=True)
     return result.summary
