@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup
+from . import archives, fingerprints, mixing, neardup, packing
+from .storage import new_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,11 +22,91 @@ def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def packed_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per piece: where it lies in its document and in its sequence, and a checksum of its ids."""
+    return packing.pack(_table(spark, folder, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: fingerprints of its text and its edited text, and how alike they are."""
+    return fingerprints.edited_fingerprints(_table(spark, folder, "documents"))
+
+
+def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: its size, its source's size and target, and the words the mix takes."""
+    return mixing.mixture(_table(spark, folder, "documents"))
+
+
+def warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per page, read back from the archives written for all pages."""
+    at = new_folder(spark, "archives")
+    archives.write_archives(_table(spark, folder, "pages"), at)
+    return archives.read_archives(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_minhash_near_dedup": minhash_near_dedup,
+        "op4_power_of_two_packing": packed_pieces,
+        "op5_winnowing": winnowing,
+        "op7_source_mix": mixed_sources,
+        "op10_warc_revisits": warc_revisits,
     }
 
 
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(h, {1 + 5 * (i // 4)}, 5))::BIGINT >> {15 - 5 * (i % 4)}) % 32, 1)"
+    for i in range(32)
+)
+
+_MIX = r"""
+WITH sized AS (
+  SELECT doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM sized GROUP BY source),
+w AS (
+  SELECT *, CASE r % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM s),
+l AS (
+  SELECT *, sum(source_size) OVER ()::BIGINT AS total, sum(weight) OVER ()::BIGINT AS weights,
+         coalesce(sum(cap) OVER o, 0)::BIGINT AS cap_before, coalesce(sum(weight) OVER o, 0)::BIGINT AS weight_before
+  FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, cap * (weights - weight_before) <= weight * (total - cap_before) AS capped FROM l),
+t AS (
+  SELECT source, source_size, cap,
+         CASE WHEN capped THEN cap::DOUBLE
+              ELSE weight::DOUBLE * (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())::DOUBLE
+                   / (weights - sum(CASE WHEN capped THEN weight ELSE 0 END) OVER ())::DOUBLE END AS target
+  FROM c),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, least(floor(t.target + 0.5), t.cap)::BIGINT AS quota,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b
+  FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, quota - b)) + greatest(0, least(size, quota - b - source_size))
+        + greatest(0, least(size, quota - b - 2 * source_size)))::BIGINT AS taken
+FROM p
+"""
+
+_WARC = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+d AS (SELECT page_id, octet_length(encode(x))::BIGINT AS payload_bytes, sha1(x) AS h FROM p),
+f AS (SELECT h AS fh, min(page_id) AS first FROM d GROUP BY h)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d JOIN f ON h = fh
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_source_mix": _MIX,
+        "op10_warc_revisits": _WARC,
+    }
