@@ -28,6 +28,8 @@ SIMILARITY = 0.8
 #: 1 - (1 - 0.8^2)^9: a pair at the threshold shares a band with probability 0.9999.
 ROWS_PER_BAND, BANDS = 2, 9
 SAMPLES = ROWS_PER_BAND * BANDS
+#: Members of a bucket that all others are compared with.
+LEADERS = 3
 #: Runs in fewer than this share of documents all count as equally rare. At most
 #: 2 * (mean runs of a document) / floor runs are ever held as "common" (see ``common_runs``).
 FLOOR = 0.01
@@ -269,12 +271,11 @@ def _weighted_jaccard(common: Common, a: bytes, b: bytes) -> float:
     return float(shared / (x_w.sum() + y_w.sum() - shared))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, representatives: DataFrame, common: Common) -> DataFrame:
-    """Of the (a, b) key pairs, those whose texts' weighted Jaccard similarity reaches the threshold."""
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = representatives.join(needed, "key").select("rep", F.col("key").alias("wanted"))
-    runs = stored(
-        texts.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+def text_runs(texts: DataFrame, representatives: DataFrame, needed: DataFrame) -> DataFrame:
+    """(key, runs) of the texts of the ``needed`` keys, each once."""
+    wanted = representatives.join(needed, "key").select("rep").distinct()
+    return stored(
+        texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         .select("text")
         .mapInArrow(_packed_runs, "key long, runs binary")
         .join(needed, "key", "left_semi")
@@ -282,6 +283,12 @@ def verified(pairs: DataFrame, texts: DataFrame, representatives: DataFrame, com
         "runs",
     )
 
+
+def verified(pairs: DataFrame, texts: DataFrame, representatives: DataFrame, common: Common) -> DataFrame:
+    """Of the (a, b) key pairs, those whose texts' weighted Jaccard similarity reaches the threshold."""
+    needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    runs = text_runs(texts, representatives, needed)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("runs_a"), batch.column("runs_b")
@@ -296,9 +303,17 @@ def verified(pairs: DataFrame, texts: DataFrame, representatives: DataFrame, com
     )
 
 
+def _led(members: DataFrame, order: list) -> DataFrame:
+    """(bucket, leader, leader_weight, place): the first ``LEADERS`` members of each bucket by ``order``."""
+    ranked = members.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
+    return ranked.where(F.col("place") <= LEADERS).select(
+        "bucket", F.col("key").alias("leader"), F.col("weight").alias("leader_weight"), "place"
+    )
+
+
 def _candidates(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Distinct (a, b), a below b, of a member and a leader of its band whose weights allow the threshold."""
-    met = members.join(leaders, "band").where("key != leader")
+    """Distinct (a, b), a below b, of a member and a leader of its bucket whose weights allow the threshold."""
+    met = members.join(leaders, "bucket").where("key != leader")
     return (
         met.where(F.least("weight", "leader_weight") >= F.lit(SIMILARITY - 1e-9) * F.greatest("weight", "leader_weight"))
         .select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b"))
@@ -306,48 +321,75 @@ def _candidates(members: DataFrame, leaders: DataFrame) -> DataFrame:
     )
 
 
+def _run_weights(common: Common):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, run, w) of every run of the texts."""
+        for batch in batches:
+            for key, runs in zip(batch.column("key").to_pylist(), batch.column("runs"), strict=True):
+                packed = np.frombuffer(runs.as_py(), dtype=np.uint64)
+                ids = packed >> np.uint64(16)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), key)), pa.array(ids.astype(np.int64)), pa.array(common.weights(ids, packed & _LOW16))],
+                    names=["key", "run", "w"],
+                )
+
+    return each
+
+
+def rare_buckets(runs: DataFrame, common: Common) -> DataFrame:
+    """(bucket, key, weight): every text under its rarest runs, for an exact search among the texts of ``runs``.
+
+    With runs in order of the number of texts that hold them, two texts of similarity ``SIMILARITY``
+    share one of the rarest runs that make up ``1 - SIMILARITY`` of each one's weight (prefix
+    filtering). A text with more than that in runs of its own has no partner and drops out.
+    """
+    each = stored(runs.mapInArrow(_run_weights(common), "key long, run long, w double"), "run-weights")
+    shared = each.groupBy("run").agg(F.count("*").alias("texts")).where("texts > 1")
+    total = each.groupBy("key").agg(F.sum("w").alias("weight"))
+    met = each.join(shared, "run").join(total, "key")
+    rarest_last = Window.partitionBy("key").orderBy(F.col("texts").desc(), F.col("run").desc())
+    # Weight of this run and all that are more common: what is left above it must reach the threshold.
+    rest = F.sum("w").over(rarest_last.rowsBetween(Window.unboundedPreceding, 0))
+    return met.withColumn("rest", rest).where(F.col("rest") >= F.lit(SIMILARITY - 1e-9) * F.col("weight")).select(
+        F.col("run").alias("bucket"), "key", "weight"
+    )
+
+
 def links(texts: DataFrame, signed: DataFrame, common: Common) -> DataFrame:
     """Verified (a, b) links between the keys of different texts, enough to connect each class.
 
-    No pair of a band meets another member than a leader: first the least and the greatest key of
-    the band lead; members like neither, at most shrinking sets, get 8, 32, ... leaders in the next
-    rounds, until every member has led or is linked to a leader. Exact copies share a key and meet
-    nobody. Two members linked to different leaders of a band are connected through the leaders or
-    through another of their shared bands.
+    The members of a bucket meet its ``LEADERS`` leaders only, so the work is linear in the bucket.
+    First the buckets are bands, led by the texts that meet the most others over all bands: the
+    middle of a group of copies. Where a band has more members than that compares, members not linked
+    to its first leader are searched again with the other members of their bands, now exactly, in
+    buckets of rare runs, whose leaders differ from bucket to bucket. Exact copies share a key and
+    meet nobody.
     """
     representatives = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     members = stored(
-        signed.where("key is not null").select("key", "weight", F.explode("bands").alias("band")).distinct(), "bands"
+        signed.where("key is not null").select("key", "weight", F.explode("bands").alias("bucket")).distinct(), "bands"
     )
-    crowded = members.groupBy("band").agg(
-        F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")
-    ).where("n > 1")
-    remaining = stored(members.join(crowded.select("band"), "band", "left_semi"), "crowded")
-    ends = remaining.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    leader_keys = ends.select("band", F.explode(F.array("low", "high")).alias("leader"))
-    weight_of = remaining.select(F.col("key").alias("leader"), F.col("weight").alias("leader_weight")).distinct()
-    leaders = leader_keys.join(weight_of, "leader")
-    found, n_leaders = None, 2
-    while True:
-        leaders = stored(leaders, "leaders")
-        new = stored(verified(stored(_candidates(remaining, leaders), "candidates"), texts, representatives, common), "links")
-        found = new if found is None else found.union(new)
-        both = new.union(new.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        settled = (
-            leaders.select("band", F.col("leader").alias("key"))
-            .union(leaders.join(both, leaders["leader"] == both["b"]).select("band", F.col("a").alias("key")))
-            .distinct()
-        )
-        left = remaining.join(settled, ["band", "key"], "left_anti")
-        again = left.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        remaining = stored(left.join(again, "band", "left_semi"), "remaining")
-        if remaining.isEmpty():
-            return found
-        n_leaders *= 4
-        ranked = remaining.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("key")))
-        leaders = ranked.where(F.col("rank") <= n_leaders).select(
-            "band", F.col("key").alias("leader"), F.col("weight").alias("leader_weight")
-        )
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = stored(members.join(sizes, "bucket"), "crowded")
+    met = crowded.groupBy("key").agg(F.sum("n").alias("met"))
+    leaders = stored(_led(crowded.join(met, "key"), [F.col("met").desc(), F.col("key")]), "leaders")
+    found = stored(verified(stored(_candidates(crowded, leaders), "candidates"), texts, representatives, common), "links")
+
+    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    wide = crowded.where(F.col("n") > LEADERS + 1)
+    first = leaders.where("place = 1")
+    settled = first.select("bucket", F.col("leader").alias("key")).union(
+        first.join(both, first["leader"] == both["b"]).select("bucket", F.col("a").alias("key"))
+    )
+    open_members = stored(wide.join(settled, ["bucket", "key"], "left_anti").select("bucket", "key"), "open")
+    again = wide.join(open_members.select("bucket").distinct(), "bucket", "left_semi").select("key").distinct()
+    runs = text_runs(texts, representatives, again)
+    rare = stored(rare_buckets(runs, common), "rare")
+    asking = rare.join(open_members.select("key").distinct(), "key", "left_semi").select("bucket").distinct()
+    rare = rare.join(asking, "bucket", "left_semi")
+    more = stored(_candidates(rare, _led(rare, [F.xxhash64("key", "bucket")])), "candidates")
+    more = more.join(found, ["a", "b"], "left_anti")
+    return found.union(stored(verified(stored(more, "candidates"), texts, representatives, common), "links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,31 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _random = np.random.default_rng(20_011)
 _BYTE_CODES = _random.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+
+
+class Kind(NamedTuple):
+    """Which bytes separate words, and the code under which each other byte is hashed."""
+
+    space: np.ndarray
+    codes: np.ndarray
+
+
+#: Words as they stand between white space.
+PLAIN = Kind(SPACE, _BYTE_CODES)
+
+
+def _terms() -> Kind:
+    """Runs of ASCII letters, digits and bytes beyond ASCII, with ASCII upper case as lower case."""
+    space = np.ones(256, dtype=bool)
+    for low, high in (("0", "9"), ("A", "Z"), ("a", "z")):
+        space[ord(low) : ord(high) + 1] = False
+    space[128:] = False
+    codes = _BYTE_CODES.copy()
+    codes[ord("A") : ord("Z") + 1] = codes[ord("a") : ord("z") + 1]
+    return Kind(space, codes)
+
+
+TERMS = _terms()
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -64,6 +89,7 @@ class Words(NamedTuple):
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    heads: tuple[np.ndarray, ...] = ()
 
 
 def texts(column: pa.Array) -> Texts:
@@ -84,9 +110,12 @@ def texts(column: pa.Array) -> Texts:
     return Texts(data, start, end)
 
 
-def _spans(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin, end and hash of the words of ``data``; a word never crosses one of the ``breaks``."""
-    space = SPACE[data]
+def _spans(data: np.ndarray, breaks: np.ndarray, kind: Kind, prefixes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+    """Begin, end and hash of the words of ``data``, and the hash of each asked-for prefix (the word's own where it is shorter).
+
+    A word never crosses one of the ``breaks``. A prefix is so many code points.
+    """
+    space = kind.space[data]
     first = ~space
     last = first.copy()
     first[1:] &= space[:-1]
@@ -98,41 +127,50 @@ def _spans(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end = np.flatnonzero(last) + 1
     up, down = (_UP, _DOWN) if len(data) < len(_UP) else (_powers(_BASE, len(data) + 1), _powers(_INVERSE, len(data) + 1))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=total[1:])
-    return begin, end, mix((total[end] - total[begin]) * down[begin])
-
-
-def _pieces(data: np.ndarray, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Cut one long text at white space into pieces of about a block."""
+    np.cumsum(kind.codes[data] * up[: len(data)], out=total[1:])
+    heads = []
+    if prefixes:
+        points = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        at = np.searchsorted(points, begin)
+        for n in prefixes:
+            stop = np.minimum(points[np.minimum(at + n, len(points) - 1)], end)
+            heads.append(mix((total[stop] - total[begin]) * down[begin] + np.uint64(n) * (stop < end)))
+    return begin, end, mix((total[end] - total[begin]) * down[begin]), *heads
+
+
+def _pieces(data: np.ndarray, start: int, end: int, kind: Kind) -> Iterator[tuple[int, int]]:
+    """Cut one long text between words into pieces of about a block."""
     while start < end:
         stop = min(start + BLOCK_BYTES, end)
-        while stop < end and not SPACE[data[stop]]:
-            gap = np.flatnonzero(SPACE[data[stop : min(stop + BLOCK_BYTES, end)]])
+        while stop < end and not kind.space[data[stop]]:
+            gap = np.flatnonzero(kind.space[data[stop : min(stop + BLOCK_BYTES, end)]])
             stop = stop + int(gap[0]) if len(gap) else min(stop + BLOCK_BYTES, end)
         yield start, stop
         start = stop
 
 
-def blocks(t: Texts) -> Iterator[Words]:
+def blocks(t: Texts, kind: Kind = PLAIN, prefixes: tuple[int, ...] = ()) -> Iterator[Words]:
     """The words of all rows, block by block; every block holds whole rows."""
     n = len(t.start)
+    none = np.zeros(0, np.int64)
     first = 0
     while first < n:
         last = int(np.searchsorted(t.end, t.start[first] + BLOCK_BYTES, "right"))
         if last <= first:
             last = first + 1
-            parts = [(lo, *_spans(t.data[lo:hi], np.zeros(0, np.int64))) for lo, hi in _pieces(t.data, int(t.start[first]), int(t.end[first]))]
-            begin = np.concatenate([p[1] + p[0] for p in parts]) if parts else np.zeros(0, np.int64)
-            end = np.concatenate([p[2] + p[0] for p in parts]) if parts else begin
-            code = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0, np.uint64)
+            found = [_spans(none.astype(np.uint8), none, kind, prefixes)]
+            for lo, hi in _pieces(t.data, int(t.start[first]), int(t.end[first]), kind):
+                begin, end, *codes = _spans(t.data[lo:hi], none, kind, prefixes)
+                found.append((begin + lo, end + lo, *codes))
+            begin, end, *codes = (np.concatenate(c) for c in zip(*found, strict=True))
             row = np.full(len(begin), first, dtype=np.int64)
         else:
             lo, hi = int(t.start[first]), int(t.end[last - 1])
             bounds = t.start[first:last] - lo
-            begin, end, code = _spans(t.data[lo:hi], bounds)
+            begin, end, *codes = _spans(t.data[lo:hi], bounds, kind, prefixes)
             row = first + np.searchsorted(bounds, begin, "right") - 1
             begin, end = begin + lo, end + lo
-        yield Words(first, last, row, begin, end, code)
+        yield Words(first, last, row, begin, end, codes[0], tuple(codes[1:]))
         first = last
 
 
