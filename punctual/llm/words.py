@@ -199,3 +199,10 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def decode(data: np.ndarray, start: int, end: int) -> str:
     return data[start:end].tobytes().decode("utf-8", "replace")
+
+
+def range_sums(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over the ranges ``low`` to ``high`` (exclusive)."""
+    total = np.zeros(len(values) + 1, dtype=np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[high] - total[low]
