@@ -72,12 +72,6 @@ class Base(NamedTuple):
     classes: np.ndarray
 
 
-def _sums(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(values) + 1, dtype=np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[high] - total[low]
-
-
 def _codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Dense codes of pairs of dense codes: equal pairs, and only they, get equal codes."""
     width = int(b.max()) + 1 if len(b) else 1
@@ -130,7 +124,7 @@ def base_counts(t: W.Texts, block: W.Words) -> Base:
     data = t.data[low:high]
     start, end = t.start[block.first : block.last] - low, t.end[block.first : block.last] - low
     kind = _CLASS_OF[data]
-    classes = np.stack([_sums(kind == i, start, end) for i in range(len(CLASSES))], axis=1)
+    classes = np.stack([W.range_sums(kind == i, start, end) for i in range(len(CLASSES))], axis=1)
     points = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     chars = points[block.end - low] - points[block.start - low]
@@ -138,7 +132,7 @@ def base_counts(t: W.Texts, block: W.Words) -> Base:
     return Base(
         n,
         np.bincount(block.row - block.first, weights=chars, minlength=len(n)).astype(np.int64),
-        _sums(_IS_SYMBOL[data], start, end),
+        W.range_sums(_IS_SYMBOL[data], start, end),
         duplicate_lines(t, block),
         repeated_words(block),
         classes,

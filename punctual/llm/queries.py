@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, fingerprints, mixing, neardup, packing
+from . import archives, fingerprints, language, mixing, neardup, packing, quality_rules, quality_score, toxicity
 from .storage import new_folder
 
 
@@ -15,6 +15,31 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def bradley_terry_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: its quality score; ids whose crc32 leaves 1 modulo 3 are held out of training."""
+    docs, held_out = _table(spark, folder, "documents"), language.is_held_out(F.col("doc_id"), 3, 1)
+    model = quality_score.train(docs, _table(spark, folder, "labels"), eligible=~held_out)
+    return quality_score.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def viterbi_language(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: its language; ids whose crc32 leaves 2 modulo 4 are held out of training."""
+    docs, held_out = _table(spark, folder, "documents"), language.is_held_out(F.col("doc_id"), 4, 2)
+    model = language.train(docs.where(~held_out))
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: its expected severity and whether it is toxic."""
+    docs = _table(spark, folder, "documents")
+    return toxicity.graded(docs, toxicity.train(docs, _table(spark, folder, "labels")))
+
+
+def divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: base counts, base verdict and the verdict of the divergence rules."""
+    return quality_rules.judged(_table(spark, folder, "documents"))
+
+
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document: its near-duplicate class and whether it is the one that stays."""
     return neardup.near_duplicates(_table(spark, folder, "documents")).selectExpr(
@@ -48,10 +73,14 @@ def warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bradley_terry_quality": bradley_terry_quality,
         "op2_minhash_near_dedup": minhash_near_dedup,
         "op4_power_of_two_packing": packed_pieces,
         "op5_winnowing": winnowing,
+        "op6_viterbi_language": viterbi_language,
         "op7_source_mix": mixed_sources,
+        "op8_ordinal_toxicity": ordinal_toxicity,
+        "op9_divergence_rules": divergence_rules,
         "op10_warc_revisits": warc_revisits,
     }
 
