@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, fingerprints, language, mixing, neardup, packing, quality_rules, quality_score, toxicity
+from . import archives, extraction, fingerprints, language, mixing, neardup, packing, quality_rules, quality_score, toxicity
 from .storage import new_folder
 
 
@@ -47,6 +47,12 @@ def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def crf_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per page: its main text."""
+    pages = _table(spark, folder, "pages")
+    return extraction.extract(pages, extraction.train(pages))
+
+
 def packed_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence, and a checksum of its ids."""
     return packing.pack(_table(spark, folder, "documents")).select(
@@ -75,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bradley_terry_quality": bradley_terry_quality,
         "op2_minhash_near_dedup": minhash_near_dedup,
+        "op3_crf_main_text": crf_main_text,
         "op4_power_of_two_packing": packed_pieces,
         "op5_winnowing": winnowing,
         "op6_viterbi_language": viterbi_language,
