@@ -26,6 +26,8 @@ WORST = 6.0
 SWITCH = 12.0
 #: A language uses a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.01
+#: Documents below this score are rejected by ``certain_documents``.
+MIN_SCORE = 0.35
 #: Words of one piece of a path; pieces are computed side by side and joined.
 PIECE = 64
 UNDETERMINED = "und"
@@ -267,6 +269,35 @@ def _spans(model: Model, path: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
 
 
+def labelled(model: Model, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """Block by block of the texts of ``column``: number of the first row, languages, scores, spans."""
+    names = np.array([*model.languages, UNDETERMINED], dtype=object)
+    t = W.texts(column)
+    for words in W.blocks(t):
+        sizes = W.counts(words)
+        block = _block(t, words)
+        lettered = block.script >= 0
+        row = words.row - words.first
+        n_lettered = np.bincount(row[lettered], minlength=len(sizes))
+        if model.languages:
+            scores = word_scores(model, words, block)
+            path = best_path(scores, sizes)
+            votes = np.zeros((len(sizes), len(model.languages)))
+            np.add.at(votes, (row[lettered], path[lettered]), 1)
+            totals = np.stack([np.bincount(row, weights=s, minlength=len(sizes)) for s in scores.T], axis=1)
+            chance = np.exp(totals - totals.max(axis=1, keepdims=True))
+            chance /= chance.sum(axis=1, keepdims=True)
+            best = (votes + chance * 0.5).argmax(axis=1)
+            rows = np.arange(len(sizes))
+            score = votes[rows, best] / np.maximum(n_lettered, 1) * chance[rows, best]
+            best = np.where(n_lettered > 0, best, len(model.languages))
+            score = np.where(n_lettered > 0, score, 0.0)
+        else:
+            best, score, path = np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(0, np.int64)
+            sizes = np.zeros_like(sizes)
+        yield words.first, names[best], score, _spans(model, path, sizes)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of every whole text of ``docs`` (doc_id, text, others ignored).
 
@@ -278,38 +309,36 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     empty table.
     """
     bound_batches(docs.sparkSession)
-    names = np.array([*model.languages, UNDETERMINED], dtype=object)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = W.texts(batch.column("text"))
-            for words in W.blocks(t):
-                ids = batch.column("doc_id").slice(words.first, words.last - words.first)
-                sizes = W.counts(words)
-                block = _block(t, words)
-                lettered = block.script >= 0
-                row = words.row - words.first
-                n_lettered = np.bincount(row[lettered], minlength=len(sizes))
-                if model.languages:
-                    scores = word_scores(model, words, block)
-                    path = best_path(scores, sizes)
-                    votes = np.zeros((len(sizes), len(model.languages)))
-                    np.add.at(votes, (row[lettered], path[lettered]), 1)
-                    totals = np.stack([np.bincount(row, weights=s, minlength=len(sizes)) for s in scores.T], axis=1)
-                    chance = np.exp(totals - totals.max(axis=1, keepdims=True))
-                    chance /= chance.sum(axis=1, keepdims=True)
-                    best = (votes + chance * 0.5).argmax(axis=1)
-                    rows = np.arange(len(sizes))
-                    score = votes[rows, best] / np.maximum(n_lettered, 1) * chance[rows, best]
-                    best = np.where(n_lettered > 0, best, len(model.languages))
-                    score = np.where(n_lettered > 0, score, 0.0)
-                else:
-                    best, score, path = np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(0, np.int64)
-                    sizes = np.zeros_like(sizes)
-                spans = _spans(model, path, sizes)
+            for first, lang, score, spans in labelled(model, batch.column("text")):
+                ids = batch.column("doc_id").slice(first, len(lang))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(names[best], pa.string()), pa.array(score), spans], names=["doc_id", "lang_pred", "score", "spans"]
+                    [ids, pa.array(lang, pa.string()), pa.array(score), spans], names=["doc_id", "lang_pred", "score", "spans"]
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(label, f"doc_id long, lang_pred string, score double, spans {SPANS}")
+
+
+def certain_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (text, lang, any others) in a language that was learned from their labels, with all their columns.
+
+    Texts without a letter and texts whose score is below ``MIN_SCORE`` go: neither most of their
+    words nor all together point to one language. Without any labelled row nothing can be learned
+    and only texts without a letter go.
+    """
+    model = train(docs)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, lang, score, _ in labelled(model, batch.column("text")):
+                certain = (score >= MIN_SCORE) & (lang != UNDETERMINED)
+                yield batch.slice(first, len(lang)).filter(pa.array(certain if model.languages else _lettered(batch, first, len(lang)), pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _lettered(batch: pa.RecordBatch, first: int, size: int) -> np.ndarray:
+    return np.array([any(map(str.isalpha, x.as_py() or "")) for x in batch.column("text").slice(first, size)], dtype=bool)

@@ -288,6 +288,28 @@ SCHEMA = (
 )
 
 
+def verdicts(refs: References, column: pa.Array) -> list[np.ndarray]:
+    """The columns of ``SCHEMA`` from ``n_words`` on, for the texts of ``column``."""
+    t = W.texts(column)
+    parts = []
+    for block in W.blocks(t):
+        base = base_counts(t, block)
+        failed = base_failed(base)
+        if refs.languages:
+            by_char, by_word = distances(refs, block, base)
+            short_chars = (base.classes.sum(axis=1) < MIN_CHARS)[:, None]
+            short_words = (base.n_words < MIN_HISTOGRAM_WORDS)[:, None]
+            near = (short_chars | (by_char <= MAX_CHAR_DISTANCE)) & (short_words | (by_word <= MAX_WORD_DISTANCE))
+            best = (by_char + by_word).argmin(axis=1)
+            rows = np.arange(len(best))
+            found = (near.any(axis=1), np.array(refs.languages, dtype=object)[best], by_char[rows, best], by_word[rows, best])
+        else:
+            empty = np.full(len(failed), None, dtype=object)
+            found = (np.ones(len(failed), bool), empty, empty, empty)
+        parts.append((*base[:5], failed, ~failed & found[0], *found[1:]))
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 10
+
+
 def judged(docs: DataFrame, refs: References | None = None) -> DataFrame:
     """Counts and verdict of every whole text of ``docs`` (doc_id, text, lang and any other columns).
 
@@ -302,29 +324,24 @@ def judged(docs: DataFrame, refs: References | None = None) -> DataFrame:
     refs = references(texts) if refs is None else refs
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 2
         for batch in batches:
-            t = W.texts(batch.column("text"))
-            parts = []
-            for block in W.blocks(t):
-                base = base_counts(t, block)
-                failed = base_failed(base)
-                if refs.languages:
-                    by_char, by_word = distances(refs, block, base)
-                    short_chars = (base.classes.sum(axis=1) < MIN_CHARS)[:, None]
-                    short_words = (base.n_words < MIN_HISTOGRAM_WORDS)[:, None]
-                    near = (short_chars | (by_char <= MAX_CHAR_DISTANCE)) & (short_words | (by_word <= MAX_WORD_DISTANCE))
-                    best = (by_char + by_word).argmin(axis=1)
-                    rows = np.arange(len(best))
-                    found = (near.any(axis=1), np.array(refs.languages, dtype=object)[best], by_char[rows, best], by_word[rows, best])
-                else:
-                    empty = np.full(len(failed), None, dtype=object)
-                    found = (np.ones(len(failed), bool), empty, empty, empty)
-                parts.append((*base[:5], failed, ~failed & found[0], *found[1:]))
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[]] * 10
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * 2
+            columns = verdicts(refs, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]],
                 names=[f.split()[0] for f in SCHEMA.split(", ")],
             )
 
     return texts.drop("lang").mapInArrow(judge, SCHEMA)
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns; see ``judged``."""
+    bound_batches(docs.sparkSession)
+    refs = references(docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(verdicts(refs, batch.column("text"))[6], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
