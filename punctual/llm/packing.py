@@ -21,8 +21,9 @@ from .storage import bound_batches
 
 CAPACITY = 4_096
 END_ID = 2
-#: Words whose ids a worker remembers, and bytes of ids in one output batch.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers (some 200 bytes each), and bytes of a word that it keeps when that is full.
+REMEMBERED, SHORT_WORD = 1_000_000, 7
+#: Bytes of ids in one output batch.
 OUTPUT_BYTES = 8 * 1024 * 1024
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
@@ -36,10 +37,11 @@ def public_tokenizer() -> str:
 
 
 class WordIds:
-    """Token ids of white-space separated words as little-endian unsigned 32-bit integers.
+    """Token ids of whole texts as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids
-    in order; each word is tokenized once and remembered.
+    Where the tokenizer drops white space, never joins across it and folds ASCII case, a text's ids
+    are its lower-case words' ids in order, and each word is tokenized once and remembered. Any
+    other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -48,21 +50,38 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.by_word = ids(" Ab\n cD, é.\t\r") == ids("ab") + ids("cd,") + ids("é.")
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(encoding.ids, dtype="<u4").tobytes() for encoding in found]
 
     def __call__(self, text: bytes) -> bytes:
-        parts = text.split()  # bytes: at ASCII white space only
+        if not self.by_word:
+            return self._encode([text])[0]
+        # Names of special tokens are matched by case; bytes.lower changes ASCII letters only.
+        parts = (text if b"<|" in text else text.lower()).split()
         new = set(parts).difference(self.known)
         if new:
             if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = set(parts)
-            order = list(new)
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in order], add_special_tokens=False)
-            for word, encoding in zip(order, found, strict=True):
-                self.known[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+                # Short words come back; of the long ones most are seen once.
+                self.known = {w: ids for w, ids in self.known.items() if len(w) <= SHORT_WORD}
+                new = set(parts).difference(self.known)
+            self.known.update(zip(new, self._encode(list(new)), strict=True))
         return b"".join(map(self.known.__getitem__, parts))
 
 
+#: One per vocabulary file in each Python worker, for all the tasks that the worker runs.
+_WORD_IDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _WORD_IDS:
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
+
+
 def piece_lengths(tokens: int, capacity: int = CAPACITY) -> list[int]:
     """Full sequences, then the binary digits of the rest from the highest."""
     rest = tokens % capacity
@@ -84,7 +103,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     bound_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer_path or public_tokenizer())
+        ids_of = word_ids(tokenizer_path or public_tokenizer())
         end = np.array([end_id], dtype="<u4").tobytes()
         rows: list[tuple] = []
         held = 0
