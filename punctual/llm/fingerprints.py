@@ -50,7 +50,8 @@ def winnowed(text: Column) -> Column:
 
 
 def hashes(picks: Column) -> Column:
-    return F.array_distinct(F.transform(picks, lambda p: F.shiftrightunsigned(p, 31)))
+    """The distinct 32-bit hashes of the chosen grams, as signed integers."""
+    return F.array_distinct(F.transform(picks, lambda p: (F.shiftrightunsigned(p, 31) - F.lit(1 << 31)).cast("int")))
 
 
 def as_text(picks: Column) -> Column:
@@ -116,36 +117,30 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     A single document is its own next one. An empty table gives an empty table.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("doc_id"), text.alias("text")
-    ).withColumn("mark", F.xxhash64("text"))
-    narrow = base.select("id", "mark", "doc_id", F.length("text").alias("chars")).distinct()
-    order = neighbours(narrow)
-    printed = base.withColumn("picks", winnowed(F.col("text")))
+    doc_id = F.col("doc_id").cast("long")
+    base = docs.select(F.coalesce(doc_id.cast("string"), F.lit("")).alias("id"), text.alias("text")).withColumn(
+        "mark", F.xxhash64("text")
+    )
+    id_number = F.nullif(F.col("id"), F.lit("")).cast("long")
+    narrow = base.select("id", "mark", id_number.alias("doc_id"), F.length("text").alias("chars")).distinct()
     # What the previous document needs of each: the head that may replace its tail, and the hashes.
-    one = Window.partitionBy("id", "mark").orderBy("mark")
-    heads = (
-        printed.withColumn("copy", F.row_number().over(one)).where("copy = 1")
-        .join(order, ["id", "mark"])
-        .select(
-            F.col("prev_id").alias("id"),
-            F.col("prev_mark").alias("mark"),
-            F.expr("substring(text, 1, cast(floor(prev_chars / 3) as int))").alias("head"),
-            hashes(F.col("picks")).alias("next_hashes"),
-        )
+    # Both joins read the same exchange of the texts; fingerprints are taken after it, being larger.
+    heads = base.join(neighbours(narrow), ["id", "mark"]).select(
+        F.col("prev_id").alias("id"),
+        F.col("prev_mark").alias("mark"),
+        F.expr("substring(text, 1, cast(floor(prev_chars / 3) as int))").alias("head"),
+        hashes(winnowed(F.col("text"))).alias("next_hashes"),
     )
-    chars = F.length("text")
-    met = (
-        printed.join(heads, ["id", "mark"])
-        .withColumn("edited", F.concat(F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 3) as int))"), F.col("head")))
-        .select(
-            "doc_id",
-            chars.cast("long").alias("n_chars"),
-            F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-            "picks",
-            winnowed(F.col("edited")).alias("edited_picks"),
-            "next_hashes",
-        )
+    one = Window.partitionBy("id", "mark").orderBy("mark")
+    heads = heads.withColumn("copy", F.row_number().over(one)).where("copy = 1").drop("copy")
+    edited = F.concat(F.expr("substring(text, 1, cast(length(text) - floor(length(text) / 3) as int))"), F.col("head"))
+    met = base.join(heads, ["id", "mark"]).withColumn("edited", edited).select(
+        id_number.alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        winnowed(F.col("text")).alias("picks"),
+        winnowed(F.col("edited")).alias("edited_picks"),
+        "next_hashes",
     )
     own = hashes(F.col("picks"))
     return met.select(
