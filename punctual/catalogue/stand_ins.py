@@ -80,6 +80,37 @@ def id_labeler():
     return answer
 
 
+def drifting_labeler(start: int):
+    """Labeler whose later prompts move one review in ten to the next theme: ``start`` is the run."""
+    themes, severities = list(THEMES), list(SEVERITIES)
+
+    def answer(prompt: str) -> str:
+        import json
+        import re
+
+        ids = [int(i) for i in re.findall(r"^- review_id=(\d+): ", prompt, re.MULTILINE)]
+        moved = lambda i: (i + 1) % 8 if start == 2 and i % 10 == 3 else i % 8
+        return json.dumps(
+            [{"review_id": str(i), "theme": themes[moved(i)], "severity": severities[i % 3]} for i in ids]
+        )
+
+    return answer
+
+
+def careless_labeler():
+    """Labeler that never names every fifth id, names every seventh twice and invents one id per prompt."""
+    rule = drifting_labeler(1)
+
+    def answer(prompt: str) -> str:
+        import json
+
+        rows = [r for r in json.loads(rule(prompt)) if int(r["review_id"]) % 5]
+        rows += [r for r in rows if int(r["review_id"]) % 7 == 0]
+        return json.dumps([*rows, {"review_id": "x", "theme": "other", "severity": "low"}])
+
+    return answer
+
+
 def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 

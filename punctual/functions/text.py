@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Character limits of a prompt line and of an example shown with a theme.
-PROMPT_TEXT_CHARS = 400
-EXAMPLE_CHARS = 120
-
 # Display names of the themes.
 THEME_NAMES = {
     "wrong_or_missing_item": "Wrong / Missing Item",
@@ -35,7 +31,7 @@ def shorten(text: Column, max_chars: int | None) -> Column:
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
-def prompt_line(review_id: Column, text: Column, max_chars: int | None = PROMPT_TEXT_CHARS) -> Column:
+def prompt_line(review_id: Column, text: Column, max_chars: int | None = None) -> Column:
     return F.concat(
         F.lit("- review_id="), review_id.cast("string"), F.lit(": "), shorten(text.cast("string"), max_chars)
     )

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows a top-n (one bounded heap per task) is cheaper than ranking all rows.
-TOP_N_ROWS = 10_000
+# Leading hex digits of the hash that name a bucket: 16^4 buckets. Raise it with the population.
 HASH_DIGITS = 4
 
 
@@ -15,16 +14,20 @@ def seeded_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def hash_rank(frame: DataFrame, key: str, seed: int) -> DataFrame:
-    """Add ``rank``, the exact 1-based position in the sampling order, without a global sort.
+def sample_ranked(
+    frame: DataFrame, key: str, n: int | None, seed: int, hash_digits: int = HASH_DIGITS
+) -> DataFrame:
+    """``min(n, all)`` rows with ``rank``, their exact 1-based position in the sampling order; every row for ``n=None``.
 
     Rows are ranked inside hash buckets; the offset of a bucket is the number of rows in the
-    buckets before it. Only the bucket counts (at most 16^``HASH_DIGITS`` = 65,536 rows, hence the
-    broadcast) see a global window. The hash spreads unique keys evenly, so no bucket is hot.
-    ``frame`` is read twice, for the counts and for the ranks: pass a stored table.
+    buckets before it. Only the bucket counts (at most 16^``hash_digits`` rows, hence the
+    broadcast) see a global window. Buckets that begin beyond ``n`` are dropped before anything is
+    shuffled, so only the rows of the sample, and the rest of its last bucket, are. The hash spreads
+    unique keys evenly, so no bucket is hot. ``frame`` is read twice, for the counts and for the
+    ranks: pass a stored table.
     """
     hashed = frame.withColumn("_hash", seeded_hash(key, seed)).withColumn(
-        "_bucket", F.conv(F.substring("_hash", 1, HASH_DIGITS), 16, 10).cast("int")
+        "_bucket", F.conv(F.substring("_hash", 1, hash_digits), 16, 10).cast("bigint")
     )
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -32,25 +35,14 @@ def hash_rank(frame: DataFrame, key: str, seed: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
+    if n is not None:
+        offsets = offsets.filter(F.col("_offset") < n)
     inside = Window.partitionBy("_bucket").orderBy("_hash", key)
-    return (
-        hashed.withColumn("_inside", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn("rank", F.col("_offset") + F.col("_inside"))
-        .drop("_hash", "_bucket", "_inside", "_offset")
+    ranked = (
+        hashed.join(F.broadcast(offsets), "_bucket")
+        .withColumn("rank", F.col("_offset") + F.row_number().over(inside))
+        .drop("_hash", "_bucket", "_offset")
     )
-
-
-def sample_ranked(frame: DataFrame, key: str, n: int | None, seed: int) -> DataFrame:
-    """``min(n, all)`` rows with their position ``rank``; every row for ``n=None``."""
-    if n is not None and n <= TOP_N_ROWS:
-        top = (
-            frame.withColumn("_hash", seeded_hash(key, seed)).orderBy("_hash", key).limit(n)
-        )
-        # At most TOP_N_ROWS rows reach this window.
-        position = F.row_number().over(Window.orderBy("_hash", key)).cast("bigint")
-        return top.withColumn("rank", position).drop("_hash")
-    ranked = hash_rank(frame, key, seed)
     return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 

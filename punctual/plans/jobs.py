@@ -33,40 +33,15 @@ def sentiment_job(
     return JobResult(scored, sentiment_summary(scored))
 
 
-def label_new_reviews(
-    features: DataFrame,
-    cache: ResultCache,
-    labeler: labelling.Labeler,
-    name: str = "themes",
-    **options,
-) -> DataFrame:
-    """Add labels for sampled reviews that have none yet; stored labels are not asked again.
-
-    The new labels are stored on their own before the union replaces the old ones, so the labeler
-    is called once per review even when the last write is repeated.
-    """
-    old = cache.load(name)
-    sample = labelling.negative_sample(
-        features,
-        options.pop("n_sample", labelling.SAMPLE_SIZE),
-        options.pop("seed", labelling.SEED),
-    )
-    missing = labelling.unlabelled(sample, old)
-    fresh = cache.save(f"{name}_fresh", labelling.label_sample(missing, labeler, **options))
-    merged = cache.save(f"{name}_merged", old.unionByName(fresh))
-    return cache.save(name, merged)
-
-
 def theme_stability(
     features: DataFrame, cache: ResultCache, labeler: labelling.Labeler, **options
 ) -> DataFrame:
-    """Label the same sample twice and report how often the theme is the same.
+    """Label the same reviews twice and report how often the theme is the same.
 
-    Each run is stored by its own job. In one plan the two runs would look alike, and Spark could
-    evaluate one of them and use it for both.
+    Each run is a stored generation of its own.
     """
     runs = [
-        cache.save(name, labelling.build_themes(features, labeler, **options))
+        labelling.build_themes(features, labeler, cache, name, regenerate=True, **options)
         for name in ("stability_a", "stability_b")
     ]
     return labelling.stability(*runs)
@@ -79,14 +54,10 @@ def theming_job(
     regenerate: bool = False,
     **options,
 ) -> tuple[JobResult, DataFrame]:
-    """Label a sample (kept), label it again, compare; returns labels, summary and chart data.
-
-    Both runs are stored before they are joined: evaluating a run calls the labeler.
-    """
-    first = cache.load_or_build(
-        "themes", lambda: labelling.build_themes(features, labeler, **options), regenerate
-    )
-    second = cache.save("themes_check", labelling.build_themes(features, labeler, **options))
+    """Label the negative reviews (kept), label them again, compare; returns labels, summary and chart data."""
+    build = labelling.build_themes
+    first = cache.save("themes_table", build(features, labeler, cache, "themes", regenerate=regenerate, **options))
+    second = build(features, labeler, cache, "themes_check", regenerate=True, **options)
     summary = themes.theme_summary(first, labelling.stability(first, second))
     chart = themes.theme_frequency(themes.labels_with_reviews(first, features))
     return JobResult(first, summary), chart.orderBy("theme_rank", outcome_rank(F.col("delivery_outcome")))

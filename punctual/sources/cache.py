@@ -33,6 +33,34 @@ class ResultCache:
         marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/_SUCCESS")
         return marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(marker)
 
+    def _folders(self, name: str, prefix: str) -> list[int]:
+        """Numbers of the folders ``<prefix>=<number>`` below ``name``."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            return []
+        names = [status.getPath().getName() for status in system.listStatus(path)]
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{prefix}="))
+
+    def generation(self, name: str, new: bool = False) -> str:
+        """The newest generation of ``name``, or with ``new`` (or without any) the next one."""
+        found = self._folders(name, "generation")
+        number = (found[-1] if found else 0) + (new or not found)
+        return f"{name}/generation={number}"
+
+    def append(self, name: str, frame: DataFrame) -> None:
+        """Store ``frame`` as one more run of ``name``. Earlier runs are never touched."""
+        runs = self._folders(name, "run")
+        frame.write.parquet(self.path(f"{name}/run={(runs[-1] if runs else 0) + 1}"))
+
+    def runs(self, name: str, schema: str) -> DataFrame:
+        """All complete runs of ``name`` as one table; a run whose write broke off is left out."""
+        complete = [f"{name}/run={n}" for n in self._folders(name, "run")]
+        paths = [self.path(run) for run in complete if self.exists(run)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
     def save(self, name: str, frame: DataFrame) -> DataFrame:
         return materialize(frame, self.path(name))
 

@@ -68,11 +68,21 @@ def test_sample_is_the_head_of_the_hash_order(spark, n):
     assert sorted(r["rank"] for r in rows) == list(range(1, len(got) + 1))
 
 
-def test_ranking_beyond_the_top_n_bound_picks_the_same_rows(spark, monkeypatch):
-    small = sampling.sample_ranked(population(spark, 200), "review_id", 60, 7).collect()
-    monkeypatch.setattr(sampling, "TOP_N_ROWS", 10)
-    ranked = sampling.sample_ranked(population(spark, 200, 5), "review_id", 60, 7).collect()
-    assert sorted((r["rank"], r.review_id) for r in small) == sorted((r["rank"], r.review_id) for r in ranked)
+def test_buckets_beyond_the_sample_are_dropped_before_the_shuffle(spark):
+    """The exchange of the ranked rows lies above the join with the kept buckets."""
+    sampled = sampling.sample_ranked(population(spark, 2000), "review_id", 20, 7)
+    plan = sampled._jdf.queryExecution().executedPlan().toString()
+    exchange = plan.index("Exchange hashpartitioning(_bucket")
+    assert "BroadcastHashJoin [_bucket" in plan[exchange:]
+    assert "_offset" in plan[exchange:] and "< 20)" in plan[exchange:]
+
+
+def test_any_bucket_width_gives_the_same_sample(spark):
+    runs = {
+        tuple(sorted((r["rank"], r.review_id) for r in sampling.sample_ranked(population(spark, 200, 5), "review_id", 60, 7, digits).collect()))
+        for digits in (1, 2, 4)
+    }
+    assert len(runs) == 1
 
 
 def test_batches_are_full_but_the_last(spark):
@@ -112,20 +122,84 @@ def negative_features(spark, n):
     return population(spark, n).withColumns({"is_negative": F.lit(True), "has_text": F.col("review_id") % 5 != 0})
 
 
-def test_one_retry_on_a_broken_answer(spark, tmp_path):
-    labels = labelling.build_themes(negative_features(spark, 50), flaky_labeler(str(tmp_path), 1), n_sample=30)
+def test_broken_answers_are_asked_again_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    cache = ResultCache(spark, str(tmp_path / "cache"))
+    labels = labelling.build_themes(negative_features(spark, 50), flaky_labeler(str(calls), 1), cache, n_sample=30)
     rows = labels.collect()
     assert sorted(int(r.review_id) for r in rows) == sorted(
         [i for i in expected_order(50, 42) if i % 5][:30]
     )
-    assert {len(p.read_text()) for p in tmp_path.iterdir()} == {2}
+    assert {len(p.read_text()) for p in calls.iterdir()} == {2}
     assert {r.theme for r in rows} <= set(theme_json.THEMES)
 
 
-def test_two_broken_answers_fail_the_job(spark, tmp_path):
-    labels = labelling.build_themes(negative_features(spark, 5), flaky_labeler(str(tmp_path), 99))
-    with pytest.raises(Exception, match="no label array in 2 answers"):
-        labels.collect()
+def test_reviews_without_a_label_fail_the_job_or_are_reported(spark, tmp_path):
+    features = negative_features(spark, 5)
+    cache = ResultCache(spark, str(tmp_path / "a"))
+    with pytest.raises(ValueError, match="4 reviews of 'themes' got no label"):
+        labelling.build_themes(features, lambda prompt: "[]", cache)
+    done = labelling.labelled_themes(features, lambda prompt: "sorry", ResultCache(spark, str(tmp_path / "b")))
+    assert tuple(done.coverage().first()) == (4, 0, 4, 0)
+    assert sorted(r.review_id for r in done.missing.collect()) == ["1", "2", "3", "4"]
+
+
+def test_invented_repeated_and_unnamed_ids(spark, tmp_path):
+    def careless(prompt):
+        import json
+
+        row = {"theme": "other", "severity": "low"}
+        return json.dumps([{"review_id": "1", **row}, {"review_id": "1", **row}, {"review_id": "77", **row}, row])
+
+    done = labelling.labelled_themes(negative_features(spark, 5), careless, ResultCache(spark, str(tmp_path)))
+    assert [r.review_id for r in done.labels.collect()] == ["1"]
+    # Two attempts: the second prompt no longer holds review 1, so its labels for it are foreign too.
+    assert tuple(done.coverage().first()) == (4, 1, 3, 6)
+
+
+def test_number_of_tasks_follows_the_number_of_prompts(spark):
+    prompts = spark.range(100).select(
+        F.col("id").alias("batch_id"), F.array(F.col("id").cast("string")).alias("review_ids"), F.lit("p").alias("prompt")
+    )
+    for tasks in (1, 7, 50):
+        assert labelling.ask_labeler(prompts, stand_ins.id_labeler(), tasks).rdd.getNumPartitions() == tasks
+
+
+def test_a_run_that_breaks_off_is_continued_without_asking_twice(spark, tmp_path):
+    """The first attempt is stored, the second breaks; the next call asks only what is missing."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    rule, folder = stand_ins.drifting_labeler(1), str(calls)
+
+    def labeler(broken):
+        def answer(prompt):
+            import json
+            import os
+            import re
+            import tempfile
+
+            ids = re.findall(r"^- review_id=(\d+): ", prompt, re.MULTILINE)
+            with os.fdopen(tempfile.mkstemp(dir=folder)[0], "w") as f:
+                f.write(" ".join(ids))
+            second = all(int(i) % 3 == 0 for i in ids)
+            if broken and second:
+                raise RuntimeError("the service is down")
+            rows = json.loads(rule(prompt))
+            return json.dumps(rows if second else [r for r in rows if int(r["review_id"]) % 3])
+
+        return answer
+
+    features = negative_features(spark, 60)
+    cache = ResultCache(spark, str(tmp_path / "cache"))
+    with pytest.raises(Exception, match="the service is down"):
+        labelling.build_themes(features, labeler(True), cache)
+    for p in calls.iterdir():
+        p.write_text("")
+    labels = labelling.build_themes(features, labeler(False), cache)
+    assert sorted(int(r.review_id) for r in labels.collect()) == [i for i in range(60) if i % 5]
+    asked = " ".join(p.read_text() for p in calls.iterdir()).split()
+    assert sorted(map(int, asked)) == [i for i in range(60) if i % 5 and i % 3 == 0]
 
 
 def labels_frame(spark, rows):
@@ -141,14 +215,13 @@ def test_stability_counts_each_review_once(spark):
 def test_only_unlabelled_reviews_are_asked_again(spark, tmp_path):
     features = negative_features(spark, 40)
     cache = ResultCache(spark, str(tmp_path / "cache"))
-    cache.load_or_build("themes", lambda: labelling.build_themes(features, stand_ins.id_labeler(), n_sample=10))
+    labelling.build_themes(features, stand_ins.id_labeler(), cache, n_sample=10)
     calls = tmp_path / "calls"
     calls.mkdir()
-    labels = jobs.label_new_reviews(features, cache, flaky_labeler(str(calls), 0), n_sample=20)
+    labels = labelling.build_themes(features, flaky_labeler(str(calls), 0), cache, n_sample=20)
     ids = [int(r.review_id) for r in labels.collect()]
     assert sorted(ids) == sorted([i for i in expected_order(40, 42) if i % 5][:20])
     assert sum(len(p.read_text()) for p in calls.iterdir()) == 1
-    assert cache.load("themes").count() == 20
 
 
 def test_theming_job_loads_the_stored_run_and_compares_a_fresh_one(spark, tmp_path):
