@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 
 def money_sum(amount: Column) -> Column:
-    """Sum of amounts with two decimals, reported as double: the same bits for any partitioning.
+    """Sum of amounts with up to six decimals, reported as double: the same bits for any partitioning.
 
-    Whole cents are added as integers, which stays in generated code where a wide decimal would
-    not. Exact for single amounts below 10^13; a sum beyond 64 bits fails instead of wrapping.
+    Whole cents, and the millionths beyond them, are added as integers, which stays in generated
+    code where a wide decimal would not. Single amounts of 10^9 or more count in whole cents, and
+    are exact below 10^13; a sum beyond 64 bits fails instead of wrapping.
     """
-    cents = F.sum(F.rint(amount.cast("double") * 100).cast("bigint"))
+    hundredfold = amount.cast("double") * 100
+    whole = F.rint(hundredfold)
+    beyond = F.when(F.abs(amount.cast("double")) < 1e9, F.rint((hundredfold - whole) * 10_000)).otherwise(whole * 0)
+    cents, millionths = F.sum(whole.cast("bigint")), F.sum(beyond.cast("bigint"))
     # Up to 2^53 cents are a double without rounding, so the division gives the nearest double.
-    in_decimals = cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")
-    return F.when(cents.between(-(2**53), 2**53), cents.cast("double") / 100).otherwise(
+    in_decimals = cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)") + millionths.cast(
+        "decimal(20,0)"
+    ) * F.lit("0.000001").cast("decimal(7,6)")
+    return F.when((millionths == 0) & cents.between(-(2**53), 2**53), cents.cast("double") / 100).otherwise(
         in_decimals.cast("double")
     )
 

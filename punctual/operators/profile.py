@@ -30,7 +30,7 @@ def excluded_by_status(orders: DataFrame) -> DataFrame:
 
 
 def one_time_buyers(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """Percentage of customers with exactly one order.
+    """Percentage of customers with exactly one order; missing without customers.
 
     Orders are counted per customer key before the join, so a customer with very many orders is
     one row in it.
@@ -48,7 +48,7 @@ def one_time_buyers(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return per_customer.agg(
         F.count(F.lit(1)).alias("n_customers"),
         F.round(
-            F.lit(100.0) * F.count_if(F.col("n") == 1).cast("double") / F.count(F.lit(1)), 1
+            F.try_divide(F.lit(100.0) * F.count_if(F.col("n") == 1).cast("double"), F.count(F.lit(1))), 1
         ).alias("one_time_pct"),
     )
 

@@ -20,33 +20,64 @@ def orders_clean(orders: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:
-    """The richest row per review among its delivered orders, with its ``has_text`` flag.
+#: What a review says; everything else about it is narrow.
+TEXT_COLUMNS = ("review_comment_title", "review_comment_message")
+#: A source may bring these along, taken where the text is stored, so that no text moves for them.
+DERIVED_COLUMNS = ("has_text", "text_digest")
+#: Orders the columns of ``TEXT_COLUMNS`` of otherwise equal rows; the same in SQL statements.
+TEXT_DIGEST = "md5(concat_ws('|', {}))".format(", ".join(f"coalesce(concat('1', {c}), '0')" for c in TEXT_COLUMNS))
+
+
+def source_columns(order_reviews: DataFrame) -> list[str]:
+    return [c for c in order_reviews.columns if c not in DERIVED_COLUMNS]
+
 
-    Text first, then the newest answer, then the smallest order id; a hash of the remaining
-    columns settles what is still tied, so the pick does not depend on partitioning. Flag and hash
-    are taken at the scan: title and message are only shuffled for a reader that selects them.
-    The ``rn = 1`` filter makes Spark keep one row per review and map task before the shuffle, so
-    a review id that holds a large part of the rows costs its reducer one row per map task.
+def _with_derived(order_reviews: DataFrame) -> DataFrame:
+    """Adds ``has_text``, ``text_digest`` and ``_row``, a key of review, order and text."""
+    derived = {"has_text": F.col("review_comment_message").isNotNull(), "text_digest": F.expr(TEXT_DIGEST)}
+    frame = order_reviews.withColumns({c: e for c, e in derived.items() if c not in order_reviews.columns})
+    ids = [F.coalesce(F.concat(F.lit("1"), F.col(c).cast("string")), F.lit("0")) for c in ("review_id", "order_id")]
+    return frame.withColumns({"has_text": F.col("has_text").cast("boolean"), "_row": F.concat_ws("|", *ids, "text_digest")})
+
+
+def picked(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:
+    """The richest row per review among its delivered orders, without its text; ``_row`` finds the text.
+
+    Text first, then the newest answer, then the smallest order id; score, text digest and the
+    remaining columns settle what is still tied, so the pick does not depend on partitioning. Flag
+    and digest are taken at the scan. The ``rn = 1`` filter makes Spark keep one row per review and
+    map task before the shuffle, so a review id that holds a large part of the rows costs its
+    reducer one row per map task.
     """
-    ranked = {"review_id", "order_id", "review_answer_timestamp"}
-    rest = [c for c in order_reviews.columns if c not in ranked]
-    # The hash skips missing values, so which ones are missing is hashed too.
-    tie = F.xxhash64(*rest, *[F.col(c).isNull() for c in rest])
-    delivered = order_reviews.withColumns(
-        {"has_text": F.col("review_comment_message").isNotNull(), "_tie": tie}
-    ).join(clean.select("order_id"), "order_id", "left_semi")
+    narrow = _with_derived(order_reviews).drop(*TEXT_COLUMNS)
+    ranked = {"review_id", "order_id", "review_answer_timestamp", "review_score", "has_text", "text_digest", "_row"}
+    rest = [F.col(c).asc_nulls_first() for c in narrow.columns if c not in ranked]
+    delivered = narrow.join(clean.select("order_id"), "order_id", "left_semi")
     best_first = Window.partitionBy("review_id").orderBy(
         F.col("has_text").desc(),
         F.col("review_answer_timestamp").desc_nulls_last(),
         F.col("order_id").asc_nulls_last(),
-        "_tie",
-    )
-    return (
-        delivered.withColumn("rn", F.row_number().over(best_first))
-        .filter("rn = 1")
-        .select(*order_reviews.columns, "has_text")
+        F.col("review_score").asc_nulls_first(),
+        "text_digest",
+        *rest,
     )
+    return delivered.withColumn("rn", F.row_number().over(best_first)).filter("rn = 1").drop("rn", "text_digest")
+
+
+def with_text(narrow: DataFrame, order_reviews: DataFrame) -> DataFrame:
+    """Adds ``TEXT_COLUMNS`` to rows with a ``_row`` key: the only shuffle of the text.
+
+    Rows of one key have the same text; one of them is kept, before the shuffle already.
+    """
+    texts = _with_derived(order_reviews).select("_row", *TEXT_COLUMNS)
+    one = Window.partitionBy("_row").orderBy("_row")
+    texts = texts.withColumn("rn", F.row_number().over(one)).filter("rn = 1").drop("rn")
+    return narrow.join(texts, "_row").drop("_row")
+
+
+def deduplicated(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:
+    """One row per review with its text and its ``has_text`` flag."""
+    return with_text(picked(order_reviews, clean), order_reviews).select(*source_columns(order_reviews), "has_text")
 
 
 def reviews_dedup(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from punctual.operators import silver
 from punctual.operators.features import add_features
-from punctual.operators.gold import gold_reviews
+from punctual.operators.gold import GOLD_COLUMNS, gold_reviews
 from punctual.sources.bronze import Bronze, Sources
 from punctual.sources.cache import materialize
 
@@ -49,17 +49,23 @@ def gold_from_silver(tables: Silver, customers: DataFrame) -> DataFrame:
     )
 
 
-def build_gold(bronze: Bronze) -> DataFrame:
-    """Gold as one lazy plan."""
+def build_gold(bronze: Bronze, text: bool = True) -> DataFrame:
+    """Gold as one lazy plan; without ``text`` no title or message is shuffled or returned.
+
+    The text joins last, on the narrow rows that are left, and is shuffled once.
+    """
     clean = silver.orders_clean(bronze.orders)
-    return gold_reviews(
-        silver.deduplicated(bronze.order_reviews, clean),
+    gold = gold_reviews(
+        silver.picked(bronze.order_reviews, clean),
         clean,
         bronze.customers,
         silver.order_items_agg(bronze.order_items),
         silver.order_payments_agg(bronze.order_payments),
         silver.zip_points(bronze.geolocation),
     )
+    if not text:
+        return gold.drop("_row")
+    return silver.with_text(gold, bronze.order_reviews).select(*GOLD_COLUMNS)
 
 
 def load_gold(spark: SparkSession, sources: Sources) -> DataFrame:
@@ -67,8 +73,21 @@ def load_gold(spark: SparkSession, sources: Sources) -> DataFrame:
     return build_gold(sources.bronze(spark))
 
 
-def build_features(bronze: Bronze) -> DataFrame:
-    return add_features(build_gold(bronze))
+def build_features(bronze: Bronze, text: bool = True) -> DataFrame:
+    return add_features(build_gold(bronze, text))
+
+
+def create_views(bronze: Bronze, prefix: str = "") -> dict[str, str]:
+    """Register the source tables, the cleaned tables and ``gold_reviews`` as lazy temp views.
+
+    Returns logical name -> view name; the twelve names can be used side by side in SQL.
+    """
+    names = bronze.create_views(prefix)
+    layers = {**build_silver(bronze).tables(), "gold_reviews": build_gold(bronze)}
+    for name, frame in layers.items():
+        names[name] = f"{prefix}{name}"
+        frame.createOrReplaceTempView(names[name])
+    return names
 
 
 @dataclass(frozen=True)
@@ -110,9 +129,12 @@ def stage(bronze: Bronze, root: str) -> Stages:
 def gold_statement(views: dict[str, str]) -> str:
     """Gold as one portable SQL statement over registered tables; ``has_text`` is 0 or 1."""
 
-    def cents(column: str) -> str:
+    def money(column: str) -> str:
+        cents = f"rint(CAST({column} AS DOUBLE) * 100)"
+        beyond = f"CASE WHEN abs(CAST({column} AS DOUBLE)) < 1e9 THEN rint((CAST({column} AS DOUBLE) * 100 - {cents}) * 10000) ELSE {cents} * 0 END"
         return (
-            f"CAST(CAST(sum(CAST(rint({column} * 100) AS BIGINT)) AS DECIMAL(20,0)) * 0.01 AS DOUBLE)"
+            f"CAST(CAST(sum(CAST({cents} AS BIGINT)) AS DECIMAL(20,0)) * 0.01"
+            f" + CAST(sum(CAST({beyond} AS BIGINT)) AS DECIMAL(20,0)) * 0.000001 AS DOUBLE)"
         )
 
     return f"""
@@ -124,14 +146,14 @@ def gold_statement(views: dict[str, str]) -> str:
     ),
     basket AS (
         SELECT order_id, count(*) AS n_items, count(DISTINCT seller_id) AS n_sellers,
-               {cents('price')} AS items_total,
-               {cents('freight_value')} AS freight_total
+               {money('price')} AS items_total,
+               {money('freight_value')} AS freight_total
         FROM {views['order_items']}
         GROUP BY order_id
     ),
     paid AS (
         SELECT order_id,
-               {cents('payment_value')} AS payment_total,
+               {money('payment_value')} AS payment_total,
                max(payment_installments) AS max_installments
         FROM {views['order_payments']}
         GROUP BY order_id
@@ -169,8 +191,8 @@ def gold_statement(views: dict[str, str]) -> str:
                row_number() OVER (
                    PARTITION BY review_id
                    ORDER BY has_text DESC, review_answer_timestamp DESC NULLS LAST,
-                            order_id ASC NULLS LAST, review_score, review_comment_title,
-                            review_comment_message
+                            order_id ASC NULLS LAST, review_score NULLS FIRST,
+                            {silver.TEXT_DIGEST}
                ) AS position
         FROM candidates
     )

@@ -61,16 +61,21 @@ class Bronze:
 TABLES = tuple(f.name for f in fields(Bronze))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with quoted multi-line text, typed by column name.
+#: The tables with free text, whose quoted values may hold line breaks.
+MULTI_LINE = ("order_reviews",)
+
+
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Header CSV, typed by column name.
 
     Only the header line is looked at to learn the columns; unknown columns are kept as strings.
-    A quoted text may hold line breaks, so one file is one task: split large inputs into many
-    files, or convert them to Parquet once (``cache.materialize``).
+    With ``multi_line`` a quoted text may hold line breaks, so one file is one task: split large
+    inputs into many files, or convert them to Parquet once (``cache.materialize``). Without it
+    Spark splits large files.
     """
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", "UTF-8")
@@ -111,7 +116,7 @@ class Sources:
             raise KeyError(f"{table!r} is not one of the source tables {TABLES}")
         where = self.location(table)
         if self.fmt == "csv":
-            return read_csv(spark, where)
+            return read_csv(spark, where, table in MULTI_LINE)
         if self.fmt == "parquet":
             return spark.read.parquet(where)
         if self.fmt == "table":

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from punctual.operators.silver import TEXT_DIGEST
 from punctual.sources.bronze import Bronze
 
 # Declared schemas: no job reads file footers while a plan is being built.
@@ -41,13 +42,21 @@ def _orders(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
 def _order_reviews(events: DataFrame, documents: DataFrame) -> DataFrame:
     scores = " ".join(f"WHEN '{name}' THEN {score}" for name, score in EVENT_SCORES.items())
-    return events.join(documents, F.expr("event_id = doc_id"), "left").selectExpr(
+    # Flag and digest are taken where the text is stored: who reads only them moves no text.
+    texts = documents.selectExpr(
+        "doc_id",
+        "source AS review_comment_title",
+        "CASE WHEN doc_id % 7 <> 0 THEN text END AS review_comment_message",
+    ).withColumns({"has_text": F.col("review_comment_message").isNotNull(), "text_digest": F.expr(TEXT_DIGEST)})
+    return events.join(texts, F.expr("event_id = doc_id"), "left").selectExpr(
         "CASE WHEN event_id % 100 = 99 THEN event_id - 1 ELSE event_id END AS review_id",
         "event_id AS order_id",
         f"CASE event_type {scores} ELSE 5 END AS review_score",
-        "source AS review_comment_title",
-        "CASE WHEN doc_id % 7 <> 0 THEN text END AS review_comment_message",
+        "review_comment_title",
+        "review_comment_message",
         "CAST(CAST(ts AS DATE) AS TIMESTAMP_NTZ) AS review_answer_timestamp",
+        "coalesce(has_text, false) AS has_text",
+        "coalesce(text_digest, md5('0|0')) AS text_digest",
     )
 
 

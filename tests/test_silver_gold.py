@@ -233,3 +233,34 @@ def test_money_sums_are_exact_for_any_size_and_order(spark):
         k: float(sum(Decimal(str(v)) for v in values if v is not None)) for k, values in groups.items()
     }
     assert frame.filter("v IS NULL").agg(money_sum(F.col("v")).alias("s")).first().s is None
+
+
+def test_money_keeps_more_than_two_decimals(spark):
+    frame = spark.createDataFrame([("o1", 1, 0.004, 0.0)] * 10, "order_id string, seller_id int, price double, freight_value double")
+    assert silver.order_items_agg(frame).first().items_total == 0.04
+
+
+def test_both_forms_of_gold_settle_full_ties_alike(spark):
+    rows = [review("r", "o1", "x", score=s, title=t) for s, t in ((2, "b"), (1, "z"), (2, None), (1, "a"))]
+    bronze = make_bronze(spark, [order("o1")], rows)
+    lazy = medallion.build_gold(bronze).first()
+    views = medallion.create_views(bronze, "tie_")
+    stated = medallion.gold_by_statement(spark, views).first()
+    named = spark.table("tie_gold_reviews").first()
+    assert lazy.review_score == stated.review_score == named.review_score == 1
+    assert lazy.review_comment_title == stated.review_comment_title == named.review_comment_title
+
+
+def test_views_of_all_layers_are_registered(spark):
+    names = medallion.create_views(make_bronze(spark, [order("o1")], [review("r", "o1", "x")]), "all_")
+    assert len(names) == 12
+    for view in names.values():
+        assert spark.sql(f"SELECT count(*) AS n FROM {view}").first().n >= 0
+
+
+def test_one_time_buyers_of_nobody(spark):
+    from punctual.operators import profile
+
+    orders = spark.createDataFrame([], "order_id string, customer_id string")
+    customers = spark.createDataFrame([], "customer_id string, customer_unique_id string")
+    assert tuple(profile.one_time_buyers(orders, customers).first()) == (0, None)
