@@ -22,7 +22,7 @@ from punctual.catalogue import stand_ins  # noqa: E402
 from punctual.operators.labelling import build_themes  # noqa: E402
 from punctual.operators.sentiment import build_sentiment  # noqa: E402
 from punctual.plans import medallion  # noqa: E402
-from punctual.plans.report import fetch, report  # noqa: E402
+from punctual.plans.report import analyse, report, store  # noqa: E402
 from punctual.session import tune  # noqa: E402
 from punctual.sources.cache import ResultCache  # noqa: E402
 from punctual.sources.star_schema import star_schema_bronze  # noqa: E402
@@ -83,7 +83,7 @@ def main() -> None:
     cache = ResultCache(spark, f"{folder}/cache")
     features = medallion.build_features(bronze)
     cache.save("sentiment", build_sentiment(features, stand_ins.star_model(), stand_ins.lexicon(spark)))
-    cache.save("themes", build_themes(features, stand_ins.id_labeler()))
+    themes = cache.save("themes_table", build_themes(features, stand_ins.id_labeler(), cache))
 
     for name in HEADLINE:
         timed(name, lambda: run(queries[name](spark, FOLDER)))
@@ -91,9 +91,16 @@ def main() -> None:
     def whole_report() -> None:
         source = star_schema_bronze(spark, FOLDER)
         stored = cache.save("features", medallion.build_features(source))
-        fetch(report(stored, cache.load("sentiment"), cache.load("themes")))
+        store(report(stored, cache.load("sentiment"), themes), cache)
+
+    def whole_analysis() -> None:
+        tables = analyse(
+            star_schema_bronze(spark, FOLDER), cache, stand_ins.star_model(), stand_ins.lexicon(spark), stand_ins.id_labeler()
+        )
+        store(tables, cache)
 
     timed("report_from_cache", whole_report)
+    timed("analyse", whole_analysis)
     print(
         json.dumps(
             {

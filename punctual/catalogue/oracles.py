@@ -117,6 +117,7 @@ _CTES = {
                row_number() OVER (ORDER BY md5(CAST(review_id AS VARCHAR) || ':42'), review_id) AS rank
         FROM features WHERE is_negative AND has_text""",
     "sample": "SELECT * FROM ranked WHERE rank <= 400",
+    "half_sample": "SELECT * FROM ranked WHERE rank <= 150",
     # Rule labels over all raw negative reviews with text.
     "raw_negatives": """
         SELECT DISTINCT review_id FROM b_order_reviews
@@ -314,25 +315,43 @@ def oracle_sql() -> dict[str, str]:
             SELECT {_SENTIMENT_COLUMNS}, review_comment_message FROM sentiment WHERE NOT ab_agree""",
         "disagreement_examples": """
             SELECT review_id, review_score, label_a, label_b,
-                   substring(review_comment_message, 1, 70) AS excerpt
+                   review_comment_message AS excerpt
             FROM sentiment WHERE NOT ab_agree
             ORDER BY md5(CAST(review_id AS VARCHAR) || ':1'), review_id LIMIT 3""",
         "negative_sample": "SELECT * FROM sample",
         "all_negatives_ranked": "SELECT review_id, rank FROM ranked",
-        "theme_batches": _BLOCKS.format(
-            text="substring(review_comment_message, 1, 400)", source="sample"
-        ),
+        "negative_half_sample": "SELECT * FROM half_sample",
+        "theme_batches": _BLOCKS.format(text="review_comment_message", source="ranked"),
         "theme_batches_whole_text": _BLOCKS.format(text="review_comment_message", source="ranked"),
+        "theme_batches_short": _BLOCKS.format(
+            text="substring(review_comment_message, 1, 400)", source="half_sample"
+        ),
+        "theme_coverage": """
+            SELECT count(*) AS asked, count(*) FILTER (review_id % 5 <> 0) AS labelled,
+                   count(*) FILTER (review_id % 5 = 0) AS missing,
+                   CAST(ceil(count(*) / 25.0) + ceil(count(*) FILTER (review_id % 5 = 0) / 25.0) AS BIGINT) AS "foreign"
+            FROM ranked""",
+        "label_new_reviews": f"""
+            SELECT CAST(review_id AS VARCHAR) AS review_id,
+                   {themes}[CASE WHEN rank > 150 AND review_id % 10 = 3 THEN (review_id + 1) % 8
+                                 ELSE review_id % 8 END + 1] AS theme,
+                   {severities}[review_id % 3 + 1] AS severity FROM ranked""",
+        "labelled_stability": """
+            SELECT count(*) AS n_both, avg((review_id % 10 <> 3)::INT) AS stability FROM ranked""",
+        "gold_by_name": """
+            SELECT g.review_id, g.order_id, g.review_score, g.has_text, g.customer_city, g.n_items,
+                   p.payment_total, p.n_payments
+            FROM gold g LEFT JOIN s_payments p ON p.order_id = g.order_id""",
         "theme_parse": f"""
             SELECT CAST(review_id AS VARCHAR) AS review_id,
                    CASE WHEN review_id % 9 < 7 THEN {themes}[review_id % 9 + 1] ELSE 'other' END AS theme,
                    {severities}[review_id % 3 + 1] AS severity
             FROM raw_negatives WHERE (review_id // 25) % 4 <> 3""",
-        "themes": f"{answered} FROM sample",
+        "themes": f"{answered} FROM ranked",
         "theme_stability": _STABILITY,
         "theme_counts": "SELECT theme, count(*) AS n FROM run_a GROUP BY theme",
         "theme_examples": """
-            SELECT theme, substring(review_comment_message, 1, 120) AS example FROM joined
+            SELECT theme, review_comment_message AS example FROM joined
             WHERE review_comment_message IS NOT NULL
             QUALIFY row_number() OVER (PARTITION BY theme ORDER BY CAST(review_id AS VARCHAR)) = 1""",
         "theme_frequency": """,
@@ -340,7 +359,7 @@ def oracle_sql() -> dict[str, str]:
             ranks AS (SELECT *, row_number() OVER (ORDER BY theme_total DESC, theme) AS theme_rank
                       FROM totals),
             examples AS (
-                SELECT theme, arg_min(substring(review_comment_message, 1, 120),
+                SELECT theme, arg_min(review_comment_message,
                                       CAST(review_id AS VARCHAR)) AS example
                 FROM joined WHERE review_comment_message IS NOT NULL GROUP BY theme)
             SELECT theme, delivery_outcome, count(*) AS n, theme_total,
@@ -385,8 +404,23 @@ def oracle_sql() -> dict[str, str]:
         "parquet_score_by_outcome": _SCORE_BY_OUTCOME,
         "catalog_score_by_outcome": _SCORE_BY_OUTCOME,
         "sentiment_job": _SUMMARY,
+        "analysis_score_by_outcome": _SCORE_BY_OUTCOME,
+        "analysis_theme_counts": f""",
+            answered AS ({answered} FROM ranked)
+            SELECT theme, count(*) AS n FROM answered GROUP BY theme""",
+        "theming_chart": f""",
+            answered AS ({answered} FROM ranked),
+            met AS (SELECT a.theme, CASE WHEN f.is_late THEN 'Late' ELSE 'On-time' END AS delivery_outcome
+                    FROM answered a JOIN features f ON CAST(f.review_id AS VARCHAR) = a.review_id),
+            totals AS (SELECT theme, count(*) AS theme_total FROM answered GROUP BY theme),
+            ranks AS (SELECT *, row_number() OVER (ORDER BY theme_total DESC, theme) AS r FROM totals),
+            rows AS (SELECT theme, delivery_outcome, count(*) AS n, theme_total, CAST(r AS INTEGER) AS theme_rank
+                     FROM met JOIN ranks USING (theme) GROUP BY ALL)
+            SELECT *, CAST(row_number() OVER (
+                       ORDER BY theme_rank, CASE delivery_outcome WHEN 'On-time' THEN 0 ELSE 1 END) AS INTEGER) AS place
+            FROM rows""",
         "theming_job": f""",
-            answered AS ({answered} FROM sample)
+            answered AS ({answered} FROM ranked)
             SELECT count(*) AS n, 100.0::DOUBLE AS stability_pct,
                    (SELECT {_FREQUENCY_JSON.format(labels='answered')}) AS freq
             FROM answered""",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from punctual.catalogue import stand_ins
 from punctual.functions import polarity
+from punctual.functions.delivery import outcome_rank
 from punctual.operators import (
     distributions,
     features as feature_ops,
@@ -21,6 +22,7 @@ from punctual.operators import (
     themes as theme_ops,
 )
 from punctual.plans import jobs, medallion
+from punctual.plans.report import analyse
 from punctual.session import shared_folder, tune
 from punctual.sources.bronze import Bronze, Sources, register_frame, table_counts
 from punctual.sources.cache import ResultCache, materialize
@@ -149,9 +151,20 @@ def gold_single_statement(spark, bronze):
     return _rounded(medallion.gold_by_statement(spark, views), "customer_lat", "customer_lng")
 
 
+@_query
+def gold_by_name(spark, bronze):
+    """Gold and a cleaned table by their names in SQL."""
+    names = medallion.create_views(bronze, "punctual_")
+    return spark.sql(f"""
+        SELECT g.review_id, g.order_id, g.review_score, g.has_text, g.customer_city, g.n_items,
+               p.payment_total, p.n_payments
+        FROM {names['gold_reviews']} g LEFT JOIN {names['order_payments_agg']} p ON p.order_id = g.order_id
+    """)
+
+
 @_query
 def gold_grain_check(spark, bronze):
-    return gold_ops.grain_check(medallion.build_gold(bronze))
+    return gold_ops.grain_check(medallion.build_gold(bronze, text=False))
 
 
 # Features and the quantitative signal
@@ -173,12 +186,12 @@ def features_from_statement(spark, bronze):
 
 @_query
 def score_by_outcome(spark, bronze):
-    return profile.score_by_outcome(medallion.build_features(bronze))
+    return profile.score_by_outcome(medallion.build_features(bronze, text=False))
 
 
 @_query
 def headline_rates(spark, bronze):
-    return profile.headline_rates(medallion.build_features(bronze))
+    return profile.headline_rates(medallion.build_features(bronze, text=False))
 
 
 @_query
@@ -188,17 +201,18 @@ def one_time_buyers(spark, bronze):
 
 @_query
 def score_share_by_outcome(spark, bronze):
-    return distributions.score_share_by_outcome(medallion.build_features(bronze))
+    return distributions.score_share_by_outcome(medallion.build_features(bronze, text=False))
 
 
 @_query
 def gap_histogram_daily(spark, bronze):
-    return distributions.gap_histogram_daily(medallion.build_features(bronze))
+    return distributions.gap_histogram_daily(medallion.build_features(bronze, text=False))
 
 
 @_query
 def gap_histogram_equal_width(spark, bronze):
-    return distributions.gap_histogram_equal_width(medallion.build_features(bronze))
+    gaps = medallion.build_features(bronze, text=False).select("delivery_gap_days", "delivery_outcome")
+    return distributions.gap_histogram_equal_width(materialize(gaps, _stored(spark, "gap_histogram")))
 
 
 # Sentiment
@@ -247,28 +261,45 @@ def disagreement_examples(spark, bronze):
 # Themes
 
 
+#: Sizes of the registered samples; the second is about half of the population at sf0.01.
+SAMPLE, HALF_SAMPLE = 400, 150
+
+
 @_query
 def negative_sample(spark, bronze):
-    return labelling.negative_sample(medallion.build_features(bronze))
+    return labelling.negative_sample(medallion.build_features(bronze), SAMPLE)
+
+
+@_query
+def negative_half_sample(spark, bronze):
+    return labelling.negative_sample(medallion.build_features(bronze), HALF_SAMPLE)
 
 
 @_query
 def all_negatives_ranked(spark, bronze):
     """The whole negative population in sampling order, without a global sort."""
     texts = _stored_texts(spark, bronze, "all_negatives_ranked")
-    return labelling.negative_sample(texts, n_sample=None).select("review_id", "rank")
+    return labelling.negative_sample(texts).select("review_id", "rank")
 
 
 @_query
 def theme_batches(spark, bronze):
-    return labelling.review_blocks(labelling.negative_sample(medallion.build_features(bronze)))
+    """Every negative review with its whole text, in batches, as one lazy plan."""
+    return labelling.review_blocks(labelling.negative_sample(medallion.build_features(bronze))).drop("review_ids")
 
 
 @_query
 def theme_batches_whole_text(spark, bronze):
-    """Every negative review with its whole text, in batches."""
+    """The same from stored texts."""
     texts = _stored_texts(spark, bronze, "theme_batches_whole_text")
-    return labelling.review_blocks(labelling.negative_sample(texts, n_sample=None), max_chars=None)
+    return labelling.review_blocks(labelling.negative_sample(texts)).drop("review_ids")
+
+
+@_query
+def theme_batches_short(spark, bronze):
+    """The same of a sample, with texts cut by request."""
+    texts = _stored_texts(spark, bronze, "theme_batches_short")
+    return labelling.review_blocks(labelling.negative_sample(texts, HALF_SAMPLE), max_chars=SAMPLE).drop("review_ids")
 
 
 @_query
@@ -276,9 +307,44 @@ def theme_parse(spark, bronze):
     return labelling.explode_labels(stand_ins.rule_answers(bronze.order_reviews))
 
 
+def _cache(spark: SparkSession, name: str) -> ResultCache:
+    return ResultCache(spark, _stored(spark, name))
+
+
 @_query
 def themes(spark, bronze):
-    return labelling.build_themes(medallion.build_features(bronze), stand_ins.id_labeler())
+    """Labels of every negative review by its whole text."""
+    texts = _stored_texts(spark, bronze, "themes_texts")
+    return labelling.build_themes(texts, stand_ins.id_labeler(), _cache(spark, "themes"), regenerate=True)
+
+
+@_query
+def theme_coverage(spark, bronze):
+    """What becomes of the reviews when the labeler leaves out, repeats and invents ids."""
+    texts = _stored_texts(spark, bronze, "theme_coverage_texts")
+    cache = _cache(spark, "theme_coverage")
+    return labelling.labelled_themes(texts, stand_ins.careless_labeler(), cache, regenerate=True).coverage()
+
+
+@_query
+def label_new_reviews(spark, bronze):
+    """A stored sample, then every review: only those without a label are asked for."""
+    texts = _stored_texts(spark, bronze, "label_new_reviews_texts")
+    cache = _cache(spark, "label_new_reviews")
+    labelling.build_themes(texts, stand_ins.drifting_labeler(1), cache, n_sample=HALF_SAMPLE, regenerate=True)
+    return labelling.build_themes(texts, stand_ins.drifting_labeler(2), cache)
+
+
+@_query
+def labelled_stability(spark, bronze):
+    """Two labelled runs of all negative reviews by a labeler that changes its mind in between."""
+    texts = _stored_texts(spark, bronze, "labelled_stability_texts")
+    cache = _cache(spark, "labelled_stability")
+    runs = [
+        labelling.build_themes(texts, stand_ins.drifting_labeler(run), cache, f"run_{run}", regenerate=True)
+        for run in (1, 2)
+    ]
+    return labelling.stability(*runs)
 
 
 @_query
@@ -291,16 +357,22 @@ def theme_counts(spark, bronze):
     return theme_ops.theme_counts(_labels(bronze))
 
 
+def _joined(spark: SparkSession, bronze: Bronze, name: str) -> DataFrame:
+    """Labels with their reviews, stored for queries that read them several times."""
+    labels = materialize(_labels(bronze), _stored(spark, f"{name}_labels"))
+    return materialize(
+        theme_ops.labels_with_reviews(labels, medallion.build_features(bronze)), _stored(spark, f"{name}_joined")
+    )
+
+
 @_query
 def theme_examples(spark, bronze):
-    joined = theme_ops.labels_with_reviews(_labels(bronze), medallion.build_features(bronze))
-    return theme_ops.theme_examples(joined)
+    return theme_ops.theme_examples(_joined(spark, bronze, "theme_examples"))
 
 
 @_query
 def theme_frequency(spark, bronze):
-    joined = theme_ops.labels_with_reviews(_labels(bronze), medallion.build_features(bronze))
-    return theme_ops.theme_frequency(joined)
+    return theme_ops.theme_frequency(_joined(spark, bronze, "theme_frequency"))
 
 
 @_query
@@ -322,7 +394,7 @@ def theme_summary(spark, bronze):
 
 @_query
 def city_lateness(spark, bronze):
-    cities = regional.city_lateness(medallion.build_features(bronze), CITY_MIN_ORDERS)
+    cities = regional.city_lateness(medallion.build_features(bronze, text=False), CITY_MIN_ORDERS)
     return _rounded(cities, "late_rate", "avg_score", "lat", "lng")
 
 
@@ -391,9 +463,37 @@ def sentiment_job(spark, bronze):
     ).summary
 
 
+def _theming(spark: SparkSession, bronze: Bronze, name: str):
+    texts = _stored_texts(spark, bronze, f"{name}_texts")
+    return jobs.theming_job(texts, _cache(spark, name), stand_ins.id_labeler(), regenerate=True)
+
+
 @_query
 def theming_job(spark, bronze):
-    texts = _stored_texts(spark, bronze, "theming_job_texts")
-    cache = ResultCache(spark, _stored(spark, "theming_job"))
-    result, _ = jobs.theming_job(texts, cache, stand_ins.id_labeler(), regenerate=True)
-    return result.summary
+    return _theming(spark, bronze, "theming_job")[0].summary
+
+
+@_query
+def theming_chart(spark, bronze):
+    """The theming job's chart rows in display order, numbered."""
+    chart = _theming(spark, bronze, "theming_chart")[1]
+    order = Window.orderBy("theme_rank", outcome_rank(F.col("delivery_outcome")))
+    return chart.withColumn("place", F.row_number().over(order)).drop("example")
+
+
+def _analysis(spark: SparkSession, bronze: Bronze, name: str) -> dict[str, DataFrame]:
+    return analyse(
+        bronze, _cache(spark, name), stand_ins.star_model(), stand_ins.lexicon(spark), stand_ins.id_labeler(),
+        regenerate_sentiment=True, regenerate_themes=True, min_orders=CITY_MIN_ORDERS,
+    )
+
+
+@_query
+def analysis_score_by_outcome(spark, bronze):
+    """One table of the whole analysis from source tables through stored layers."""
+    return _analysis(spark, bronze, "analysis_score")["score_by_outcome"]
+
+
+@_query
+def analysis_theme_counts(spark, bronze):
+    return _analysis(spark, bronze, "analysis_themes")["theme_counts"]

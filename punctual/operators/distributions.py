@@ -83,27 +83,23 @@ def gap_histogram_equal_width(
 ) -> DataFrame:
     """Equal-width bins between the smallest and largest clipped gap, shared by both outcomes.
 
-    Equal gaps are counted first; the bounds and the bins are both read from those counts, so the
-    features below are computed once (the second read reuses the exchange). All bound fields are
-    used downstream: a pruned field would make the two exchanges differ.
+    Bounds and total are one partial aggregate, the bins another one of ``bins`` times two rows:
+    no task ever gathers gaps, however many distinct ones there are. ``features`` is read twice,
+    gap and outcome only: pass a stored table.
     """
-    gap = clip(F.col("delivery_gap_days"), *window)
-    counts = (
-        features.select(gap.alias("gap"), "delivery_outcome")
-        .filter(F.col("gap").isNotNull())
-        .groupBy("gap", "delivery_outcome")
-        .agg(F.count(F.lit(1)).alias("n"))
+    gaps = features.select(clip(F.col("delivery_gap_days"), *window).alias("gap"), "delivery_outcome").filter(
+        F.col("gap").isNotNull()
     )
-    bounds = counts.agg(
+    bounds = gaps.agg(
         F.struct(
-            F.min("gap").alias("low"), F.max("gap").alias("high"), F.sum("n").alias("total")
+            F.min("gap").alias("low"), F.max("gap").alias("high"), F.count(F.lit(1)).alias("total")
         ).alias("bounds")
     ).scalar()
 
     value, guess = F.col("gap"), F.col("guess")
     scaled = (value - F.col("low")) / (F.col("high") - F.col("low")) * bins
     binned = (
-        _with_range(counts, bounds)
+        _with_range(gaps, bounds)
         .withColumn("guess", F.least(F.floor(scaled), F.lit(bins - 1)))
         # The guess may be one off at an edge; the edges themselves decide.
         .withColumn(
@@ -112,6 +108,8 @@ def gap_histogram_equal_width(
             .when((value >= _edge(guess + 1, bins)) & (guess < bins - 1), guess + 2)
             .otherwise(guess + 1),
         )
+        .groupBy("bin", "delivery_outcome")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     filled = _with_range(_with_empty_bins(binned, bins), bounds)
     return filled.select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from punctual.functions import polarity
 from punctual.functions.numeric import mean_flag, percent
-from punctual.functions.text import words
+from punctual.functions.text import shorten, words
 from punctual.operators.features import text_reviews
 from punctual.operators.sampling import sample_rows
 
@@ -124,14 +124,18 @@ def disagreements(sentiment: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def disagreement_examples(
-    sentiment: DataFrame, features: DataFrame, n: int = 3, seed: int = 1, max_chars: int = 70
+    sentiment: DataFrame, features: DataFrame, n: int = 3, seed: int = 1, max_chars: int | None = None
 ) -> DataFrame:
-    """A reproducible handful of disagreements for reading."""
-    picked = sample_rows(disagreements(sentiment, features), "review_id", n, seed)
-    return picked.select(
+    """A reproducible handful of disagreements for reading, cut to ``max_chars`` only if asked for.
+
+    Ids are picked first; the text joins the few picked rows.
+    """
+    picked = sample_rows(sentiment.filter(~F.col("ab_agree")), "review_id", n, seed)
+    texts = features.select("review_id", "review_comment_message")
+    return picked.join(texts, "review_id", "inner").select(
         "review_id",
         "review_score",
         "label_a",
         "label_b",
-        F.substring("review_comment_message", 1, max_chars).alias("excerpt"),
+        shorten(F.col("review_comment_message"), max_chars).alias("excerpt"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from punctual.functions.delivery import LATE, ON_TIME, outcome
 from punctual.functions.numeric import percent
-from punctual.functions.text import EXAMPLE_CHARS, shorten, theme_name
+from punctual.functions.text import shorten, theme_name
 
 
 def labels_with_reviews(labels: DataFrame, features: DataFrame, unmatched: str = "drop") -> DataFrame:
@@ -37,44 +37,39 @@ def theme_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy("theme").agg(F.count(F.lit(1)).alias("n"))
 
 
-def theme_examples(joined: DataFrame, max_chars: int | None = EXAMPLE_CHARS) -> DataFrame:
-    """One example text per theme: that of the smallest review id with a text."""
-    return (
-        joined.dropna(subset=["review_comment_message"])
-        .groupBy("theme")
-        .agg(
-            F.min_by(shorten(F.col("review_comment_message"), max_chars), "review_id").alias("example")
-        )
-    )
+def _example_ids(joined: DataFrame) -> DataFrame:
+    """(theme, review_id): the smallest review id with a text of each theme; no text moves for it."""
+    first = Window.partitionBy("theme").orderBy("review_id")
+    with_text = joined.filter(F.col("review_comment_message").isNotNull() & F.col("review_id").isNotNull())
+    ranked = with_text.select("theme", "review_id", F.row_number().over(first).alias("place"))
+    return ranked.filter("place = 1").drop("place")
 
 
-def theme_frequency(joined: DataFrame, max_chars: int | None = EXAMPLE_CHARS) -> DataFrame:
+def theme_examples(joined: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """One example text per theme: that of the smallest review id with a text.
+
+    The id of each theme is found first, then its text is fetched. ``joined`` is read twice: pass a
+    stored table.
+    """
+    texts = joined.dropna(subset=["review_comment_message"])
+    fetched = texts.join(_example_ids(joined), ["theme", "review_id"], "left_semi")
+    return fetched.select("theme", shorten(F.col("review_comment_message"), max_chars).alias("example")).dropDuplicates(["theme"])
+
+
+def theme_frequency(joined: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Counts per theme and outcome with the theme's total, rank and example text.
 
-    Counts and examples come from one aggregation; totals and the example of a theme are windows
-    over its few outcome rows, so no lookup join is needed. Ties in the ranking go by name.
+    Totals are windows over a theme's few outcome rows; examples join the counted rows. Ties in the
+    ranking go by name. ``joined`` is read several times: pass a stored table.
     """
-    text = F.col("review_comment_message")
-    first = F.when(
-        text.isNotNull(), F.struct("review_id", shorten(text, max_chars).alias("example"))
-    )
-    per_outcome = joined.groupBy("theme", "delivery_outcome").agg(
-        F.count(F.lit(1)).alias("n"), F.min(first).alias("first")
-    )
-    theme = Window.partitionBy("theme")
-    totals = per_outcome.withColumns(
-        {
-            "theme_total": F.sum("n").over(theme),
-            "example": F.min("first").over(theme)["example"],
-        }
-    )
+    per_outcome = joined.groupBy("theme", "delivery_outcome").agg(F.count(F.lit(1)).alias("n"))
+    totals = per_outcome.withColumn("theme_total", F.sum("n").over(Window.partitionBy("theme")))
     # One row per theme and outcome reaches this window.
     ranked = totals.withColumn(
         "theme_rank", F.dense_rank().over(Window.orderBy(F.desc("theme_total"), "theme"))
     )
-    return ranked.filter(F.col("delivery_outcome").isNotNull()).select(
-        "theme", "delivery_outcome", "n", "theme_total", "theme_rank", "example"
-    )
+    shown = ranked.filter(F.col("delivery_outcome").isNotNull()).join(theme_examples(joined, max_chars), "theme", "left")
+    return shown.select("theme", "delivery_outcome", "n", "theme_total", "theme_rank", "example")
 
 
 def theme_outcome_pivot(joined: DataFrame) -> DataFrame:
@@ -106,7 +101,9 @@ def theme_summary(labels: DataFrame, stability: DataFrame) -> DataFrame:
     )
     pairs = F.transform(
         F.array_sort(F.collect_list("entry")),
-        lambda e: F.concat(F.lit('"'), e["theme"], F.lit('": '), e["n"].cast("string")),
+        lambda e: F.concat(
+            F.lit('"'), F.regexp_replace(e["theme"], r'(["\\\\])', r"\\$1"), F.lit('": '), e["n"].cast("string")
+        ),
     )
     summary = counts.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),

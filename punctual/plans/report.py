@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from punctual.functions.delivery import outcome_rank
 from punctual.operators import distributions, profile, regional, sentiment as sentiment_ops
 from punctual.operators import themes as theme_ops
 from punctual.operators.gold import grain_check
@@ -42,7 +44,9 @@ def report(
         "sentiment_summary": sentiment_ops.sentiment_summary(sentiment),
         "disagreement_examples": sentiment_ops.disagreement_examples(sentiment, features),
         "theme_counts": theme_ops.theme_counts(labels),
-        "theme_frequency": theme_ops.theme_frequency(joined),
+        "theme_frequency": theme_ops.theme_frequency(joined).orderBy(
+            "theme_rank", outcome_rank(F.col("delivery_outcome"))
+        ),
         "city_lateness": regional.city_lateness(features, min_orders),
     }
 
@@ -56,11 +60,13 @@ def analyse(
     regenerate_sentiment: bool = False,
     regenerate_themes: bool = False,
     min_orders: int = regional.MIN_ORDERS,
+    n_sample: int | None = None,
 ) -> dict[str, DataFrame]:
     """Source tables to report tables.
 
     The layers are rebuilt and stored; model results are loaded when they exist, so a plain run
-    calls neither the model nor the labeler.
+    calls the model never and the labeler only for reviews without a stored label: all negative
+    ones, or ``n_sample`` of them.
     """
     features = stage(bronze, cache.path("stages")).features
     sentiment = cache.load_or_build(
@@ -68,18 +74,16 @@ def analyse(
         lambda: sentiment_ops.build_sentiment(features, load_model, lexicon),
         regenerate_sentiment,
     )
-    labels = cache.load_or_build(
-        "themes", lambda: build_themes(features, labeler), regenerate_themes
+    labels = cache.save(
+        "themes_table",
+        build_themes(features, labeler, cache, n_sample=n_sample, regenerate=regenerate_themes),
     )
     buyers = {"one_time_buyers": profile.one_time_buyers(bronze.orders, bronze.customers)}
     return {**buyers, **report(features, sentiment, labels, min_orders)}
 
 
-def fetch(tables: dict[str, DataFrame], parallelism: int = 4) -> dict[str, list[Row]]:
-    """The rows of report tables, with their jobs submitted side by side.
-
-    For report-sized results only: a few rows per outcome, bin, theme or city.
-    """
+def store(tables: dict[str, DataFrame], cache: ResultCache, parallelism: int = 4) -> dict[str, DataFrame]:
+    """Write report tables below the cache, with their jobs submitted side by side; returns the stored ones."""
     with ThreadPoolExecutor(parallelism) as pool:
-        rows = pool.map(lambda table: table.collect(), tables.values())
-    return dict(zip(tables, rows))
+        saved = pool.map(lambda item: cache.save(f"report/{item[0]}", item[1]), tables.items())
+    return dict(zip(tables, saved, strict=True))

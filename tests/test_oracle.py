@@ -7,10 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from punctual.catalogue import oracles
+from punctual.catalogue import queries as catalogue
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
+QUERIES = catalogue.queries()
+ORACLES = oracles.oracle_sql()
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -39,6 +41,7 @@ def _rows(columns, rows):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -192,7 +192,7 @@ def test_dedup_keeps_one_row_per_review_and_task_before_the_shuffle(skewed):
 
 
 def test_no_plan_holds_a_cross_join(spark):
-    stored = ("staged", "csv", "parquet", "cache", "job")
+    stored = ("staged", "csv", "parquet", "cache", "job", "theme", "label", "chart", "analysis", "op", "pipeline")
     for name, query in queries().items():
         if any(word in name for word in stored):
             continue
@@ -200,12 +200,54 @@ def test_no_plan_holds_a_cross_join(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
-def test_score_query_shuffles_no_text_and_reads_no_basket(spark):
-    plan = _plan(profile.score_by_outcome(medallion.build_features(star_schema_bronze(spark, FOLDER))))
-    assert "l_extendedprice" not in plan and "s_acctbal" not in plan
-    below_dedup = plan[plan.index("row_number(), 1, Partial") :]
-    project = next(line for line in below_dedup.splitlines() if "Project [" in line)
-    assert "_tie" in project and "review_comment_message" not in project
+def _shuffled(frame, column):
+    """Exchanges of the initial plan, without any broadcast, whose rows carry ``column``."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            output = node.output()
+            names = [output.apply(i).name() for i in range(output.size())]
+            if column in names:
+                found.append(names)
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    return found
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {key: spark.conf.get(key, None) for key in keys}
+    for key in keys:
+        spark.conf.set(key, "-1")
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_review_text_is_shuffled_once(spark, no_broadcast, skewed):
+    message = "review_comment_message"
+    assert len(_shuffled(medallion.build_gold(skewed), message)) == 1
+    assert not _shuffled(medallion.build_gold(skewed, text=False), message)
+
+
+def test_score_query_shuffles_no_text_and_reads_no_basket(spark, no_broadcast):
+    frame = profile.score_by_outcome(medallion.build_features(star_schema_bronze(spark, FOLDER), text=False))
+    assert "l_extendedprice" not in _plan(frame) and "s_acctbal" not in _plan(frame)
+    for column in ("text", "review_comment_message", "review_comment_title"):
+        assert not _shuffled(frame, column), column
+
+
+def test_sampled_ids_are_picked_without_text(spark, no_broadcast, skewed):
+    from punctual.operators.sampling import sample_ranked
+
+    negative = feature_ops.negative_text_reviews(medallion.build_features(skewed, text=True))
+    assert not _shuffled(sample_ranked(negative.select("review_id"), "review_id", 50, 42), "review_comment_message")
 
 
 def test_delivery_filter_and_columns_reach_the_parquet_scan(spark, tmp_path, skewed):
@@ -216,12 +258,19 @@ def test_delivery_filter_and_columns_reach_the_parquet_scan(spark, tmp_path, ske
     assert "ReadSchema: struct<order_id:string,order_delivered_customer_date:timestamp_ntz>" in plan
 
 
-def test_data_driven_histogram_reads_the_features_once(spark):
-    frame = queries()["gap_histogram_equal_width"](spark, FOLDER)
-    frame.collect()
-    final = _plan(frame)
-    final = final[: final.index("Initial Plan")]
-    assert "ReusedExchange" in final and "ReusedSubquery" in final
+def test_data_driven_histogram_gathers_no_gaps(spark):
+    """All gaps distinct: what is shuffled is bins, and one row per task for the bounds."""
+    from punctual.operators.distributions import gap_histogram_equal_width
+
+    gaps = spark.range(0, 50_000, 1, 8).select(
+        (F.col("id") * 90.0 / 49_999 - 30).alias("delivery_gap_days"),
+        F.when(F.col("id") % 2 == 0, "Late").otherwise("On-time").alias("delivery_outcome"),
+    )
+    frame = gap_histogram_equal_width(gaps)
+    rows = frame.collect()
+    assert len(rows) == 120 and sum(r.n for r in rows) == 50_000
+    assert {r.n for r in rows} <= {416, 417, 418}
+    assert "hashpartitioning(gap" not in _plan(frame)
 
 
 @pytest.mark.parametrize("name", ["review_features", "sentiment_labels", "negative_sample", "theme_frequency"])

@@ -110,5 +110,7 @@ def test_summary_and_disagreements(spark):
     )
     split = ops.disagreements(frame, features)
     assert sorted(r.review_id for r in split.collect()) == ["b", "c"]
+    cut = ops.disagreement_examples(frame, features, max_chars=70).collect()
+    assert {r.review_id: len(r.excerpt) for r in cut} == {"b": 70, "c": 1}
     examples = ops.disagreement_examples(frame, features).collect()
-    assert {r.review_id: len(r.excerpt) for r in examples} == {"b": 70, "c": 1}
+    assert {r.review_id: len(r.excerpt) for r in examples} == {"b": 100, "c": 1}

@@ -28,8 +28,8 @@ def test_unmatched_labels_have_no_outcome_and_drop_out(spark):
     rows = ops.theme_frequency(joined(spark)).collect()
     got = {(r.theme, r.delivery_outcome): (r.n, r.theme_total, r.theme_rank, r.example) for r in rows}
     assert got == {
-        ("late_delivery", "Late"): (2, 3, 1, "b" * 120),
-        ("late_delivery", "On-time"): (1, 3, 1, "b" * 120),
+        ("late_delivery", "Late"): (2, 3, 1, "b" * 130),
+        ("late_delivery", "On-time"): (1, 3, 1, "b" * 130),
         ("other", "On-time"): (1, 2, 2, None),
     }
 
@@ -48,7 +48,19 @@ def test_unmatched_labels_may_count_as_on_time(spark):
 
 
 def test_examples(spark):
-    assert [tuple(r) for r in ops.theme_examples(joined(spark)).collect()] == [("late_delivery", "b" * 120)]
+    assert [tuple(r) for r in ops.theme_examples(joined(spark)).collect()] == [("late_delivery", "b" * 130)]
+
+
+def test_examples_can_be_cut(spark):
+    assert ops.theme_examples(joined(spark), max_chars=120).first().example == "b" * 120
+
+
+def test_summary_escapes_theme_names(spark):
+    labels = spark.createDataFrame([("1", 'a"b\\c')], "review_id string, theme string")
+    stability = spark.createDataFrame([(1.0,)], "stability double")
+    import json
+
+    assert json.loads(ops.theme_summary(labels, stability).first().freq) == {'a"b\\c': 1}
 
 
 def test_summary_orders_frequencies(spark):
