@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import bound_batches, stored
+from .storage import prepare_workers, stored
 
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 0
@@ -177,7 +177,7 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
     payload: for revisits the last two come from the response. Every response's digest is checked.
     A folder without archives gives an empty table; a cut-off record is an error.
     """
-    bound_batches(spark)
+    prepare_workers(spark)
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long"
     schema += ", payload string" if with_payload else ""
     extra = ["payload_bytes", *["payload"] * with_payload]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .blocks import Block, leaf_blocks
-from .storage import bound_batches
+from .storage import prepare_workers
 
 #: Labelled pages that the field is fitted on, variants of each, and blocks of a training sequence.
 SAMPLE, VARIANTS, SEQUENCE = 400, 3, 48
@@ -241,7 +241,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
     block features reach the driver: at most ``sample * (1 + VARIANTS) * SEQUENCE`` blocks. Without
     such a page the result is ``rule_field()``.
     """
-    bound_batches(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
     usable = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where(
         (F.length("html") <= TRAINING_CHARS) & F.col("html").rlike("(?i)<article\\b") & F.col("page_id").isNotNull()
     )
@@ -265,7 +265,7 @@ def extract(pages: DataFrame, field: Field) -> DataFrame:
     is cut off or badly nested is read as far as it goes. Repeated rows get equal results; an empty
     table gives an empty table.
     """
-    bound_batches(pages.sparkSession)
+    prepare_workers(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

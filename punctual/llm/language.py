@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import bound_batches
+from .storage import prepare_workers
 
 TABLE = 1 << 16
 SMOOTHING = 0.1
@@ -155,7 +155,7 @@ def train(labelled: DataFrame) -> Model:
 
     What reaches the driver is one count per language and table slot at most.
     """
-    bound_batches(labelled.sparkSession)
+    prepare_workers(labelled.sparkSession)
     counted = (
         labelled.where("lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
         .mapInArrow(_count, "lang string, kind long, item long, n long")
@@ -308,7 +308,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     language uses follow their neighbours. Repeated rows get equal results; an empty table gives an
     empty table.
     """
-    bound_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from . import words as W
 from .components import components
-from .storage import bound_batches, stored
+from .storage import prepare_workers, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -403,7 +403,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows, a row without words has size 1. An empty table gives an empty table. The key of a word
     sequence has 64 bits: two different texts among n are taken as equal with probability n^2/2^65.
     """
-    bound_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = common_runs(texts)
     signed = stored(signatures(texts, common), "signatures")

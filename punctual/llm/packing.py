@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import words as W
-from .storage import bound_batches
+from .storage import prepare_workers
 
 CAPACITY = 4_096
 END_ID = 2
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    bound_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer_path or public_tokenizer())

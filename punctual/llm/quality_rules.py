@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import bound_batches
+from .storage import prepare_workers
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -319,7 +319,7 @@ def judged(docs: DataFrame, refs: References | None = None) -> DataFrame:
     alone. Repeated rows are judged one by one and count one by one. An empty table gives an empty
     table.
     """
-    bound_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     refs = references(texts) if refs is None else refs
 
@@ -337,7 +337,7 @@ def judged(docs: DataFrame, refs: References | None = None) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; see ``judged``."""
-    bound_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     refs = references(docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

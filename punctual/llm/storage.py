@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import site
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,7 +43,29 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of this session's Python stages small, whatever the texts' length."""
+def _ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, unless their path already has it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    inherited = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED or any(os.path.realpath(p) == os.path.realpath(root) for p in inherited if p):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="punctual-"), "punctual.zip")
+    with zipfile.ZipFile(target, "w") as packed:
+        for folder, _, names in os.walk(os.path.join(root, "punctual")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, root))
+    context.addPyFile(target)
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """For the Python stages of this session: small Arrow batches whatever the texts' length, and this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    _ship_package(spark)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .sampling import labelled_sample
-from .storage import bound_batches, stored
+from .storage import prepare_workers, stored
 
 #: Labelled documents that the model is fitted on.
 SAMPLE = 20_000
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 
     Without a toxic or without a clean document in the sample the model has no feature and finds nothing toxic.
     """
-    bound_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     chosen = labelled_sample(docs, labels, label, sample)
     rows = stored(chosen.select("doc_id", "text", "label").mapInArrow(_distinct, "doc_id long, label int, features array<long>"), "toxic-sample")
     size = {r["label"] > 0: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -159,7 +159,7 @@ def graded(docs: DataFrame, model: Model) -> DataFrame:
     ``grade`` the likeliest grade and ``toxic`` 1 where ``score`` is at least one half. Null and
     empty texts have no feature. Repeated rows get equal results; an empty table gives an empty table.
     """
-    bound_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     low = np.zeros(1 << 16, dtype=bool)
     low[(model.features & _LOW16).astype(np.int64)] = True
 
