@@ -427,9 +427,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document left of each class: that of the least doc_id, with all its columns.
 
-    Of rows that share this doc_id one stays. Rows without a doc_id stay only where no row of their
-    class has one; they cannot be told apart and all stay then.
+    Of rows that share this doc_id one stays. Rows without a doc_id cannot be told apart and all stay.
     """
-    classes = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("class_id").alias("_keep")).distinct()
-    kept = docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    keepers = near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("class_id").alias("_keep")).distinct()
+    kept = docs.join(keepers, docs["doc_id"] == keepers["_keep"], "left_semi")
+    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
