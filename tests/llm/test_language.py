@@ -1,0 +1,100 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from punctual.llm import language as L
+from punctual.llm.queries import queries
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def plain_value(scores, switch):
+    """Value of the best path by one pass over the words."""
+    d = np.zeros(scores.shape[1])
+    for row in scores:
+        d = np.maximum(d, d.max() - switch) + row
+    return d.max()
+
+
+def value(scores, path, switch):
+    return scores[np.arange(len(path)), path].sum() - switch * (np.diff(path) != 0).sum()
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_pieces_give_the_best_path(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.choice([0, 1, 3, 63, 64, 65, 128, 300], size=10)
+    scores = -rng.random((sizes.sum(), 3)) * 3
+    for at in range(0, len(scores), 30):
+        scores[at : at + 30, rng.integers(3)] = 0
+    path = L.best_path(scores, sizes, 4.0)
+    at = 0
+    for n in sizes:
+        if n:
+            part = scores[at : at + n]
+            assert value(part, path[at : at + n], 4.0) == pytest.approx(plain_value(part, 4.0))
+        at += n
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    en = "the quick brown fox jumps over the lazy dog while other animals are watching from the hill"
+    de = "der schnelle braune fuchs springt über den faulen hund während andere tiere vom hügel zuschauen"
+    ru = "быстрая коричневая лиса прыгает через ленивую собаку пока другие звери смотрят с холма"
+    rows = [(en, "en"), (de, "de"), (ru, "ru"), ("noise", None), (None, "en"), ("", "de")]
+    return L.train(spark.createDataFrame(rows, "text string, lang string"))
+
+
+def identified(spark, model, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    return [r for r in sorted(L.identify(frame, model).collect(), key=lambda r: r.doc_id)]
+
+
+def test_mixed_texts_fall_into_spans(spark, model):
+    en, de, ru = "the other animals are watching the quick dog", "während andere tiere den braunen hund", "лиса смотрят собаку"
+    row = identified(spark, model, [f"{en} {en} {en} {de} {de} 12 {ru} {ru} {ru}"])[0]
+    assert [s.lang for s in row.spans] == ["en", "de", "ru"]
+    assert [s.first_word for s in row.spans] == [0, 24, row.spans[2].first_word]
+    assert sum(s.words for s in row.spans) == 24 + 12 + 1 + 9 and row.lang_pred == "en"
+    assert 0 < row.score < 1
+
+
+def test_scripts_narrow_the_candidates(spark, model):
+    rows = identified(spark, model, ["зверь", "ΑΒΓ", "the дом dog", "日本"])
+    assert rows[0].lang_pred == "ru" and rows[0].score > 0.99
+    assert all(r.lang_pred in model.languages for r in rows)
+
+
+def test_texts_without_letters(spark, model, odd, nothing):
+    rows = identified(spark, model, [None, "", " \n", "123 !? 4.5", "— … €", "\U0001f600"])
+    assert all(r.lang_pred == "und" and r.score == 0 for r in rows)
+    got = L.identify(odd, model)
+    assert got.count() == odd.count() and got.where("lang_pred is null or score is null or score < 0 or score > 1").count() == 0
+    assert L.identify(nothing, model).count() == 0
+
+
+def test_nothing_to_learn_from(spark, nothing, odd):
+    model = L.train(nothing)
+    assert {r.lang_pred for r in L.identify(odd, model).collect()} == {"und"}
+    kept = L.certain_documents(odd.withColumn("lang", F.lit(None).cast("string")))
+    assert kept.columns == odd.columns and kept.count() == 11
+
+
+def test_counts_do_not_depend_on_partitions(spark, documents):
+    a, b = (L.train(documents.repartition(n)) for n in (1, 6))
+    assert a.languages == b.languages and np.array_equal(a.log_p, b.log_p) and np.array_equal(a.uses, b.uses)
+
+
+def test_held_out_accuracy(spark, documents):
+    rows = queries()["op6_viterbi_language"](spark, FOLDER).join(documents.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert len(rows) == documents.count() and 30 < len(held) < 70
+    assert np.mean([r.lang == r.lang_pred for r in held]) >= 0.95
+
+
+def test_code_points():
+    text = "aZ é ß я 日 \U00020001 × ÷ € 1 – ñ"
+    at, script = L.code_points(np.frombuffer(text.encode(), np.uint8))
+    order = np.argsort(at)
+    names = [L.NAMES[s] for s in script[order]]
+    assert names == ["latin"] * 4 + ["cyrillic", "han", "han", "latin"]
