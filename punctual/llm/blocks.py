@@ -35,7 +35,7 @@ _HOLDS_P = frozenset("article aside blockquote body button dd details div fields
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 #: What an ancestor's tag or naming says; a block has the union over its ancestors.
-ARTICLE, BOILER, POSITIVE, NEGATIVE, COMMENTS, LIST, TABLE, HEADING, PARAGRAPH, QUOTE, NAVIGATION, FORM, ASIDE, EDGE, BODYTEXT = (1 << i for i in range(15))
+ARTICLE, BOILER, POSITIVE, NEGATIVE, COMMENTS, LIST, TABLE, HEADING, PARAGRAPH, QUOTE, NAVIGATION, FORM, ASIDE, EDGE = (1 << i for i in range(14))
 _TAG_FLAGS = {
     "article": ARTICLE, "main": ARTICLE,
     "nav": BOILER | NAVIGATION, "menu": BOILER | NAVIGATION, "footer": BOILER | EDGE, "header": BOILER | EDGE, "aside": BOILER | ASIDE,

@@ -28,7 +28,7 @@ SAMPLE, VARIANTS, SEQUENCE = 400, 3, 48
 #: Characters of html beyond which a page is not taken for training.
 TRAINING_CHARS = 65_536
 RIDGE, STEPS = 2e-3, 200
-_FLAGS = 15
+_FLAGS = 14
 _LENGTHS = (2, 5, 10, 20, 40, 80)
 N_FEATURES = _FLAGS + 4 + len(_LENGTHS) + 1 + 3 + 5 + 3
 
@@ -78,7 +78,7 @@ class Field(NamedTuple):
 def rule_field() -> Field:
     """What stands in where no page names its article: names and tags decide, then length and links."""
     w = np.zeros(N_FEATURES)
-    w[[0, 2]] = 2.0
+    w[[0, 2]] = 3.0
     w[[1, 3, 4, 10, 11, 12, 13]] = -3.0
     lengths = _FLAGS + 4
     w[lengths : lengths + len(_LENGTHS) + 1] = (-2, -1.5, -1, 0, 0.5, 1, 1.5)
