@@ -68,6 +68,23 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _only(features: np.ndarray):
+    """Keeps of each row's features the numbers of those in the sorted ``features``."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("features")
+            sizes = np.diff(lists.offsets.to_numpy())
+            code = lists.flatten().to_numpy().astype(np.uint64)
+            place = np.minimum(np.searchsorted(features, code), len(features) - 1)
+            hit = features[place] == code
+            n = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[hit], minlength=len(sizes))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.ListArray.from_arrays(offsets, pa.array(place[hit]))], names=["label", "hits"])
+
+    return keep
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -134,17 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     features = np.sort(strongest.toArrow()["feature"].to_numpy().astype(np.int64).astype(np.uint64))
     if not len(features):
         return Model(features, np.zeros(0), np.full(GRADES - 1, 35.0))
-    kept = F.array(*[F.lit(int(f)) for f in features.astype(np.int64)]) if len(features) <= 64 else None
-    wanted = stored(docs.sparkSession.createDataFrame([(features.astype(np.int64).tolist(),)], "wanted array<long>"), "features") if kept is None else None
-    hits = (
-        rows.select("label", F.array_intersect("features", kept).alias("hits"))
-        if kept is not None
-        else rows.join(F.broadcast(wanted)).select("label", F.array_intersect("features", "wanted").alias("hits"))
-    ).toArrow()
+    hits = rows.select("label", "features").mapInArrow(_only(features), "label int, hits array<long>").toArrow()
     n_hits = np.array([len(h) for h in hits["hits"]], dtype=np.int64)
     is_toxic = hits["label"].to_numpy() > 0
     grade = np.where(is_toxic, 1 + (n_hits > np.median(n_hits[is_toxic])), 0)
-    columns = np.searchsorted(features, hits["hits"].combine_chunks().flatten().to_numpy().astype(np.int64).astype(np.uint64))
+    columns = hits["hits"].combine_chunks().flatten().to_numpy()
     weights, cuts = fit_cumulative(np.repeat(np.arange(len(grade)), n_hits), columns, len(features), grade)
     return Model(features, weights, cuts)
 
