@@ -37,7 +37,7 @@ def ordinal_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document: base counts, base verdict and the verdict of the divergence rules."""
-    return quality_rules.judged(_table(spark, folder, "documents"))
+    return quality_rules.judged(_table(spark, folder, "documents")).drop("language", "char_distance", "word_distance")
 
 
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,9 +140,80 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
 FROM d JOIN f ON h = fh
 """
 
+_CHAR_CLASSES = {
+    "lower": "[^a-z]",
+    "upper": "[^A-Z]",
+    "digit": "[^0-9]",
+    "sentence": r"""[^.,;:?'"()-]""",
+    "symbol": "[^#*$%&|<>]",
+    "other": r"""[^\x21-\x7E]|[a-zA-Z0-9.,;:?'"()#*$%&|<>-]""",
+    "latin": r"[^\x{80}-\x{27F}]",
+    "foreign": r"[\x{0}-\x{27F}]",
+}
+
+
+def _rules_sql() -> str:
+    """The base counts and the divergence verdict of ``quality_rules`` over ``documents``."""
+    kept = lambda pattern: f"length(regexp_replace(x, {_quoted(pattern)}, '', 'g'))"
+    classes = " UNION ALL ".join(f"SELECT r, '{name}' AS k, {kept(pattern)} AS n FROM d" for name, pattern in _CHAR_CLASSES.items())
+    divergence = "sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x, lang FROM documents),
+ws AS (SELECT r, lang, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws FROM d),
+w AS (SELECT r, lang, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM ws),
+win AS (SELECT r, p, w, list(w) OVER ahead AS g, count(*) OVER ahead AS n FROM w
+        WINDOW ahead AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {quality_rules.REPEAT_WINDOW - 1} FOLLOWING)),
+twice AS (SELECT r, p, w, (n = {quality_rules.REPEAT_WINDOW} AND count(*) OVER (PARTITION BY r, g, n) > 1)::INT AS again FROM win),
+inside AS (SELECT r, w, max(again) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {quality_rules.REPEAT_WINDOW - 1} PRECEDING AND CURRENT ROW) AS again FROM twice),
+counts AS (SELECT r, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars, sum(again)::BIGINT AS n_repeat_words FROM inside GROUP BY r),
+lines AS (SELECT r, unnest(string_split(x, chr(10))) AS line FROM d),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+base AS (
+  SELECT r, doc_id, lang, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         {kept(_CHAR_CLASSES['symbol'])} AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_words, 0) < {quality_rules.MIN_WORDS}
+           OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed
+  FROM d LEFT JOIN counts USING (r) LEFT JOIN dups USING (r)),
+good AS (SELECT r, lang FROM base WHERE NOT base_failed AND lang IS NOT NULL),
+langs AS (SELECT DISTINCT lang FROM good),
+chars AS ({classes}),
+total AS (SELECT r, sum(n) AS t FROM chars GROUP BY r),
+class_ref AS (SELECT lang, k, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM chars JOIN good USING (r) GROUP BY lang, k),
+class_far AS (
+  SELECT r, lang, {divergence} AS far
+  FROM (SELECT r, lang, q, CASE WHEN t > 0 THEN n / t ELSE 0 END AS p FROM chars JOIN total USING (r) JOIN class_ref USING (k))
+  GROUP BY r, lang),
+word_ref AS (
+  SELECT lang, w, q FROM (SELECT g.lang, w, count(*) / sum(count(*)) OVER (PARTITION BY g.lang) AS q
+                          FROM w JOIN good g USING (r) GROUP BY g.lang, w) WHERE q >= {quality_rules.COMMON_SHARE}),
+seen AS (SELECT r, w, count(*) AS n FROM w WHERE w IN (SELECT w FROM word_ref) GROUP BY r, w),
+shares AS (
+  SELECT b.r, f.lang, f.q, coalesce(s.n, 0) / greatest(b.n_words, 1) AS p
+  FROM base b CROSS JOIN word_ref f LEFT JOIN seen s ON s.r = b.r AND s.w = f.w),
+both_bins AS (
+  SELECT r, lang, q, p FROM shares
+  UNION ALL
+  SELECT b.r, l.lang, greatest(0, 1 - coalesce((SELECT sum(q) FROM word_ref x WHERE x.lang = l.lang), 0)) AS q,
+         least(1, greatest(0, 1 - coalesce(sum(s.p), 0))) AS p
+  FROM base b CROSS JOIN langs l LEFT JOIN shares s ON s.r = b.r AND s.lang = l.lang GROUP BY b.r, l.lang),
+word_far AS (SELECT r, lang, {divergence} AS far FROM both_bins GROUP BY r, lang),
+near AS (
+  SELECT r, bool_or((t < {quality_rules.MIN_CHARS} OR c.far <= {quality_rules.MAX_CHAR_DISTANCE})
+                    AND (n_words < {quality_rules.MIN_HISTOGRAM_WORDS} OR f.far <= {quality_rules.MAX_WORD_DISTANCE})) AS near
+  FROM class_far c JOIN word_far f USING (r, lang) JOIN total USING (r) JOIN base USING (r) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(near, true) AS kept
+FROM base LEFT JOIN near USING (r)
+"""
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_source_mix": _MIX,
+        "op9_divergence_rules": _rules_sql(),
         "op10_warc_revisits": _WARC,
     }

@@ -130,3 +130,14 @@ def test_foreign_distributions_are_rejected(spark):
 def test_distance(p, q):
     want = distance(dict(enumerate(p)), dict(enumerate(q)))
     assert Q._distance(np.array([p]), np.array(q))[0] == pytest.approx(want)
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    from punctual.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    want = con.execute(oracle_sql()["op9_divergence_rules"]).fetchall()
+    assert sorted(map(tuple, queries()["op9_divergence_rules"](spark, FOLDER).collect())) == sorted(want)
