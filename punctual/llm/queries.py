@@ -43,7 +43,7 @@ def divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document: its near-duplicate class and whether it is the one that stays."""
     return neardup.near_duplicates(_table(spark, folder, "documents")).selectExpr(
-        "doc_id", "class_id", "class_size", "doc_id <=> class_id as kept"
+        "doc_id", "class_id", "doc_id <=> class_id as kept"
     )
 
 
