@@ -386,7 +386,8 @@ def links(texts: DataFrame, signed: DataFrame, common: Common) -> DataFrame:
     runs = text_runs(texts, representatives, again)
     rare = stored(rare_buckets(runs, common), "rare")
     asking = rare.join(open_members.select("key").distinct(), "key", "left_semi").select("bucket").distinct()
-    rare = rare.join(asking, "bucket", "left_semi")
+    # Stored, so that the ranking below deals the buckets anew, with its first rows of each task alone.
+    rare = stored(rare.join(asking, "bucket", "left_semi"), "asked")
     more = stored(_candidates(rare, _led(rare, [F.xxhash64("key", "bucket")])), "candidates")
     more = more.join(found, ["a", "b"], "left_anti")
     return found.union(stored(verified(stored(more, "candidates"), texts, representatives, common), "links"))
