@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .storage import prepare_workers
+from .storage import prepare_workers, stored
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
@@ -212,7 +212,8 @@ def references(docs: DataFrame) -> References:
     reach the driver.
     """
     texts = docs.select("text", "lang")
-    first = texts.mapInArrow(_totals, "lang string, item long, n long, block long")
+    # A few hundred rows for each block and language, read three times below.
+    first = stored(texts.mapInArrow(_totals, "lang string, item long, n long, block long"), "totals")
     totals = first.where("item is null").groupBy("lang", "block").agg(F.sum("n").alias("n"))
     sizes = totals.where("block = -1").select("lang", F.col("n").alias("total"))
     named = (
