@@ -34,9 +34,10 @@ BUCKETS = 1_024
 #: Parts of [0, 1) that turn the search for a point's source into an equality join.
 BINS = 1_024
 SEED = "mix-1"
-_PHI = 0.6180339887498949
-#: frac(2^20 * phi): keeps the fractional part exact to 1e-9 for any slot number.
-_PHI_HIGH = 0.1101100239887498949
+#: The fractional part of the golden ratio in units of 2^-64, and from it those of phi and of 2^20 phi.
+_PHI_64 = 0x9E3779B97F4A7C15
+_PHI = _PHI_64 / 2**64
+_PHI_HIGH = (_PHI_64 << 20) % 2**64 / 2**64
 
 
 def word_count(text: Column) -> Column:
@@ -141,6 +142,7 @@ def slots(targets: DataFrame) -> DataFrame:
         )
     )
     i = F.col("id")
+    # In two parts, so that products stay small and the fraction keeps its digits for any slot number.
     point = (F.floor(i / F.lit(1 << 20)) * _PHI_HIGH + (i % (1 << 20)) * _PHI + 0.5 * _PHI) % 1.0
     points = spark.range(total).select(
         i.alias("position"), point.alias("u"), F.floor(i * F.lit(BUCKETS) / F.lit(max(total, 1))).cast("long").alias("part")

@@ -99,3 +99,13 @@ def test_no_python_in_the_plans(spark):
     for name in ("op5_winnowing", "op7_source_mix"):
         plan = queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_points_are_those_of_the_golden_ratio():
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    phi = (Decimal(5).sqrt() - 1) / 2
+    for i in (0, 1, 12_345, (1 << 20) + 7, (1 << 33) + 99):
+        got = ((i >> 20) * mixing._PHI_HIGH + (i % (1 << 20)) * mixing._PHI + 0.5 * mixing._PHI) % 1.0
+        assert abs(got - float((phi * (i + Decimal("0.5"))) % 1)) < 1e-6
