@@ -337,11 +337,13 @@ def _run_weights(common: Common):
 
 
 def rare_buckets(runs: DataFrame, common: Common) -> DataFrame:
-    """(bucket, key, weight): every text under its rarest runs, for an exact search among the texts of ``runs``.
+    """(bucket, key, weight, rest): every text under its rarest runs, for an exact search among the texts of ``runs``.
 
     With runs in order of the number of texts that hold them, two texts of similarity ``SIMILARITY``
     share one of the rarest runs that make up ``1 - SIMILARITY`` of each one's weight (prefix
     filtering). A text with more than that in runs of its own has no partner and drops out.
+    ``rest`` is the weight of the bucket's run and all that are more common: what a text can share
+    with one whose rarest shared run this is.
     """
     each = stored(runs.mapInArrow(_run_weights(common), "key long, run long, w double"), "run-weights")
     shared = each.groupBy("run").agg(F.count("*").alias("texts")).where("texts > 1")
@@ -351,19 +353,45 @@ def rare_buckets(runs: DataFrame, common: Common) -> DataFrame:
     # Weight of this run and all that are more common: what is left above it must reach the threshold.
     rest = F.sum("w").over(rarest_last.rowsBetween(Window.unboundedPreceding, 0))
     return met.withColumn("rest", rest).where(F.col("rest") >= F.lit(SIMILARITY - 1e-9) * F.col("weight")).select(
-        F.col("run").alias("bucket"), "key", "weight"
+        F.col("run").alias("bucket"), "key", "weight", "rest"
     )
 
 
+def _between_classes(rare: DataFrame, asking: DataFrame, linked: DataFrame) -> DataFrame:
+    """Distinct (a, b), a below b, of all texts of a bucket that the links do not connect yet, one of them of the ``asking`` keys.
+
+    A pair at the threshold shares ``SIMILARITY / (1 + SIMILARITY)`` of both weights, all of it in the
+    rest of both texts at their rarest shared run; pairs whose rests are too small there are left out.
+    """
+    roots = components(linked).withColumnRenamed("node", "key")
+    placed = rare.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    placed = placed.join(asking.withColumn("asks", F.lit(True)), "key", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    placed = stored(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    placed = stored(placed.join(mixed, "bucket", "left_semi"), "mixed")
+    x, y = placed.where("asks").alias("x"), placed.alias("y")
+    least = F.lit(SIMILARITY / (1 + SIMILARITY) - 1e-9) * (F.col("x.weight") + F.col("y.weight"))
+    allowed = (
+        (F.col("x.bucket") == F.col("y.bucket"))
+        & (F.col("x.root") != F.col("y.root"))
+        & (~F.col("y.asks") | (F.col("x.key") < F.col("y.key")))
+        & (F.least("x.weight", "y.weight") >= F.lit(SIMILARITY - 1e-9) * F.greatest("x.weight", "y.weight"))
+        & (F.least("x.rest", "y.rest") >= least)
+    )
+    return x.join(y, allowed).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+
+
 def links(texts: DataFrame, signed: DataFrame, common: Common) -> DataFrame:
     """Verified (a, b) links between the keys of different texts, enough to connect each class.
 
-    The members of a bucket meet its ``LEADERS`` leaders only, so the work is linear in the bucket.
-    First the buckets are bands, led by the texts that meet the most others over all bands: the
-    middle of a group of copies. Where a band has more members than that compares, members not linked
-    to its first leader are searched again with the other members of their bands, now exactly, in
-    buckets of rare runs, whose leaders differ from bucket to bucket. Exact copies share a key and
-    meet nobody.
+    First the buckets are bands, and their members meet ``LEADERS`` leaders only, the texts that meet
+    the most others over all bands: the middle of a group of copies. Where a band has more members
+    than that compares, members not linked to its first leader are searched again, exactly, among the
+    texts of these bands, in buckets of rare runs: first against the leaders of each bucket, which
+    differ from bucket to bucket, then, where the links so far leave a bucket in parts, against all
+    members of other parts. So of two similar texts that share a band none are lost; the work of
+    the last search is linear in a bucket whose texts are connected and grows with the pairs between
+    parts where they are not. Exact copies share a key and meet nobody.
     """
     representatives = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     members = stored(
@@ -373,7 +401,8 @@ def links(texts: DataFrame, signed: DataFrame, common: Common) -> DataFrame:
     crowded = stored(members.join(sizes, "bucket"), "crowded")
     met = crowded.groupBy("key").agg(F.sum("n").alias("met"))
     leaders = stored(_led(crowded.join(met, "key"), [F.col("met").desc(), F.col("key")]), "leaders")
-    found = stored(verified(stored(_candidates(crowded, leaders), "candidates"), texts, representatives, common), "links")
+    candidates = stored(_candidates(crowded, leaders), "candidates")
+    found = stored(verified(candidates, texts, representatives, common), "links")
 
     both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     wide = crowded.where(F.col("n") > LEADERS + 1)
@@ -385,12 +414,16 @@ def links(texts: DataFrame, signed: DataFrame, common: Common) -> DataFrame:
     again = wide.join(open_members.select("bucket").distinct(), "bucket", "left_semi").select("key").distinct()
     runs = text_runs(texts, representatives, again)
     rare = stored(rare_buckets(runs, common), "rare")
-    asking = rare.join(open_members.select("key").distinct(), "key", "left_semi").select("bucket").distinct()
+    open_keys = stored(open_members.select("key").distinct(), "open-keys")
+    asking = rare.join(open_keys, "key", "left_semi").select("bucket").distinct()
     # Stored, so that the ranking below deals the buckets anew, with its first rows of each task alone.
     rare = stored(rare.join(asking, "bucket", "left_semi"), "asked")
-    more = stored(_candidates(rare, _led(rare, [F.xxhash64("key", "bucket")])), "candidates")
-    more = more.join(found, ["a", "b"], "left_anti")
-    return found.union(stored(verified(stored(more, "candidates"), texts, representatives, common), "links"))
+    more = _candidates(rare, _led(rare, [F.xxhash64("key", "bucket")])).join(candidates, ["a", "b"], "left_anti")
+    more = stored(more, "candidates")
+    found = stored(found.union(verified(more, texts, representatives, common)), "links")
+    compared = candidates.union(more)
+    rest = stored(_between_classes(rare, open_keys, found).join(compared, ["a", "b"], "left_anti"), "candidates")
+    return found.union(stored(verified(rest, texts, representatives, common), "links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -128,3 +128,32 @@ def test_components_of_paths_and_stars(spark, n):
     got = {r.node: r.root for r in components(links).collect()}
     want = {i: 0 for i in range(n + 1)} | {1000 + i: 1000 for i in range(n + 1)} if n else {}
     assert got == want
+
+
+def few_edits_of_many(n, seed):
+    """Texts of 120 words with four of 24 edits each, a choice per text: alike when three edits are the same, and no run is rare."""
+    rng = random.Random(seed)
+    chosen = set()
+    while len(chosen) < n:
+        chosen.add(tuple(sorted(rng.sample(range(24), 4))))
+    return [" ".join(f"e{i}" if i % 5 == 2 and i // 5 in edits else f"b{i}" for i in range(120)) for edits in sorted(chosen)]
+
+
+def test_no_pair_of_a_crowded_bucket_is_lost(spark):
+    """Similar texts that lead none of the buckets they share are compared all the same."""
+    import numpy as np
+
+    texts = few_edits_of_many(300, 1)
+    # Every word has its place, so runs are equal where they stand in the same place.
+    held = np.array([[hash(r) for r in runs(x)] for x in texts])
+    share = np.array([[(held[:, j] == x).mean() for j, x in enumerate(row)] for row in held])
+    weight = 1 + np.log(1 / np.maximum(share, neardup.FLOOR)) / np.log(1 / neardup.FLOOR)
+    shared = np.stack([((held == held[i]) * weight[i]).sum(axis=1) for i in range(len(texts))])
+    total = weight.sum(axis=1)
+    similar = shared / (total + total[:, None] - shared) >= neardup.SIMILARITY
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    classes = np.array([got[i] for i in range(len(texts))])
+    apart = similar & (classes != classes[:, None])
+    assert not apart.any(), f"{apart.sum() // 2} pairs lost"
+    assert all(similar[i, classes == classes[i]].sum() > 1 for i in range(len(texts)) if (classes == classes[i]).sum() > 1)
+    assert 300 < similar.sum() < 1500 and 10 < len(set(classes)) < 200
