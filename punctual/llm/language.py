@@ -26,7 +26,7 @@ WORST = 6.0
 SWITCH = 12.0
 #: A language uses a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.01
-#: Documents below this score are rejected by ``certain_documents``.
+#: Documents with a smaller certain share are rejected by ``certain_documents``.
 MIN_SCORE = 0.35
 #: Words of one piece of a path; pieces are computed side by side and joined.
 PIECE = 64
@@ -269,8 +269,23 @@ def _spans(model: Model, path: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
 
 
-def labelled(model: Model, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
-    """Block by block of the texts of ``column``: number of the first row, languages, scores, spans."""
+def _certain_words(scores: np.ndarray, path: np.ndarray, row: np.ndarray, lettered: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, languages): words with letters on the path, each as much as its span's words alone point to the span's language.
+
+    A span is judged by its own words, so a second language takes nothing from the first, however long the text.
+    """
+    out = np.zeros((rows, scores.shape[1]))
+    if len(path):
+        new = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (row[1:] != row[:-1])]))
+        totals = np.add.reduceat(scores, new, axis=0)
+        chance = np.exp(totals - totals.max(axis=1, keepdims=True))
+        chance = chance[np.arange(len(new)), path[new]] / chance.sum(axis=1)
+        np.add.at(out, (row[new], path[new]), chance * np.add.reduceat(lettered.astype(np.int64), new))
+    return out
+
+
+def labelled(model: Model, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """Block by block of the texts of ``column``: number of the first row, languages, scores, certain shares, spans."""
     names = np.array([*model.languages, UNDETERMINED], dtype=object)
     t = W.texts(column)
     for words in W.blocks(t):
@@ -289,21 +304,22 @@ def labelled(model: Model, column: pa.Array) -> Iterator[tuple[int, np.ndarray,
             chance /= chance.sum(axis=1, keepdims=True)
             best = (votes + chance * 0.5).argmax(axis=1)
             rows = np.arange(len(sizes))
-            score = votes[rows, best] / np.maximum(n_lettered, 1) * chance[rows, best]
+            sure = _certain_words(scores, path, row, lettered, len(sizes)) / np.maximum(n_lettered, 1)[:, None]
             best = np.where(n_lettered > 0, best, len(model.languages))
-            score = np.where(n_lettered > 0, score, 0.0)
+            score = np.where(n_lettered > 0, sure[rows, np.minimum(best, len(model.languages) - 1)], 0.0)
+            certain = np.where(n_lettered > 0, sure.sum(axis=1), 0.0)
         else:
             best, score, path = np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(0, np.int64)
-            sizes = np.zeros_like(sizes)
-        yield words.first, names[best], score, _spans(model, path, sizes)
+            certain, sizes = np.zeros(len(sizes)), np.zeros_like(sizes)
+        yield words.first, names[best], score, certain, _spans(model, path, sizes)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, spans) of every whole text of ``docs`` (doc_id, text, others ignored).
 
     ``lang_pred`` is the language of most words with letters on the best path (ties: the higher
-    total score, then the first by name); ``score`` their share times the probability of the
-    language given all words. Texts that are null or have no letter, and all texts if the model has
+    total score, then the first by name); ``score`` their share, each span counted by the probability
+    of the language given the span's words. Texts that are null or have no letter, and all texts if the model has
     no language, are ``und`` with score 0; their spans are empty. Words of scripts that no learned
     language uses follow their neighbours. Repeated rows get equal results; an empty table gives an
     empty table.
@@ -312,7 +328,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, lang, score, spans in labelled(model, batch.column("text")):
+            for first, lang, score, _, spans in labelled(model, batch.column("text")):
                 ids = batch.column("doc_id").slice(first, len(lang))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(lang, pa.string()), pa.array(score), spans], names=["doc_id", "lang_pred", "score", "spans"]
@@ -325,16 +341,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def certain_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (text, lang, any others) in a language that was learned from their labels, with all their columns.
 
-    Texts without a letter and texts whose score is below ``MIN_SCORE`` go: neither most of their
-    words nor all together point to one language. Without any labelled row nothing can be learned
+    Texts without a letter go, and texts whose words, each counted by the probability of its span's
+    language given the span's words, are certain in a share below ``MIN_SCORE``: their spans do not
+    tell the languages apart. Texts of several languages stay, whatever their length. Without any labelled row nothing can be learned
     and only texts without a letter go.
     """
     model = train(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, lang, score, _ in labelled(model, batch.column("text")):
-                certain = (score >= MIN_SCORE) & (lang != UNDETERMINED)
+            for first, lang, _, sure, _ in labelled(model, batch.column("text")):
+                certain = (sure >= MIN_SCORE) & (lang != UNDETERMINED)
                 yield batch.slice(first, len(lang)).filter(pa.array(certain if model.languages else _lettered(batch, first, len(lang)), pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

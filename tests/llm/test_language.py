@@ -59,6 +59,25 @@ def test_mixed_texts_fall_into_spans(spark, model):
     assert 0 < row.score < 1
 
 
+@pytest.mark.parametrize("times", [1, 40])
+def test_texts_of_several_languages_are_certain(spark, model, times):
+    """However long they are: two languages, and even parts of three."""
+    en, de, ru = "the other animals are watching the quick dog", "während andere tiere den braunen hund", "лиса смотрят собаку"
+    known = [
+        ("the quick brown fox jumps over the lazy dog while other animals are watching from the hill", "en"),
+        ("der schnelle braune fuchs springt über den faulen hund während andere tiere vom hügel zuschauen", "de"),
+        ("быстрая коричневая лиса прыгает через ленивую собаку пока другие звери смотрят с холма", "ru"),
+    ]
+    english, german = "the dog " * 22, "zuschauen während schnelle " * 12
+    three = f"{en} " * 3 + f"{de} " * 4 + f"{ru} " * 8
+    mixed = [english * times + german * times, german * times + english * times, three if times == 1 else " ".join([f"{en} " * 60, f"{de} " * 80, f"{ru} " * 160])]
+    frame = spark.createDataFrame([*known, *[(x, None) for x in mixed], ("日本", None)], "text string, lang string")
+    kept = {r.text for r in L.certain_documents(frame).collect()}
+    assert kept == {x for x, _ in known} | set(mixed)
+    rows = identified(spark, model, mixed[:2])
+    assert [r.lang_pred for r in rows] == ["en", "en"] and all(0.5 < r.score < 0.6 for r in rows)
+
+
 def test_scripts_narrow_the_candidates(spark, model):
     rows = identified(spark, model, ["зверь", "ΑΒΓ", "the дом dog", "日本"])
     assert rows[0].lang_pred == "ru" and rows[0].score > 0.99
