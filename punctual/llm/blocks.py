@@ -14,9 +14,18 @@ TAG = re.compile(
     re.S | re.X,
 )
 #: Their content is no text of the page.
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select textarea".split())
+SILENT = frozenset("script style noscript template svg math iframe object canvas audio video title select textarea".split())
 _SILENT_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in SILENT}
-_CLOSES_HEAD = re.compile(r"</head\b[^>]*>|<body\b", re.I)
+#: Silent elements that can hold one of their own name, and those of them that '/>' ends.
+_NESTED = frozenset("template svg math object canvas audio video".split())
+_FOREIGN = frozenset("svg math".split())
+_NESTED_TAG = {
+    name: re.compile(rf"""<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\b|<(?P<end>/?){name}(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", re.S | re.I)
+    for name in _NESTED
+}
+#: What can stand in a head; the first other tag and the first text end it.
+_IN_HEAD = frozenset("head title meta link base basefont bgsound script style noscript noframes template".split())
+_NOFRAMES_END = re.compile(r"</noframes\b[^>]*>", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that do not end a block.
 INLINE = frozenset(
@@ -78,12 +87,44 @@ def _named(rest: str) -> int:
     return flags
 
 
+def _nested_ends(page: str, name: str) -> dict[int, int]:
+    """Where the element of each opening tag of ``name`` ends; those without an end tag are left out."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for found in _NESTED_TAG[name].finditer(page):
+        if found["end"] is None:
+            continue
+        if not found["end"]:
+            if not (name in _FOREIGN and found[0].endswith("/>")):
+                opened.append(found.start())
+        elif opened:
+            ends[opened.pop()] = found.end()
+    return ends
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks with text, in page order; white space inside a block is one space, character references are decoded."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
     linked = links = 0
+    nested: dict[str, dict[int, int]] = {}
+    unended: set[str] = set()
+    in_head = False
+
+    def silent_end(name: str, start: int, at: int) -> int:
+        """Where the silent element ends whose tag stands from ``start`` to ``at``: there, if it has no end tag and is no script or style."""
+        if name in _FOREIGN and page[at - 2] == "/":
+            return at
+        if name in _NESTED:
+            if name not in nested:
+                nested[name] = _nested_ends(page, name)
+            return nested[name].get(start, at)
+        over = None if name in unended else (_SILENT_END[name] if name in SILENT else _NOFRAMES_END).search(page, at)
+        if over:
+            return over.end()
+        unended.add(name)
+        return len(page) if name in ("script", "style") else at
 
     def close_block() -> None:
         nonlocal linked
@@ -107,6 +148,7 @@ def leaf_blocks(page: str) -> list[Block]:
         found = TAG.search(page, at)
         text = page[at : found.start()] if found else page[at:]
         if text:
+            in_head = in_head and text.isspace()
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if links:
@@ -120,11 +162,14 @@ def leaf_blocks(page: str) -> list[Block]:
                 close_block()
             continue
         ends = bool(found["end"] or found["end2"])
-        if not ends and name in SILENT:
-            over = (_CLOSES_HEAD if name == "head" else _SILENT_END[name]).search(page, at)
-            at = len(page) if not over else over.start() if over[0][:2] != "</" else over.end()
+        in_head = not (ends and name == "head") and (in_head or not ends and name == "head") and name in _IN_HEAD
+        if not ends and (name in SILENT or in_head and name == "noframes"):
+            at = silent_end(name, found.start(), at)
             parts.append(" ")
             continue
+        if name == "head":
+            close_block()
+            continue
         if name == "br" or (name in VOID and name in INLINE):
             parts.append(" ")
             continue

@@ -39,6 +39,28 @@ def test_leaf_blocks(page, want):
     assert texts(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<head><title>T</title><p>text", ["text"]),
+        ("<!doctype html><head>\n<meta charset=utf-8><script>s</script><noframes>n</noframes>\n<div>a</div><p>b", ["a", "b"]),
+        ("<head><title>T</title>text<p>b", ["text", "b"]),
+        ("<header><p>a</header><p>b", ["a", "b"]),
+        ("<p>a<svg viewBox='0 0 1 1'/>b<p>c<math/><p>d<svg><text>no</text></svg>", ["a b", "c", "d"]),
+        ("<svg><svg/><text>no</text></svg><p>a", ["a"]),
+        ("<object><object>no</object>no</object><p>a", ["a"]),
+        ("<svg><!-- <svg> --><style>/* <svg> */</style><text>no</text></svg><p>a", ["a"]),
+        ("<p>a<object data=x><p>b<canvas><p>c<noscript><p>d", ["a", "b", "c", "d"]),
+        ("<p>a<canvas><p>b<canvas>no</canvas><p>c", ["a", "b", "c"]),
+        ("<p>a<title>b", ["a b"]),
+        ("<p>a<style>cut off", ["a"]),
+        ("<object>" * 20_000 + "<noscript>" * 20_000 + "a", ["a"]),
+    ],
+)
+def test_silent_elements_drop_nothing_else(page, want):
+    assert texts(page) == want
+
+
 def test_viterbi_equals_all_labelings():
     rng = np.random.default_rng(1)
     for n in (1, 2, 5, 8):
