@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, extraction, fingerprints, language, mixing, neardup, packing, quality_rules, quality_score, toxicity
+from . import archives, extraction, fill_in_middle, fingerprints, language, mixing, neardup, packing, periodic_runs, quality_rules, quality_score, toxicity
 from .storage import new_folder
 
 
@@ -77,6 +77,27 @@ def warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return archives.read_archives(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def periodic_words(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document, some of them rewritten to repeat words: its periodic runs and its text without them."""
+    found = periodic_runs.periodic_runs(_table(spark, folder, "documents"), periodic_runs.planted)
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        periodic_runs.runs_digest(F.col("runs")).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def fim_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: how it is transformed, and digests of its output and of the text restored from it."""
+    return fill_in_middle.digests(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bradley_terry_quality": bradley_terry_quality,
@@ -89,6 +110,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ordinal_toxicity": ordinal_toxicity,
         "op9_divergence_rules": divergence_rules,
         "op10_warc_revisits": warc_revisits,
+        "op12_periodic_runs": periodic_words,
+        "op13_fill_in_middle": fim_documents,
     }
 
 
@@ -140,6 +163,73 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
 FROM d JOIN f ON h = fh
 """
 
+# CRC-32 of a text of ASCII characters, bit by bit.
+_CRC = """xor(4294967295, list_reduce([CASE WHEN i % 8 = 0 THEN ord({0}[i // 8 + 1]) ELSE 0 END::BIGINT for i in range(8 * length({0}))],
+                      lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END::BIGINT), 4294967295::BIGINT))"""
+
+_RUNS = rf"""
+WITH i AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS id, coalesce(text, '') AS x FROM documents),
+d AS (
+  SELECT r, doc_id, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws,
+         {_CRC.format('id')}::BIGINT AS h FROM i),
+n AS (SELECT *, len(ws)::BIGINT AS n, h // 10 AS g FROM d),
+e AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM n),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+w AS (
+  SELECT r, i, ws[CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+-- Places whose words agree at a lag that leaves room for a run; neighbouring ones make a stretch.
+same AS (
+  SELECT x.r, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.r = y.r AND x.w = y.w AND x.i < y.i JOIN n ON n.r = x.r
+  WHERE greatest({periodic_runs.LEAST}, {periodic_runs.TURNS} * (y.i - x.i)) <= n.n),
+stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM same) GROUP BY r, q, part
+  HAVING count(*) + q >= greatest({periodic_runs.LEAST}, {periodic_runs.TURNS} * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length::DECIMAL(18, 0) / period DESC, start, period) = 1),
+told AS (
+  SELECT r, count(*) AS n_runs,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT w.r, string_agg(w.w, ' ' ORDER BY w.i) AS x FROM w LEFT JOIN gone ON gone.r = w.r AND gone.i = w.i
+         WHERE gone.i IS NULL GROUP BY w.r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+       (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(x, '')) AS collapsed_sha256
+FROM n LEFT JOIN best USING (r) LEFT JOIN told USING (r) LEFT JOIN kept USING (r)
+"""
+
+_FIM = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= {fill_in_middle.FILLED} THEN 'plain'
+              WHEN h4 % 100 < {fill_in_middle.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form FROM k),
+s AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix
+  FROM c),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM s),
+m AS (
+  SELECT *, string_split(output, '<P>') AS at_p, string_split(output, '<S>') AS at_s, string_split(output, '<M>') AS at_m FROM o),
+t AS (
+  SELECT *, CASE form WHEN 'plain' THEN output
+                      WHEN 'psm' THEN string_split(at_p[2], '<S>')[1] || at_m[2] || string_split(at_s[2], '<M>')[1]
+                      ELSE string_split(at_p[2], '<M>')[1] || at_m[2] || string_split(at_s[2], '<P>')[1] END AS restored FROM m)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(output) AS output_sha256, sha256(restored) AS restored_sha256
+FROM t
+"""
+
 _CHAR_CLASSES = {
     "lower": "[^a-z]",
     "upper": "[^A-Z]",
@@ -216,4 +306,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_source_mix": _MIX,
         "op9_divergence_rules": _rules_sql(),
         "op10_warc_revisits": _WARC,
+        "op12_periodic_runs": _RUNS,
+        "op13_fill_in_middle": _FIM,
     }
