@@ -3,10 +3,11 @@
 A text is cut into units (a run of ASCII letters, or one other character). Two of the unit borders,
 drawn by a hash of the document's id, divide it into prefix, middle and suffix. No text is put
 together in memory: every section is emitted as pieces of at most ``UNITS`` units keyed by
-(document, output position), one shuffle sorts them inside their partitions
-(``repartitionAndSortWithinPartitions``), and the sorted pieces stream into an incremental digest or
+(document, output position); one shuffle by document sorts them inside their partitions
+(``repartition`` and ``sortWithinPartitions``, the DataFrame form of
+``repartitionAndSortWithinPartitions``), and the sorted pieces stream into an incremental digest or
 into the output text. To restore the text, the stream is parsed by its marks alone, its pieces get
-their place in the original as key and are sorted again by the same partitioner, which moves nothing.
+their place in the original as key and are sorted again where they are, which moves nothing.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-from pyspark import RDD
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +31,14 @@ PIECE_BYTES = 1 << 16
 
 #: Percentages of the texts left as they are beyond ``FILLED``, and of suffix-first ones below ``SUFFIX_FIRST``.
 FILLED, SUFFIX_FIRST = 90, 20
+#: Rows and content bytes of one batch that a task hands on.
+BATCH_ROWS, BATCH_BYTES = 4_000, 1 << 22
 PREFIX, MIDDLE, SUFFIX = 0, 1, 2
 MARKS = {PREFIX: b"<P>", MIDDLE: b"<M>", SUFFIX: b"<S>"}
 #: Sections in output order.
 ORDERS = {"plain": (), "psm": (PREFIX, SUFFIX, MIDDLE), "spm": (SUFFIX, PREFIX, MIDDLE)}
-#: Behind every section of a restored text.
-LAST = 9
+#: The facts of a document stand before its output, and behind every section of its restored text.
+FACTS, LAST = -1, 9
 
 _LETTER = np.zeros(256, dtype=bool)
 for _low, _high in (("A", "Z"), ("a", "z")):
@@ -78,10 +82,31 @@ def _chunks(text: bytes, starts: np.ndarray, low: int, high: int) -> Iterator[by
             at = stop
 
 
-def pieces(part: int, rows: Iterable) -> Iterator[tuple]:
-    """((partition, row, position), content): position 0 holds the document's facts, the others its output."""
+class Facts(NamedTuple):
+    """What is known about a document besides its pieces."""
+
+    doc_id: int | None
+    n: int
+    form: str
+    prefix_chars: int | None
+    middle_chars: int | None
+    output_sha256: str | None = None
+
+
+class Record(NamedTuple):
+    """A piece of a document, or its facts, keyed by its row (part, ordinal) and its place there."""
+
+    part: int
+    ordinal: int
+    section: int
+    position: int
+    content: bytes
+    facts: Facts | None = None
+
+
+def pieces(part: int, rows: Iterable[tuple]) -> Iterator[Record]:
+    """The records of the rows (doc_id, text) of one input partition, in output order."""
     for ordinal, (doc_id, text) in enumerate(rows):
-        text = (text or "").encode("utf-8", "replace")
         data = np.frombuffer(text, dtype=np.uint8)
         starts = unit_starts(data)
         made = plan(doc_id, text, len(starts))
@@ -94,13 +119,15 @@ def pieces(part: int, rows: Iterable) -> Iterator[tuple]:
             prefix_chars, middle_chars = int(chars[: at[0]].sum()), int(chars[at[0] : at[1]].sum())
             units = {PREFIX: (0, made.cuts[0]), MIDDLE: made.cuts, SUFFIX: (made.cuts[1], made.n)}
             sections = [(MARKS[s], *units[s]) for s in ORDERS[made.form]]
-        yield (part, ordinal, 0), (doc_id, made.n, made.form, prefix_chars, middle_chars)
-        position = itertools.count(1)
+        yield Record(part, ordinal, FACTS, 0, b"", Facts(doc_id, made.n, made.form, prefix_chars, middle_chars))
+        position = itertools.count()
         for mark, low, high in sections:
-            if mark:
-                yield (part, ordinal, next(position)), mark
+            # The mark goes in front of its section's first piece.
             for chunk in _chunks(text, starts, low, high):
-                yield (part, ordinal, next(position)), chunk
+                yield Record(part, ordinal, 0, next(position), mark + chunk)
+                mark = b""
+            if mark:
+                yield Record(part, ordinal, 0, next(position), mark)
 
 
 class Sections:
@@ -145,33 +172,69 @@ def restored_text(output: bytes, form: str) -> bytes:
     return b"".join(piece for _, piece in sorted(found, key=lambda x: x[0]))
 
 
-def _place(key: tuple) -> int:
-    """Partition of a piece: all pieces of one input row lie together, rows of one id or text need not."""
-    part, ordinal = key[0], key[1]
-    x = (part * 0x9E3779B97F4A7C15 + ordinal * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    return x >> 33
+_KEYS = (("part", pa.int64()), ("ordinal", pa.int64()), ("section", pa.int64()), ("position", pa.int64()), ("content", pa.binary()))
+_FACTS = (
+    ("doc_id", pa.int64()), ("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64()), ("output_sha256", pa.string()),
+)
+RECORDS = (
+    "part long, ordinal long, section long, position long, content binary, "
+    "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string"
+)
+_NO_FACTS = (None,) * len(_FACTS)
+
+
+def _batches(rows: Iterator[tuple], columns: tuple, content: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches; ``content`` is the place of the column whose bytes count."""
+    held, size = [], 0
 
+    def batch() -> pa.RecordBatch:
+        values = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, (_, kind) in zip(values, columns, strict=True)], names=[n for n, _ in columns])
 
-def _documents(records: Iterable[tuple]) -> Iterator[tuple[tuple, Iterator]]:
-    """Sorted records, document by document, as streams of contents."""
-    for document, found in itertools.groupby(records, key=lambda r: r[0][:2]):
-        yield document, (content for _, content in found)
+    for row in rows:
+        held.append(row)
+        size += 0 if content is None else len(row[content])
+        if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
-def sorted_pieces(docs: DataFrame, partitions: int | None = None) -> RDD:
-    """The pieces of all documents, those of one input row together and in output order.
+def _records(found: Iterator[Record]) -> Iterator[pa.RecordBatch]:
+    return _batches(((*r[:5], *(r.facts or _NO_FACTS)) for r in found), _KEYS + _FACTS, content=4)
 
-    The rows of ``docs`` are told apart by partition and place in it, so ``docs`` should be read from
-    files or a stored table, whose partitions are the same whenever a task is repeated. The default
-    number of partitions is the larger of the session's and the input's: a task sorts about what a
-    task reads, and spills beyond ``spark.python.worker.memory``.
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Iterator[tuple]]]:
+    """Sorted records, document by document, as streams of (content, facts or None)."""
+    rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True))
+    for document, found in itertools.groupby(rows, key=lambda row: row[:2]):
+        # The number of units is set in facts alone.
+        yield document, ((row[4], None if row[6] is None else Facts(*row[5:])) for row in found)
+
+
+def sorted_pieces(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The records of all documents, those of one input row together and in output order.
+
+    The rows of ``docs`` are told apart by partition and place in it, so that many rows of one id or
+    text are many small documents; ``docs`` should be read from files or a stored table, whose
+    partitions are the same whenever a task is repeated. The sort runs outside Python and spills.
     """
-    spark = docs.sparkSession
-    prepare_workers(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).rdd
-    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.getNumPartitions())
-    return texts.mapPartitionsWithIndex(pieces).repartitionAndSortWithinPartitions(partitions, _place)
+    prepare_workers(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            (doc_id, (text.as_py() or "").encode("utf-8", "replace"))
+            for batch in batches
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True)
+        )
+        return _records(pieces(TaskContext.get().partitionId(), rows))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = texts.mapInArrow(cut, RECORDS)
+    keys = ("part", "ordinal")
+    dealt = found.repartition(*keys) if partitions is None else found.repartition(partitions, *keys)
+    return dealt.sortWithinPartitions(*keys, "section", "position")
 
 
 OUTPUT_SCHEMA = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string"
@@ -183,39 +246,51 @@ def outputs(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     ``docs`` has doc_id and text; other columns are ignored. A null text is empty; empty texts, and
     texts with a mark of their own, stay as they are (form ``plain``, no section lengths). A null
     doc_id counts as the empty id. Repeated rows are transformed alike, each on its own; an empty
-    table gives an empty table. A task holds one output text beside the pieces it sorts.
+    table gives an empty table. A task holds one output text at a time.
     """
 
-    def joined(records: Iterable[tuple]) -> Iterator[tuple]:
-        for _, contents in _documents(records):
-            facts = next(contents)
-            yield (*facts, b"".join(contents).decode("utf-8"))
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def texts() -> Iterator[tuple]:
+            for _, records in _documents(batches):
+                _, facts = next(records)
+                yield (*facts[:5], b"".join(content for content, _ in records))
 
-    return docs.sparkSession.createDataFrame(sorted_pieces(docs, partitions).mapPartitions(joined), OUTPUT_SCHEMA, verifySchema=False)
+        columns = (*_FACTS[:5], ("output", pa.binary()))
+        for batch in _batches(texts(), columns, content=5):
+            yield batch.set_column(5, "output", batch.column(5).cast(pa.string()))
 
+    return sorted_pieces(docs, partitions).mapInArrow(joined, OUTPUT_SCHEMA)
 
-def _output_digests(records: Iterable[tuple]) -> Iterator[tuple]:
+
+def _output_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of the outputs, and their pieces keyed by their place in the original text."""
-    for document, contents in _documents(records):
-        facts = next(contents)
-        digest, parser, number = hashlib.sha256(), Sections(facts[2]), itertools.count()
-        for piece in contents:
-            digest.update(piece)
-            for section, found in parser.feed(piece):
-                yield (*document, section, next(number)), found
-        for section, found in parser.rest():
-            yield (*document, section, next(number)), found
-        yield (*document, LAST, 0), (*facts, digest.hexdigest())
-
-
-def _restored_digests(records: Iterable[tuple]) -> Iterator[tuple]:
-    for _, contents in _documents(records):
-        digest = hashlib.sha256()
-        for content in contents:
-            if isinstance(content, tuple):
-                yield (*content, digest.hexdigest())
-            else:
+
+    def placed() -> Iterator[Record]:
+        for document, records in _documents(batches):
+            _, facts = next(records)
+            digest, parser, number = hashlib.sha256(), Sections(facts.form), itertools.count()
+            for content, _ in records:
                 digest.update(content)
+                for section, found in parser.feed(content):
+                    yield Record(*document, section, next(number), found)
+            for section, found in parser.rest():
+                yield Record(*document, section, next(number), found)
+            yield Record(*document, LAST, 0, b"", facts._replace(output_sha256=digest.hexdigest()))
+
+    return _records(placed())
+
+
+def _restored_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests_of() -> Iterator[tuple]:
+        for _, records in _documents(batches):
+            digest = hashlib.sha256()
+            for content, facts in records:
+                if facts is None:
+                    digest.update(content)
+                else:
+                    yield (*facts, digest.hexdigest())
+
+    return _batches(digests_of(), (*_FACTS, ("restored_sha256", pa.string())))
 
 
 DIGEST_SCHEMA = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
@@ -224,10 +299,8 @@ DIGEST_SCHEMA = "doc_id long, n long, form string, prefix_chars long, middle_cha
 def digests(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Like ``outputs`` with the digests of the output and of the text restored from it, in streams.
 
-    No task holds a document: pieces go through the digests one by one. The rows and cases are those
-    of ``outputs``.
+    No task of the assembly holds a document: pieces go through the digests one by one, and a task's
+    memory is that of its batches. The rows and cases are those of ``outputs``.
     """
-    streams = sorted_pieces(docs, partitions)
-    again = streams.mapPartitions(_output_digests, preservesPartitioning=True)
-    back = again.repartitionAndSortWithinPartitions(streams.getNumPartitions(), _place)
-    return docs.sparkSession.createDataFrame(back.mapPartitions(_restored_digests), DIGEST_SCHEMA, verifySchema=False)
+    again = sorted_pieces(docs, partitions).mapInArrow(_output_digests, RECORDS)
+    return again.sortWithinPartitions("part", "ordinal", "section", "position").mapInArrow(_restored_digests, DIGEST_SCHEMA)

@@ -31,10 +31,10 @@ def expected(doc_id, text):
 
 def made(doc_id, text):
     """Facts and output pieces of one row, as the tasks emit them."""
-    records = list(M.pieces(0, [(doc_id, text)]))
-    assert [key for key, _ in records] == [(0, 0, i) for i in range(len(records))]
-    assert all(len(p) <= M.PIECE_BYTES for _, p in records[1:])
-    return records[0][1], [p for _, p in records[1:]]
+    first, *records = M.pieces(0, [(doc_id, text.encode())])
+    assert first.section == M.FACTS and [r[:4] for r in records] == [(0, 0, 0, i) for i in range(len(records))]
+    assert all(len(r.content) <= M.PIECE_BYTES + 3 for r in records)
+    return first.facts[:5], [r.content for r in records]
 
 
 @settings(max_examples=400, deadline=None)
@@ -89,7 +89,8 @@ def test_any_number_of_partitions_gives_the_same_rows(spark, odd):
 
 def test_a_hot_row_is_spread_over_the_partitions(spark):
     frame = spark.range(3_000).select(F.lit(5).alias("doc_id"), F.lit("one and the same text").alias("text")).repartition(4)
-    sizes = M.sorted_pieces(frame, 8).mapPartitions(lambda it: [len({k[:2] for k, _ in it})]).collect()
+    places = M.sorted_pieces(frame, 8).select("part", "ordinal", F.spark_partition_id().alias("at")).distinct()
+    sizes = [r["count"] for r in places.groupBy("at").count().collect()]
     assert sum(sizes) == 3_000 and max(sizes) < 2 * 3_000 / 8
 
 
@@ -97,10 +98,15 @@ def test_an_empty_table(spark, nothing):
     assert M.outputs(nothing).collect() == [] and M.digests(nothing).collect() == []
 
 
-def test_the_text_is_shuffled_once(spark, odd):
-    streams = M.sorted_pieces(odd, 6)
-    again = streams.mapPartitions(M._output_digests, preservesPartitioning=True)
-    assert again.repartitionAndSortWithinPartitions(6, M._place)._jrdd.rdd().toDebugString().count("ShuffledRDD") == 1
+def test_the_text_is_shuffled_once(documents):
+    plan = M.digests(documents)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 2
+
+
+def test_documents_larger_than_a_batch_stream_through(spark, monkeypatch):
+    rows = [(i, "ab, " * 3_000_000) for i in range(2)] + [(7, "short")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, M.digests(frame, 1).collect())) == digests_of(rows)
 
 
 def test_whole_query_against_sql(spark):
