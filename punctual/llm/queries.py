@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, extraction, fill_in_middle, fingerprints, language, mixing, neardup, packing, periodic_runs, quality_rules, quality_score, toxicity
+from . import archives, extraction, fill_in_middle, fingerprints, language, mixing, neardup, packing, periodic_runs, personal_data, quality_rules, quality_score, toxicity
 from .storage import new_folder
 
 
@@ -77,6 +77,20 @@ def warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return archives.read_archives(spark, at).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def personal_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: the rules' personal data by kind, its digest, and all spans with those of the field."""
+    docs = _table(spark, folder, "documents")
+    found = personal_data.personal_data(docs, personal_data.train(docs))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in personal_data.KINDS],
+        F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def periodic_words(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document, some of them rewritten to repeat words: its periodic runs and its text without them."""
     found = periodic_runs.periodic_runs(_table(spark, folder, "documents"), periodic_runs.planted)
@@ -110,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ordinal_toxicity": ordinal_toxicity,
         "op9_divergence_rules": divergence_rules,
         "op10_warc_revisits": warc_revisits,
+        "op11_semi_markov_pii": personal_spans,
         "op12_periodic_runs": periodic_words,
         "op13_fill_in_middle": fim_documents,
     }
