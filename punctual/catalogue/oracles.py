@@ -5,6 +5,7 @@ from __future__ import annotations
 from punctual.catalogue.queries import CITY_MIN_ORDERS
 from punctual.catalogue.stand_ins import LEXICON
 from punctual.functions.theme_json import SEVERITIES, THEMES
+from punctual.operators import outliers
 
 _CTES = {
     "b_orders": """
@@ -237,6 +238,75 @@ _FREQUENCY_JSON = """
     FROM (SELECT theme, count(*) AS n FROM {labels} GROUP BY theme)"""
 
 
+# Exact binomial sums over the counts 0 to n of every city.
+_FUNNEL = """,
+    g AS (SELECT customer_city, count(*) AS n, CAST(sum(CAST(is_late AS INT)) AS BIGINT) AS late
+          FROM features WHERE customer_city IS NOT NULL GROUP BY 1),
+    b AS (SELECT *, (SELECT sum(late) / sum(n)::DOUBLE FROM g) AS baseline FROM g),
+    c AS (SELECT *, unnest(range(n + 1)) AS c FROM b),
+    d AS (SELECT *, exp(lgamma(n + 1) - lgamma(c + 1) - lgamma(n - c + 1) + c * ln(baseline) + (n - c) * ln(1 - baseline)) AS mass FROM c),
+    t AS (SELECT *, sum(mass) OVER (PARTITION BY customer_city ORDER BY c) AS up_to,
+                 sum(mass) OVER (PARTITION BY customer_city ORDER BY c DESC) AS onwards FROM d),
+    v AS (SELECT customer_city, n, late, baseline,
+                 least(1, 2 * least(max(CASE WHEN c = late THEN up_to END), max(CASE WHEN c = late THEN onwards END))) AS p_value,
+                 min(CASE WHEN up_to > 0.025 THEN c END) / n AS low_rate, max(CASE WHEN onwards > 0.025 THEN c END) / n AS high_rate
+          FROM t GROUP BY customer_city, n, late, baseline),
+    r AS (SELECT *, count(*) OVER (ORDER BY round(p_value, 12)) AS rank, count(*) OVER () AS m FROM v),
+    q AS (SELECT *, least(1, min(p_value * m / rank) OVER (ORDER BY rank RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q_value FROM r)
+    SELECT customer_city, n, late, round(baseline, 6) AS baseline, round(late / n, 6) AS late_rate, round(p_value, 6) AS p_value,
+           CAST(rank AS BIGINT) AS rank, round(q_value, 6) AS q_value, round(low_rate, 6) AS low_rate, round(high_rate, 6) AS high_rate,
+           CASE WHEN q_value > 0.05 THEN 'no' WHEN late / n > baseline THEN 'high' ELSE 'low' END AS outlier
+    FROM q"""
+
+
+def _shrunk() -> str:
+    """The prior's Newton steps over sums of reciprocals, and the interval by halving over binomial-like sums."""
+    steps = []
+    for i in range(outliers.STEPS):
+        steps.append(f"""
+    a{i} AS (SELECT any_value(u) AS u, any_value(s) AS s,
+        sum(w * list_sum([1 / (u * s + i) for i in range(late)])) AS a1, sum(w * list_sum([1 / ((1 - u) * s + i) for i in range(n - late)])) AS b1,
+        sum(w * list_sum([1 / (s + i) for i in range(n)])) AS c1,
+        -sum(w * list_sum([1 / (u * s + i) ** 2 for i in range(late)])) AS a2, -sum(w * list_sum([1 / ((1 - u) * s + i) ** 2 for i in range(n - late)])) AS b2,
+        -sum(w * list_sum([1 / (s + i) ** 2 for i in range(n)])) AS c2
+        FROM pairs, p{i}),
+    d{i} AS (SELECT *, s * u * (1 - u) AS v, coalesce(a1, 0) - c1 AS x, coalesce(b1, 0) - c1 AS y, coalesce(a2, 0) AS a3, coalesce(b2, 0) AS b3 FROM a{i}),
+    h{i} AS (SELECT *, v * (x - y) AS gm, u * s * x + (1 - u) * s * y AS gs, v * v * (a3 + b3) + v * (1 - 2 * u) * (x - y) AS hm,
+        (u * s) ** 2 * a3 + ((1 - u) * s) ** 2 * b3 - s * s * c2 + u * s * x + (1 - u) * s * y AS hs,
+        v * (u * s * a3 - (1 - u) * s * b3) + v * (x - y) AS hb FROM d{i}),
+    m{i} AS (SELECT u, s,
+        CASE WHEN hm < 0 AND hm * hs > hb * hb THEN (hb * gs - hs * gm) / (hm * hs - hb * hb) WHEN hm < 0 THEN -gm / hm ELSE 0 END AS mu,
+        CASE WHEN hm < 0 AND hm * hs > hb * hb THEN (hb * gm - hm * gs) / (hm * hs - hb * hb)
+             WHEN gs < 0 THEN -{outliers.LONGEST_STEP} ELSE {outliers.LONGEST_STEP} END AS ms FROM h{i}),
+    p{i + 1} AS (SELECT 1 / (1 + exp(-(ln(u / (1 - u)) + least(greatest(mu, -{outliers.LONGEST_STEP}), {outliers.LONGEST_STEP})))) AS u,
+        least(greatest(s * exp(least(greatest(ms, -{outliers.LONGEST_STEP}), {outliers.LONGEST_STEP})), {outliers.WEAKEST}), {outliers.STRONGEST}::DOUBLE) AS s FROM m{i})""")
+    # The posterior is added up over a fine grid of the logit of the rate.
+    return (
+        """,
+    g AS (SELECT customer_city, count(*) AS n, CAST(sum(CAST(is_late AS INT)) AS BIGINT) AS late
+          FROM features WHERE customer_city IS NOT NULL GROUP BY 1),
+    pairs AS (SELECT n, late, count(*) AS w FROM g GROUP BY ALL),
+    p0 AS (SELECT (sum(late * w) + 0.5) / (sum(n * w) + 1.0)::DOUBLE AS u, 10.0::DOUBLE AS s FROM pairs),"""
+        + ",".join(steps)
+        + f""",
+    post AS (SELECT g.*, u, s, u * s + late AS a, (1 - u) * s + n - late AS b FROM g, p{outliers.STEPS}),
+    o AS (SELECT *, ln(a / b) AS centre, sqrt(1 / a + 1 / b) AS width, lgamma(a + b) - lgamma(a) - lgamma(b) AS front FROM post),
+    grid AS (SELECT *, centre + width * (k - 6000) / 500 AS z FROM (SELECT *, unnest(range(12001)) AS k FROM o)),
+    f AS (SELECT *, width / 500 * exp(front - a * ln(1 + exp(-z)) - b * ln(1 + exp(z))) AS mass FROM grid),
+    cum AS (SELECT *, sum(mass) OVER (PARTITION BY customer_city ORDER BY k) - mass / 2 AS up_to FROM f),
+    ends AS (SELECT *, lead(up_to) OVER w AS next_up, lead(z) OVER w AS next_z, lead(mass) OVER w AS next_mass FROM cum WINDOW w AS (PARTITION BY customer_city ORDER BY k)),
+    cut AS (SELECT *, (q - up_to) / ((mass + next_mass) / 2) AS t0, (next_mass - mass) / (mass + next_mass) AS tilt
+            FROM ends, (VALUES (0.025), (0.975)) AS qs(q) WHERE up_to <= q AND next_up > q),
+    -- Inside a step the density is taken as linear.
+    solved AS (SELECT customer_city, q, z + (next_z - z) * (t0 + tilt * t0 * (1 - t0)) AS edge FROM cut)
+    SELECT customer_city, n, late, round(late / n, 6) AS late_rate, round(u, 6) AS prior_mean, round(ln(s), 3) AS log_strength,
+           round((u * s + late) / (s + n), 6) AS shrunk_rate,
+           round((SELECT 1 / (1 + exp(-edge)) FROM solved x WHERE x.customer_city = post.customer_city AND q < 0.5), 4) AS low,
+           round((SELECT 1 / (1 + exp(-edge)) FROM solved x WHERE x.customer_city = post.customer_city AND q > 0.5), 4) AS high
+    FROM post"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     themes, severities = _array(THEMES), _array(SEVERITIES)
     answered = f"""
@@ -393,6 +463,8 @@ def oracle_sql() -> dict[str, str]:
                    CAST(round_even(avg(review_score), 2) AS VARCHAR) AS avg_score_str
             FROM features WHERE customer_city IS NOT NULL GROUP BY customer_city
             HAVING count(*) >= {CITY_MIN_ORDERS} AND avg(lat) IS NOT NULL""",
+        "city_lateness_shrunk": _shrunk(),
+        "city_funnel": _FUNNEL,
         "staged_features": f"SELECT {_FEATURE_COLUMNS} FROM features",
         "cache_roundtrip": "SELECT * FROM s_payments",
         # Ids and zip prefixes are strings in CSV files.

@@ -15,6 +15,7 @@ from punctual.operators import (
     features as feature_ops,
     gold as gold_ops,
     labelling,
+    outliers,
     profile,
     regional,
     sampling,
@@ -398,6 +399,28 @@ def city_lateness(spark, bronze):
     return _rounded(cities, "late_rate", "avg_score", "lat", "lng")
 
 
+def _city_rates(spark: SparkSession, bronze: Bronze, name: str) -> DataFrame:
+    """One stored row per city for queries that read it in several steps."""
+    rates = outliers.group_rates(medallion.build_features(bronze, text=False))
+    return materialize(rates, _stored(spark, name))
+
+
+@_query
+def city_lateness_shrunk(spark, bronze):
+    """Late rates of all cities, small ones drawn towards the common rate by a fitted prior."""
+    shrunk = outliers.shrunk_rates(_city_rates(spark, bronze, "city_lateness_shrunk"))
+    strength = F.round(F.ln("prior_strength"), 3).alias("log_strength")
+    rounded = _rounded(_rounded(shrunk, "late_rate", "prior_mean", "shrunk_rate"), "low", "high", digits=4)
+    return rounded.select("*", strength).drop("prior_strength")
+
+
+@_query
+def city_funnel(spark, bronze):
+    """Binomial control limits per city and false-discovery control over all of them."""
+    limits = outliers.funnel(_city_rates(spark, bronze, "city_funnel"))
+    return _rounded(limits, "baseline", "late_rate", "p_value", "q_value", "low_rate", "high_rate")
+
+
 # Stored stages, caches, file sources and jobs
 
 
