@@ -467,6 +467,14 @@ def oracle_sql() -> dict[str, str]:
         "city_funnel": _FUNNEL,
         "staged_features": f"SELECT {_FEATURE_COLUMNS} FROM features",
         "cache_roundtrip": "SELECT * FROM s_payments",
+        "cache_follows_inputs": """
+            SELECT order_id, CAST(sum(payment_value) AS DOUBLE) AS payment_total,
+                   count(*) AS n_payments, max(payment_installments) AS max_installments
+            FROM b_order_payments WHERE payment_installments > 1 GROUP BY order_id""",
+        "csv_reviews_in_blocks": """
+            SELECT CAST(review_id AS VARCHAR) AS review_id, CAST(order_id AS VARCHAR) AS order_id, review_score,
+                   review_comment_title, review_comment_message, review_answer_timestamp
+            FROM b_order_reviews""",
         # Ids and zip prefixes are strings in CSV files.
         "csv_gold": f"""
             SELECT * REPLACE (CAST(review_id AS VARCHAR) AS review_id,

@@ -20,6 +20,7 @@ from punctual.operators import (
     regional,
     sampling,
     sentiment as sentiment_ops,
+    silver as silver_ops,
     themes as theme_ops,
 )
 from punctual.plans import jobs, medallion
@@ -439,22 +440,56 @@ def cache_roundtrip(spark, bronze):
     return cache.load_or_build("payments", lambda: spark.range(0))
 
 
+@_query
+def cache_follows_inputs(spark, bronze):
+    """A stored summary is built anew when its input changes, and loaded when only the order of the rows does."""
+    cache = _cache(spark, "cache_follows_inputs")
+
+    def summary(payments: DataFrame, build=None) -> DataFrame:
+        build = build or (lambda: silver_ops.order_payments_agg(payments))
+        return cache.load_or_build("payments", build, inputs={"order_payments": payments})
+
+    summary(bronze.order_payments)
+    later = bronze.order_payments.filter("payment_installments > 1")
+    summary(later)
+    return summary(later.repartition(5, "payment_value"), build=lambda: spark.range(0))
+
+
+def _write_csv(frame: DataFrame, path: str) -> None:
+    (
+        frame.write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("quoteAll", True)
+        .option("emptyValue", "")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        .csv(path)
+    )
+
+
+#: Bytes of the blocks in which ``csv_reviews_in_blocks`` reads its file.
+CSV_BLOCK = 1 << 17
+
+
+@_query
+def csv_reviews_in_blocks(spark, bronze):
+    """All reviews in one CSV file with line breaks in quotes, read by many tasks."""
+    root = _stored(spark, "csv_reviews_in_blocks")
+    _write_csv(bronze.order_reviews.drop("has_text", "text_digest").coalesce(1), f"{root}/order_reviews.csv")
+    session = spark.newSession()
+    for key in ("maxPartitionBytes", "openCostInBytes"):
+        session.conf.set(f"spark.sql.files.{key}", str(CSV_BLOCK))
+    return tune(session) and Sources(root, "csv", "{table}.csv").read(session, "order_reviews")
+
+
 @_query
 def csv_gold(spark, bronze):
     """The source tables written as CSV, read back by prefix and taken to gold."""
     root = _stored(spark, "csv_gold")
     for name, frame in bronze.tables().items():
-        (
-            frame.write.mode("overwrite")
-            .option("header", True)
-            .option("escape", '"')
-            .option("quoteAll", True)
-            .option("emptyValue", "")
-            .option("ignoreLeadingWhiteSpace", False)
-            .option("ignoreTrailingWhiteSpace", False)
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-            .csv(f"{root}/{name}.csv")
-        )
+        _write_csv(frame, f"{root}/{name}.csv")
     gold = medallion.load_gold(spark, Sources(root, "csv", "{table}.csv"))
     return _rounded(gold, "customer_lat", "customer_lng")
 

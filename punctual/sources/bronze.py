@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from punctual.sources.split_csv import UnpairedQuotes, read_split_csv
+
 # The source tables outside the scope of the analysis.
 OUT_OF_SCOPE = ("sellers", "products", "product_category_name_translation")
 
@@ -65,31 +67,27 @@ TABLES = tuple(f.name for f in fields(Bronze))
 MULTI_LINE = ("order_reviews",)
 
 
+_CSV = {"quote": '"', "escape": '"', "encoding": "UTF-8", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]"}
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Header CSV, typed by column name.
+    """Header CSV, typed by column name; a value that does not fit its type fails.
 
-    Only the header line is looked at to learn the columns; unknown columns are kept as strings.
-    With ``multi_line`` a quoted text may hold line breaks, so one file is one task: split large
-    inputs into many files, or convert them to Parquet once (``cache.materialize``). Without it
-    Spark splits large files.
+    Only the header line is looked at to learn the columns; unknown columns are kept as strings. With
+    ``multi_line`` a quoted text may hold line breaks; large files are divided all the same
+    (``split_csv``), for which their quotation marks are counted here. Where these do not pair up, the
+    files are left to Spark's own multi-line reader, one task per file.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-    )
+    if multi_line:
+        try:
+            return read_split_csv(spark, path, COLUMN_TYPES, _CSV)
+        except UnpairedQuotes:
+            pass
+    reader = spark.read.options(header=True, multiLine=multi_line, **_CSV)
     schema = T.StructType(
         [T.StructField(c, COLUMN_TYPES.get(c, T.StringType())) for c in reader.csv(path).columns]
     )
-    return (
-        reader.schema(schema)
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-        .csv(path)
-    )
+    return reader.schema(schema).options(enforceSchema=False, mode="FAILFAST").csv(path)
 
 
 @dataclass(frozen=True)
