@@ -466,6 +466,7 @@ def oracle_sql() -> dict[str, str]:
         "city_lateness_shrunk": _shrunk(),
         "city_funnel": _FUNNEL,
         "staged_features": f"SELECT {_FEATURE_COLUMNS} FROM features",
+        "gold_after_deltas": f"SELECT {_GOLD_COLUMNS} FROM gold",
         "cache_roundtrip": "SELECT * FROM s_payments",
         "cache_follows_inputs": """
             SELECT order_id, CAST(sum(payment_value) AS DOUBLE) AS payment_total,
