@@ -5,7 +5,7 @@ from __future__ import annotations
 from punctual.catalogue.queries import CITY_MIN_ORDERS
 from punctual.catalogue.stand_ins import LEXICON
 from punctual.functions.theme_json import SEVERITIES, THEMES
-from punctual.operators import outliers
+from punctual.operators import bootstrap, outliers
 
 _CTES = {
     "b_orders": """
@@ -238,6 +238,19 @@ _FREQUENCY_JSON = """
     FROM (SELECT theme, count(*) AS n FROM {labels} GROUP BY theme)"""
 
 
+def _replicates(source: str, sums: str) -> str:
+    """Weighted sums of the rows of ``source`` (with ``review_id``) in every bootstrap replicate."""
+    weight = " + ".join(f"(h >= {b})::INT" for b in bootstrap.BOUNDS)
+    return f"""
+    drawn AS (SELECT *, unnest(range({bootstrap.REPLICATES})) AS replicate FROM {source}),
+    hashed AS (SELECT *, ('0x' || substr(md5(review_id || ':' || (replicate // 4) || ':42'), 1 + 8 * (replicate % 4), 8))::BIGINT AS h FROM drawn),
+    weighed AS (SELECT *, {weight} AS w FROM hashed),
+    sums AS (SELECT replicate, {sums} FROM weighed GROUP BY replicate)"""
+
+
+_BOUNDS_OF = """round(v[1 + round_even((len(v) - 1) * 0.025, 0)::INT], 6) AS low,
+           round(v[1 + round_even((len(v) - 1) * (1 - 0.05 / 2), 0)::INT], 6) AS high"""
+
 # Exact binomial sums over the counts 0 to n of every city.
 _FUNNEL = """,
     g AS (SELECT customer_city, count(*) AS n, CAST(sum(CAST(is_late AS INT)) AS BIGINT) AS late
@@ -463,6 +476,38 @@ def oracle_sql() -> dict[str, str]:
                    CAST(round_even(avg(review_score), 2) AS VARCHAR) AS avg_score_str
             FROM features WHERE customer_city IS NOT NULL GROUP BY customer_city
             HAVING count(*) >= {CITY_MIN_ORDERS} AND avg(lat) IS NOT NULL""",
+        "gap_quantiles": """
+            SELECT delivery_outcome, n, share, round(list_extract(q, i), 8) AS gap_days
+            FROM (SELECT delivery_outcome, count(delivery_gap_days) AS n, quantile_cont(delivery_gap_days, [0.25, 0.5, 0.75]) AS q
+                  FROM features GROUP BY 1), (VALUES (1, 0.25::DOUBLE), (2, 0.5::DOUBLE), (3, 0.75::DOUBLE)) s(i, share)""",
+        "score_difference_interval": ","
+        + _replicates(
+            "features",
+            "sum(w * (NOT is_late)::INT * review_score) / nullif(sum(w * (NOT is_late)::INT), 0)"
+            " - sum(w * is_late::INT * review_score) / nullif(sum(w * is_late::INT), 0) AS value",
+        )
+        + f""",
+            v AS (SELECT list_sort(list(value)) AS v FROM sums WHERE value IS NOT NULL)
+            SELECT (SELECT count(review_score) FROM features) AS n,
+                   round((SELECT avg(review_score) FILTER (NOT is_late) - avg(review_score) FILTER (is_late) FROM features), 6) AS difference,
+                   {_BOUNDS_OF} FROM v""",
+        "stability_interval": """,
+            both_runs AS (SELECT run_a.review_id, (run_a.theme = run_b.theme)::INT AS same FROM run_a JOIN run_b USING (review_id)),"""
+        + _replicates("both_runs", "sum(w * same) / nullif(sum(w), 0) AS value")
+        + f""",
+            v AS (SELECT list_sort(list(value)) AS v FROM sums WHERE value IS NOT NULL)
+            SELECT (SELECT count(*) FROM both_runs) AS n, round((SELECT avg(same) FROM both_runs), 6) AS mean, {_BOUNDS_OF} FROM v""",
+        "stratified_negative_sample": """,
+            pool AS (SELECT review_id, review_comment_message, CASE WHEN is_late THEN 'Late' ELSE 'On-time' END AS stratum
+                     FROM features WHERE is_negative AND has_text),
+            sizes AS (SELECT stratum, count(*) AS size, sum(count(*)) OVER () AS total FROM pool GROUP BY 1),
+            shares AS (SELECT *, 150 * size // total AS whole, row_number() OVER (ORDER BY 150 * size % total DESC, stratum) AS place FROM sizes),
+            quotas AS (SELECT stratum, CASE WHEN total <= 150 THEN size
+                              ELSE whole + (place <= 150 - sum(whole) OVER ())::INT END AS quota FROM shares),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY stratum
+                                                    ORDER BY md5(CAST(review_id AS VARCHAR) || ':42'), review_id) AS rank FROM pool)
+            SELECT review_id, stratum, CAST(quota AS BIGINT) AS quota, rank, review_comment_message
+            FROM placed JOIN quotas USING (stratum) WHERE rank <= quota""",
         "city_lateness_shrunk": _shrunk(),
         "city_funnel": _FUNNEL,
         "staged_features": f"SELECT {_FEATURE_COLUMNS} FROM features",
@@ -502,7 +547,10 @@ def oracle_sql() -> dict[str, str]:
             FROM rows""",
         "theming_job": f""",
             answered AS ({answered} FROM ranked)
-            SELECT count(*) AS n, 100.0::DOUBLE AS stability_pct,
+            SELECT count(*) AS n,
+                   (SELECT round_even(100.0 * avg((theme = {themes}[CASE WHEN review_id::BIGINT % 10 = 3
+                                                       THEN (review_id::BIGINT + 1) % 8 ELSE review_id::BIGINT % 8 END + 1])::INT), 1)
+                    FROM answered) AS stability_pct,
                    (SELECT {_FREQUENCY_JSON.format(labels='answered')}) AS freq
             FROM answered""",
     }

@@ -13,12 +13,14 @@ from punctual.catalogue import stand_ins
 from punctual.functions import polarity
 from punctual.functions.delivery import outcome_rank
 from punctual.operators import (
+    bootstrap,
     distributions,
     features as feature_ops,
     gold as gold_ops,
     labelling,
     outliers,
     profile,
+    quantiles,
     regional,
     sampling,
     sentiment as sentiment_ops,
@@ -220,6 +222,30 @@ def gap_histogram_equal_width(spark, bronze):
     return distributions.gap_histogram_equal_width(materialize(gaps, _stored(spark, "gap_histogram")))
 
 
+@_query
+def gap_quantiles(spark, bronze):
+    """Quartiles of the delivery gap per outcome."""
+    gaps = medallion.build_features(bronze, text=False).select("delivery_gap_days", "delivery_outcome")
+    return _rounded(quantiles.gap_quantiles(materialize(gaps, _stored(spark, "gap_quantiles"))), "gap_days", digits=8)
+
+
+@_query
+def score_difference_interval(spark, bronze):
+    """Mean score of on-time less late reviews with its bootstrap interval."""
+    scores = medallion.build_features(bronze, text=False).select("review_id", "is_late", "review_score")
+    stored = materialize(scores, _stored(spark, "score_difference"))
+    return _rounded(bootstrap.score_difference(stored), "difference", "low", "high")
+
+
+@_query
+def stability_interval(spark, bronze):
+    """Share of reviews with one theme in two runs, with its bootstrap interval."""
+    runs = [labelling.one_label_per_review(_labels(bronze, run)) for run in (1, 2)]
+    both = runs[0].select("review_id", F.col("theme").alias("a")).join(runs[1].select("review_id", F.col("theme").alias("b")), "review_id")
+    stored = materialize(both, _stored(spark, "stability_interval"))
+    return _rounded(bootstrap.mean_interval(stored, "review_id", F.col("a") == F.col("b")), "mean", "low", "high")
+
+
 # Sentiment
 
 
@@ -260,7 +286,8 @@ def sentiment_disagreements(spark, bronze):
 @_query
 def disagreement_examples(spark, bronze):
     texts = _stored_texts(spark, bronze, "disagreement_examples")
-    return sentiment_ops.disagreement_examples(_sentiment(spark, texts), texts)
+    scored = materialize(_sentiment(spark, texts), _stored(spark, "disagreement_examples_scored"))
+    return sentiment_ops.disagreement_examples(scored, texts)
 
 
 # Themes
@@ -272,12 +299,21 @@ SAMPLE, HALF_SAMPLE = 400, 150
 
 @_query
 def negative_sample(spark, bronze):
-    return labelling.negative_sample(medallion.build_features(bronze), SAMPLE)
+    return labelling.negative_sample(_stored_texts(spark, bronze, "negative_sample"), SAMPLE)
 
 
 @_query
 def negative_half_sample(spark, bronze):
-    return labelling.negative_sample(medallion.build_features(bronze), HALF_SAMPLE)
+    return labelling.negative_sample(_stored_texts(spark, bronze, "negative_half_sample"), HALF_SAMPLE)
+
+
+@_query
+def stratified_negative_sample(spark, bronze):
+    """Negative reviews with text, sampled in proportion to delivery outcomes."""
+    texts = _stored_texts(spark, bronze, "stratified_negative_sample").filter("is_negative")
+    late = texts.withColumn("stratum", F.when(F.col("is_late"), "Late").otherwise("On-time"))
+    sample = sampling.stratified_sample(late, "review_id", "stratum", HALF_SAMPLE, 42)
+    return sample.select("review_id", "stratum", "quota", "rank", "review_comment_message")
 
 
 @_query
@@ -289,8 +325,9 @@ def all_negatives_ranked(spark, bronze):
 
 @_query
 def theme_batches(spark, bronze):
-    """Every negative review with its whole text, in batches, as one lazy plan."""
-    return labelling.review_blocks(labelling.negative_sample(medallion.build_features(bronze))).drop("review_ids")
+    """Every negative review with its whole text, in batches, from stored features."""
+    features = materialize(medallion.build_features(bronze), _stored(spark, "theme_batches"))
+    return labelling.review_blocks(labelling.negative_sample(features)).drop("review_ids")
 
 
 @_query
@@ -344,12 +381,8 @@ def label_new_reviews(spark, bronze):
 def labelled_stability(spark, bronze):
     """Two labelled runs of all negative reviews by a labeler that changes its mind in between."""
     texts = _stored_texts(spark, bronze, "labelled_stability_texts")
-    cache = _cache(spark, "labelled_stability")
-    runs = [
-        labelling.build_themes(texts, stand_ins.drifting_labeler(run), cache, f"run_{run}", regenerate=True)
-        for run in (1, 2)
-    ]
-    return labelling.stability(*runs)
+    labelers = stand_ins.drifting_labeler(1), stand_ins.drifting_labeler(2)
+    return jobs.theme_stability(texts, _cache(spark, "labelled_stability"), *labelers)
 
 
 @_query
@@ -566,7 +599,7 @@ def sentiment_job(spark, bronze):
 
 def _theming(spark: SparkSession, bronze: Bronze, name: str):
     texts = _stored_texts(spark, bronze, f"{name}_texts")
-    return jobs.theming_job(texts, _cache(spark, name), stand_ins.id_labeler(), regenerate=True)
+    return jobs.theming_job(texts, _cache(spark, name), stand_ins.id_labeler(), regenerate=True, again=stand_ins.drifting_labeler(2))
 
 
 @_query

@@ -34,15 +34,15 @@ def sentiment_job(
 
 
 def theme_stability(
-    features: DataFrame, cache: ResultCache, labeler: labelling.Labeler, **options
+    features: DataFrame, cache: ResultCache, labeler: labelling.Labeler, again: labelling.Labeler | None = None, **options
 ) -> DataFrame:
     """Label the same reviews twice and report how often the theme is the same.
 
-    Each run is a stored generation of its own.
+    Each run is a stored generation of its own; ``again`` may be another labeler for the second one.
     """
     runs = [
-        labelling.build_themes(features, labeler, cache, name, regenerate=True, **options)
-        for name in ("stability_a", "stability_b")
+        labelling.build_themes(features, run, cache, name, regenerate=True, **options)
+        for name, run in (("stability_a", labeler), ("stability_b", again or labeler))
     ]
     return labelling.stability(*runs)
 
@@ -52,12 +52,13 @@ def theming_job(
     cache: ResultCache,
     labeler: labelling.Labeler,
     regenerate: bool = False,
+    again: labelling.Labeler | None = None,
     **options,
 ) -> tuple[JobResult, DataFrame]:
-    """Label the negative reviews (kept), label them again, compare; returns labels, summary and chart data."""
+    """Label the negative reviews (kept), label them again (by ``again``, if given), compare; returns labels, summary and chart data."""
     build = labelling.build_themes
     first = cache.save("themes_table", build(features, labeler, cache, "themes", regenerate=regenerate, **options))
-    second = build(features, labeler, cache, "themes_check", regenerate=True, **options)
+    second = build(features, again or labeler, cache, "themes_check", regenerate=True, **options)
     summary = themes.theme_summary(first, labelling.stability(first, second))
     chart = themes.theme_frequency(themes.labels_with_reviews(first, features))
     return JobResult(first, summary), chart.orderBy("theme_rank", outcome_rank(F.col("delivery_outcome")))
