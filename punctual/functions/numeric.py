@@ -9,21 +9,18 @@ from pyspark.sql import functions as F
 def money_sum(amount: Column) -> Column:
     """Sum of amounts with up to six decimals, reported as double: the same bits for any partitioning.
 
-    Whole cents, and the millionths beyond them, are added as integers, which stays in generated
-    code where a wide decimal would not. Single amounts of 10^9 or more count in whole cents, and
-    are exact below 10^13; a sum beyond 64 bits fails instead of wrapping.
+    Whole units, and the millionths beyond them, are added as integers, which stays in generated code
+    where a wide decimal would not. An amount of any size counts with the six decimals it is written
+    with; from 10^9 on, where doubles lie too far apart to subtract, these are read off its shortest
+    decimal form. A sum beyond 64 bits fails instead of wrapping.
     """
-    hundredfold = amount.cast("double") * 100
-    whole = F.rint(hundredfold)
-    beyond = F.when(F.abs(amount.cast("double")) < 1e9, F.rint((hundredfold - whole) * 10_000)).otherwise(whole * 0)
-    cents, millionths = F.sum(whole.cast("bigint")), F.sum(beyond.cast("bigint"))
-    # Up to 2^53 cents are a double without rounding, so the division gives the nearest double.
-    in_decimals = cents.cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)") + millionths.cast(
-        "decimal(20,0)"
-    ) * F.lit("0.000001").cast("decimal(7,6)")
-    return F.when((millionths == 0) & cents.between(-(2**53), 2**53), cents.cast("double") / 100).otherwise(
-        in_decimals.cast("double")
-    )
+    value = amount.cast("double")
+    whole = F.rint(value)
+    written = (value.cast("decimal(30,6)") - whole.cast("decimal(30,6)")) * F.lit(1_000_000)
+    beyond = F.when(F.abs(value) < 1e9, F.rint((value - whole) * 1_000_000).cast("bigint")).otherwise(written.cast("bigint"))
+    units, millionths = F.sum(whole.cast("bigint")), F.sum(beyond)
+    exact = units.cast("decimal(20,0)") + millionths.cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(7,6)")
+    return exact.cast("double")
 
 
 def exact_sum(value: Column) -> Column:

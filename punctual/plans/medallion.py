@@ -130,11 +130,12 @@ def gold_statement(views: dict[str, str]) -> str:
     """Gold as one portable SQL statement over registered tables; ``has_text`` is 0 or 1."""
 
     def money(column: str) -> str:
-        cents = f"rint(CAST({column} AS DOUBLE) * 100)"
-        beyond = f"CASE WHEN abs(CAST({column} AS DOUBLE)) < 1e9 THEN rint((CAST({column} AS DOUBLE) * 100 - {cents}) * 10000) ELSE {cents} * 0 END"
+        value, whole = f"CAST({column} AS DOUBLE)", f"rint(CAST({column} AS DOUBLE))"
+        written = f"CAST((CAST({value} AS DECIMAL(30,6)) - CAST({whole} AS DECIMAL(30,6))) * 1000000 AS BIGINT)"
+        beyond = f"CASE WHEN abs({value}) < 1e9 THEN CAST(rint(({value} - {whole}) * 1000000) AS BIGINT) ELSE {written} END"
         return (
-            f"CAST(CAST(sum(CAST({cents} AS BIGINT)) AS DECIMAL(20,0)) * 0.01"
-            f" + CAST(sum(CAST({beyond} AS BIGINT)) AS DECIMAL(20,0)) * 0.000001 AS DOUBLE)"
+            f"CAST(CAST(sum(CAST({whole} AS BIGINT)) AS DECIMAL(20,0))"
+            f" + CAST(sum({beyond}) AS DECIMAL(20,0)) * 0.000001 AS DOUBLE)"
         )
 
     return f"""

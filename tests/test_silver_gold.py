@@ -225,6 +225,7 @@ def test_money_sums_are_exact_for_any_size_and_order(spark):
         "beyond_exact_doubles": [99999999999.99] * 1001,
         "refunds": [-12.34, 0.05, -99999.99],
         "missing": [None, 1.1],
+        "large_with_six_decimals": [1234567890.123456, -2000000000.654321, 999999999.999999],
     }
     rows = [(k, v) for k, values in groups.items() for v in values]
     frame = spark.createDataFrame(rows, "k string, v double").repartition(5)
