@@ -46,8 +46,8 @@ _LOW = np.array(sorted(low for _, low, _ in SCRIPTS))
 _BY_LOW = {low: (NAMES.index(name), high) for name, low, high in SCRIPTS}
 _HIGH = np.array([_BY_LOW[low][1] for low in _LOW])
 _SCRIPT = np.array([_BY_LOW[low][0] for low in _LOW])
-#: Not letters, beyond ASCII: Latin-1 signs, general punctuation to symbols, CJK punctuation, private use, emoji.
-_SIGNS = ((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x300, 0x36F), (0x2000, 0x206F), (0x20A0, 0x20FF), (0x2190, 0x2BFF), (0x3000, 0x303F), (0xE000, 0xF8FF), (0xFE00, 0xFE0F), (0xFFF0, 0xFFFF), (0x1F000, 0x1FAFF))
+#: Whether a code point is a letter (Unicode categories L*).
+_IS_LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _LOWER[W.SPACE] = 32
@@ -67,9 +67,7 @@ def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         b0 < 0xE0, (b0 & 0x1F) << 6 | (b1 & 0x3F),
         np.where(b0 < 0xF0, (b0 & 0x0F) << 12 | (b1 & 0x3F) << 6 | (b2 & 0x3F), (b0 & 7) << 18 | (b1 & 0x3F) << 12 | (b2 & 0x3F) << 6 | (b3 & 0x3F)),
     )
-    letter = np.ones(len(point), dtype=bool)
-    for low, high in _SIGNS:
-        letter &= (point < low) | (point > high)
+    letter = _IS_LETTER[np.minimum(point, 0x10FFFF)]
     lead, point = lead[letter], point[letter]
     place = np.searchsorted(_LOW, point, "right") - 1
     inside = (place >= 0) & (point <= _HIGH[place])

@@ -117,3 +117,18 @@ def test_code_points():
     order = np.argsort(at)
     names = [L.NAMES[s] for s in script[order]]
     assert names == ["latin"] * 4 + ["cyrillic", "han", "han", "latin"]
+
+
+def test_letters_are_those_of_unicode():
+    for point in [*range(0x80, 0x3100), *range(0xF900, 0xFB50), *range(0xFE00, 0x10000), *range(0x1D400, 0x1D800), 0x1F600, 0x20000]:
+        if 0xD800 <= point < 0xE000:
+            continue
+        at, _ = L.code_points(np.frombuffer(chr(point).encode(), np.uint8))
+        assert (len(at) == 1) == chr(point).isalpha(), hex(point)
+
+
+def test_texts_without_a_letter_are_undetermined(spark, documents):
+    texts = ["٢٠٢٤", "２０２４", "१२३", "⁴ ₂", "！！", "฿", "Ⅳ", "๑๒", "﷼", "𝟙𝟚", "", None, " \n", "12.5%"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = L.identify(frame, L.train(documents)).collect()
+    assert len(found) == len(texts) and {r.lang_pred for r in found} == {"und"}
