@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from punctual.catalogue.queries import CITY_MIN_ORDERS
+from punctual.catalogue.queries import CITY_MIN_ORDERS, POINT_STEPS
 from punctual.catalogue.stand_ins import LEXICON
 from punctual.functions.theme_json import SEVERITIES, THEMES
 from punctual.operators import bootstrap, outliers
+from punctual.operators.robust_points import NEAREST
 
 _CTES = {
     "b_orders": """
@@ -248,6 +249,21 @@ def _replicates(source: str, sums: str) -> str:
     sums AS (SELECT replicate, {sums} FROM weighed GROUP BY replicate)"""
 
 
+def _robust_points() -> str:
+    """Weighted means of the raw points, step by step."""
+    steps = [
+        """,
+    raw AS (SELECT geolocation_zip_code_prefix AS zip_prefix, geolocation_lat AS x, geolocation_lng AS y FROM b_geolocation
+            WHERE geolocation_lat IS NOT NULL AND geolocation_lng IS NOT NULL),
+    p0 AS (SELECT zip_prefix, avg(x) AS lat, avg(y) AS lng FROM raw GROUP BY 1)"""
+    ]
+    for i in range(POINT_STEPS):
+        steps.append(f"""
+    w{i} AS (SELECT *, 1 / greatest(sqrt((x - lat) ** 2 + (y - lng) ** 2), {NEAREST}) AS w FROM raw JOIN p{i} USING (zip_prefix)),
+    p{i + 1} AS (SELECT zip_prefix, sum(w * x) / sum(w) AS lat, sum(w * y) / sum(w) AS lng, count(*) AS n FROM w{i} GROUP BY 1)""")
+    return ",".join(steps) + f" SELECT zip_prefix, round(lat, 6) AS lat, round(lng, 6) AS lng, n FROM p{POINT_STEPS}"
+
+
 _BOUNDS_OF = """round(v[1 + round_even((len(v) - 1) * 0.025, 0)::INT], 6) AS low,
            round(v[1 + round_even((len(v) - 1) * (1 - 0.05 / 2), 0)::INT], 6) AS high"""
 
@@ -508,6 +524,7 @@ def oracle_sql() -> dict[str, str]:
                                                     ORDER BY md5(CAST(review_id AS VARCHAR) || ':42'), review_id) AS rank FROM pool)
             SELECT review_id, stratum, CAST(quota AS BIGINT) AS quota, rank, review_comment_message
             FROM placed JOIN quotas USING (stratum) WHERE rank <= quota""",
+        "zip_points_robust": _robust_points(),
         "city_lateness_shrunk": _shrunk(),
         "city_funnel": _FUNNEL,
         "staged_features": f"SELECT {_FEATURE_COLUMNS} FROM features",

@@ -22,6 +22,7 @@ from punctual.operators import (
     profile,
     quantiles,
     regional,
+    robust_points as robust,
     sampling,
     sentiment as sentiment_ops,
     silver as silver_ops,
@@ -147,6 +148,18 @@ def geolocation_centroid(spark, bronze):
     return _rounded(medallion.build_silver(bronze).geolocation_centroid, "lat", "lng")
 
 
+#: Steps of the registered query, which goes them all.
+POINT_STEPS = 8
+
+
+@_query
+def zip_points_robust(spark, bronze):
+    """The geometric median of every zip prefix's points after a fixed number of steps."""
+    root = _stored(spark, "zip_points_robust")
+    points = robust.robust_points(materialize(bronze.geolocation, f"{root}/raw"), root, steps=POINT_STEPS, tolerance=-1.0)
+    return _rounded(points, "lat", "lng")
+
+
 @_query
 def gold_reviews(spark, bronze):
     return _rounded(medallion.build_gold(bronze), "customer_lat", "customer_lng")
