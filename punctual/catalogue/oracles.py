@@ -304,7 +304,7 @@ def _shrunk() -> str:
         (u * s) ** 2 * a3 + ((1 - u) * s) ** 2 * b3 - s * s * c2 + u * s * x + (1 - u) * s * y AS hs,
         v * (u * s * a3 - (1 - u) * s * b3) + v * (x - y) AS hb FROM d{i}),
     m{i} AS (SELECT u, s,
-        CASE WHEN hm < 0 AND hm * hs > hb * hb THEN (hb * gs - hs * gm) / (hm * hs - hb * hb) WHEN hm < 0 THEN -gm / hm ELSE 0 END AS mu,
+        CASE WHEN hm < 0 AND s >= {outliers.STRONGEST} THEN -gm / hm WHEN hm < 0 AND hm * hs > hb * hb THEN (hb * gs - hs * gm) / (hm * hs - hb * hb) WHEN hm < 0 THEN -gm / hm ELSE 0 END AS mu,
         CASE WHEN hm < 0 AND hm * hs > hb * hb THEN (hb * gm - hm * gs) / (hm * hs - hb * hb)
              WHEN gs < 0 THEN -{outliers.LONGEST_STEP} ELSE {outliers.LONGEST_STEP} END AS ms FROM h{i}),
     p{i + 1} AS (SELECT 1 / (1 + exp(-(ln(u / (1 - u)) + least(greatest(mu, -{outliers.LONGEST_STEP}), {outliers.LONGEST_STEP})))) AS u,

@@ -61,6 +61,9 @@ def newton_step(mean: float, strength: float, sums: tuple[float, ...]) -> tuple[
     else:
         move_mean = -g_mean / h_mean if h_mean < 0 else 0.0
         move_strength = math.copysign(LONGEST_STEP, g_strength)
+    if strength >= STRONGEST and h_mean < 0:
+        # At the bound the strength hardly matters, and what it says about the mean is rounding.
+        move_mean = -g_mean / h_mean
     move_mean = max(-LONGEST_STEP, min(LONGEST_STEP, move_mean))
     move_strength = max(-LONGEST_STEP, min(LONGEST_STEP, move_strength))
     logit = math.log(mean / (1 - mean)) + move_mean
