@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -207,7 +207,7 @@ def sequence_keys(block: W.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: DataFrame, common: Common) -> DataFrame:
-    """(doc_id, key, weight, bands) per row; a text without a word has no key, weight 0 and no band."""
+    """(doc_id, mark, key, weight, bands) per row of (doc_id, mark, text); a text without a word has no key, weight 0 and no band."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
@@ -236,35 +236,43 @@ def signatures(texts: DataFrame, common: Common) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("mark"),
                     pa.array(key, mask=size == 0),
                     pa.array(np.concatenate(weights) if weights else np.zeros(0)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat.astype(np.int64))),
                 ],
-                names=["doc_id", "key", "weight", "bands"],
+                names=["doc_id", "mark", "key", "weight", "bands"],
             )
 
-    return texts.select("doc_id", "text").mapInArrow(sign, "doc_id long, key long, weight double, bands array<long>")
+    return texts.select("doc_id", "mark", "text").mapInArrow(sign, "doc_id long, mark long, key long, weight double, bands array<long>")
 
 
 def _packed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, runs): the sorted 48-bit ids of a text's runs, each above its 16-bit count (65,535 at most)."""
+    """(key, runs, counts): the sorted 64-bit ids of a text's runs and their 32-bit counts, in the same order."""
     for batch in batches:
-        keys, runs = [], []
+        keys, runs, counts = [], [], []
         for block in _text_blocks(batch):
             n, key = sequence_keys(block)
             row, ids, tf = document_runs(block)
-            packed = (ids << np.uint64(16)) | np.minimum(tf, 65_535).astype(np.uint64)
+            tf = tf.astype(np.uint32)
             bounds = np.searchsorted(row, np.arange(len(n) + 1))
             for i in np.flatnonzero(n):
                 keys.append(key[i])
-                runs.append(packed[bounds[i] : bounds[i + 1]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, dtype=np.uint64).astype(np.int64)), pa.array(runs, pa.binary())], names=["key", "runs"])
+                runs.append(ids[bounds[i] : bounds[i + 1]].tobytes())
+                counts.append(tf[bounds[i] : bounds[i + 1]].tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(keys, dtype=np.uint64).astype(np.int64)), pa.array(runs, pa.binary()), pa.array(counts, pa.binary())],
+            names=["key", "runs", "counts"],
+        )
+
 
+def _ids_and_weights(common: Common, runs: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(runs, dtype=np.uint64)
+    return ids, common.weights(ids, np.frombuffer(counts, dtype=np.uint32))
 
-def _weighted_jaccard(common: Common, a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    x_id, y_id = x >> np.uint64(16), y >> np.uint64(16)
-    x_w, y_w = common.weights(x_id, x & _LOW16), common.weights(y_id, y & _LOW16)
+
+def _weighted_jaccard(common: Common, a: tuple[bytes, bytes], b: tuple[bytes, bytes]) -> float:
+    (x_id, x_w), (y_id, y_w) = _ids_and_weights(common, *a), _ids_and_weights(common, *b)
     place = np.minimum(np.searchsorted(y_id, x_id), len(y_id) - 1)
     same = y_id[place] == x_id
     shared = np.minimum(x_w[same], y_w[place[same]]).sum()
@@ -272,12 +280,12 @@ def _weighted_jaccard(common: Common, a: bytes, b: bytes) -> float:
 
 
 def text_runs(texts: DataFrame, representatives: DataFrame, needed: DataFrame) -> DataFrame:
-    """(key, runs) of the texts of the ``needed`` keys, each once."""
+    """(key, runs, counts) of the texts of the ``needed`` keys, each once."""
     wanted = representatives.join(needed, "key").select("rep").distinct()
     return stored(
         texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         .select("text")
-        .mapInArrow(_packed_runs, "key long, runs binary")
+        .mapInArrow(_packed_runs, "key long, runs binary, counts binary")
         .join(needed, "key", "left_semi")
         .dropDuplicates(["key"]),
         "runs",
@@ -291,14 +299,17 @@ def verified(pairs: DataFrame, texts: DataFrame, representatives: DataFrame, com
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("runs_a"), batch.column("runs_b")
-            like = np.array([_weighted_jaccard(common, x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], dtype=np.float64)
+            texts_of = [zip(batch.column(f"runs_{c}"), batch.column(f"counts_{c}"), strict=True) for c in "ab"]
+            like = np.array(
+                [_weighted_jaccard(common, *((r.as_py(), n.as_py()) for r, n in pair)) for pair in zip(*texts_of, strict=True)],
+                dtype=np.float64,
+            )
             keep = pa.array(like >= SIMILARITY)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return (
-        pairs.join(runs.select(F.col("key").alias("a"), F.col("runs").alias("runs_a")), "a")
-        .join(runs.select(F.col("key").alias("b"), F.col("runs").alias("runs_b")), "b")
+        pairs.join(runs.toDF("a", "runs_a", "counts_a"), "a")
+        .join(runs.toDF("b", "runs_b", "counts_b"), "b")
         .mapInArrow(compare, "a long, b long")
     )
 
@@ -325,11 +336,10 @@ def _run_weights(common: Common):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, run, w) of every run of the texts."""
         for batch in batches:
-            for key, runs in zip(batch.column("key").to_pylist(), batch.column("runs"), strict=True):
-                packed = np.frombuffer(runs.as_py(), dtype=np.uint64)
-                ids = packed >> np.uint64(16)
+            for key, runs, counts in zip(batch.column("key").to_pylist(), batch.column("runs"), batch.column("counts"), strict=True):
+                ids, weights = _ids_and_weights(common, runs.as_py(), counts.as_py())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), key)), pa.array(ids.astype(np.int64)), pa.array(common.weights(ids, packed & _LOW16))],
+                    [pa.array(np.full(len(ids), key)), pa.array(ids.astype(np.int64)), pa.array(weights)],
                     names=["key", "run", "w"],
                 )
 
@@ -426,6 +436,22 @@ def links(texts: DataFrame, signed: DataFrame, common: Common) -> DataFrame:
     return found.union(stored(verified(rest, texts, representatives, common), "links"))
 
 
+def _classes(docs: DataFrame, mark: Column) -> tuple[DataFrame, DataFrame]:
+    """Stored (doc_id, mark, key, ...) per row of ``docs``, and (key, root, class_id, class_size) per text with words."""
+    prepare_workers(docs.sparkSession)
+    texts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), F.col("text").cast("string").alias("text")
+    )
+    common = common_runs(texts)
+    signed = stored(signatures(texts, common), "signatures")
+    roots = components(links(texts, signed, common))
+    by_key = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    rooted = by_key.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = stored(rooted, "rooted")
+    classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
+    return signed, rooted.select("key", "root").join(classes, "root").select("key", "root", "class_id", "class_size")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, class_size) per row of ``docs`` (doc_id, text, any other columns).
 
@@ -437,16 +463,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows, a row without words has size 1. An empty table gives an empty table. The key of a word
     sequence has 64 bits: two different texts among n are taken as equal with probability n^2/2^65.
     """
-    prepare_workers(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    common = common_runs(texts)
-    signed = stored(signatures(texts, common), "signatures")
-    roots = components(links(texts, signed, common))
-    by_key = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    rooted = by_key.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rooted = stored(rooted, "rooted")
-    classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    of_key = rooted.select("key", "root").join(classes, "root").select("key", "class_id", "class_size")
+    signed, of_key = _classes(docs, F.lit(0).cast("long"))
     return (
         signed.select("doc_id", "key")
         .join(of_key, "key", "left")
@@ -458,11 +475,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _row_mark(docs: DataFrame) -> Column:
+    """A 64-bit hash of the row; maps, which have no hash, are left out."""
+    values = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    # Nulls leave a hash unchanged, so it takes which of the values are null as well.
+    return F.xxhash64(F.concat(*[F.when(v.isNull(), "n").otherwise("v") for v in values]), *values)
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one document left of each class: that of the least doc_id, with all its columns.
+    """One row of each class of ``near_duplicates``, with all its columns: that of the least doc_id.
 
-    Of rows that share this doc_id one stays. Rows without a doc_id cannot be told apart and all stay.
+    A row is told by its doc_id and a hash of all its values, so different texts under one doc_id,
+    or without one, stay apart: each class keeps one row. A class keeps a row without a doc_id only
+    if none of its rows has one; of rows with its least doc_id that of the least hash stays, and of
+    equal rows one. Rows without words are classes of their own and stay, of equal ones one.
     """
-    keepers = near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("class_id").alias("_keep")).distinct()
-    kept = docs.join(keepers, docs["doc_id"] == keepers["_keep"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    mark = _row_mark(docs)
+    signed, of_key = _classes(docs, mark)
+    least = (
+        signed.join(of_key, "key")
+        .where(F.col("doc_id").eqNullSafe(F.col("class_id")))
+        .groupBy("root", "doc_id")
+        .agg(F.min("mark").alias("mark"))
+    )
+    keepers = least.select("doc_id", "mark").union(signed.where("key is null").select("doc_id", "mark"))
+    keepers = keepers.select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark")).distinct()
+    marked = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), mark.alias("_mark"))
+    return marked.join(keepers, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select("_row.*")

@@ -98,10 +98,28 @@ def test_odd_rows(odd):
 def test_one_document_of_each_class_stays(odd, nothing):
     kept = neardup.deduplicated(odd)
     assert kept.columns == odd.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 2, 3, 4, 5, 6, None, None, 9, -10, 2**60], key=repr)
+    rows = kept.collect()
+    assert sorted((r.doc_id for r in rows), key=repr) == sorted([1, 2, 3, 4, 5, 6, None, 9, 9, -10, 2**60], key=repr)
+    assert {r.text for r in rows if r.doc_id == 9} == {"first of two texts with one id", "second of two texts with one id"}
+    assert [r.text for r in rows if r.doc_id is None] == ["a text without an id that nobody else has at all"]
     assert neardup.deduplicated(nothing).count() == 0 == neardup.near_duplicates(nothing).count()
 
 
+def test_a_third_of_the_rows_under_one_id_loses_no_text(spark):
+    own = [(5, " ".join(f"t{i}x{j}" for j in range(12))) for i in range(40)]
+    copies = [(None, own[0][1]), (3, own[0][1]), (5, own[1][1]), (None, "no id and no other row like it at all"), (7, None), (7, "")]
+    kept = neardup.deduplicated(spark.createDataFrame(own + copies + [(7, None)], "doc_id long, text string").repartition(3))
+    want = [(3, own[0][1])] + own[1:] + [copies[3], (7, None), (7, "")]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_counts_beyond_16_bits_are_not_cut(spark):
+    """200,000 repeats of one word shared, 20,000 own words each: similarity 0.83, and 0.62 with cut counts."""
+    texts = ["w " * 200_000 + " ".join(f"{c}{i}" for i in range(20_000)) for c in "ab"]
+    got = found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert got == {0: 0, 1: 0}
+
+
 def test_samples_agree_as_often_as_the_weighted_similarity():
     import numpy as np
 
