@@ -25,8 +25,6 @@ from .storage import prepare_workers
 
 #: Labelled pages that the field is fitted on, variants of each, and blocks of a training sequence.
 SAMPLE, VARIANTS, SEQUENCE = 400, 3, 48
-#: Characters of html beyond which a page is not taken for training.
-TRAINING_CHARS = 65_536
 RIDGE, STEPS = 2e-3, 200
 _FLAGS = 14
 _LENGTHS = (2, 5, 10, 20, 40, 80)
@@ -50,7 +48,7 @@ def block_features(found: list[Block]) -> list[list[int]]:
         base += 3
         if text[-1] in ".!?:;\"'”’»…。":
             f.append(base)
-        if "©" in text or "cookie" in text.lower()[:300]:
+        if "©" in text or "cookie" in text.lower():
             f.append(base + 1)
         if text.isupper():
             f.append(base + 2)
@@ -222,12 +220,17 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for page_id, page in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
             for found, label in variants(page, page_id):
                 if found:
-                    # A window around the article's start; training alone is bounded, decoding never.
+                    # Windows around the article's borders; training alone is bounded, decoding never.
+                    features = block_features(found)
                     first = label.index(1) if 1 in label else 0
-                    low = max(0, min(first - SEQUENCE // 3, len(found) - SEQUENCE))
-                    ids.append(page_id)
-                    rows.append(block_features(found)[low : low + SEQUENCE])
-                    labels.append(label[low : low + SEQUENCE])
+                    last = len(label) - 1 - label[::-1].index(1) if 1 in label else 0
+                    latest = max(0, len(found) - SEQUENCE)
+                    low = max(0, min(first - SEQUENCE // 3, latest))
+                    high = max(0, min(last - SEQUENCE * 2 // 3, latest))
+                    for begin in (low,) if last < low + SEQUENCE else (low, high):
+                        ids.append(page_id)
+                        rows.append(features[begin : begin + SEQUENCE])
+                        labels.append(label[begin : begin + SEQUENCE])
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(rows, pa.list_(pa.list_(pa.int32()))), pa.array(labels, pa.list_(pa.int32()))],
             names=["page_id", "features", "labels"],
@@ -235,15 +238,17 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(pages: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on at most ``sample`` pages of at most ``TRAINING_CHARS`` characters that name their article.
+    """Fit on at most ``sample`` pages of any length that name their article.
 
-    Pages are taken in the order of a hash of page_id, of repeated ones one. Only the numbers of
-    block features reach the driver: at most ``sample * (1 + VARIANTS) * SEQUENCE`` blocks. Without
+    Pages are taken in the order of a hash of page_id, of repeated ones one. Of a page with more than
+    ``SEQUENCE`` blocks windows of that many train, one over the article's start and one over its
+    end. Only the numbers of
+    block features reach the driver: at most ``sample * (1 + VARIANTS) * 2 * SEQUENCE`` blocks. Without
     such a page the result is ``rule_field()``.
     """
     prepare_workers(pages.sparkSession)
     usable = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).where(
-        (F.length("html") <= TRAINING_CHARS) & F.col("html").rlike("(?i)<article\\b") & F.col("page_id").isNotNull()
+        F.col("html").rlike("(?i)<article\\b") & F.col("page_id").isNotNull()
     )
     chosen = usable.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     texts = usable.join(F.broadcast(chosen), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
