@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sampling import row_mark
 from .storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,11 +52,12 @@ def shuffle_key(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``_source`` (never null), ``_size``, ``_key`` and ``_bucket``."""
+def _keyed(docs: DataFrame, mark: Column) -> DataFrame:
+    """(doc_id, _mark, _source, _size, _key, _bucket) of every row; ``_source`` is never null."""
     key = shuffle_key(F.col("doc_id"))
     return docs.select(
-        "*",
+        "doc_id",
+        mark.alias("_mark"),
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))).alias("_source"),
         word_count(F.col("text")).alias("_size"),
         key.alias("_key"),
@@ -103,7 +105,7 @@ def _placed(keyed: DataFrame, sums: DataFrame, targets: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size").join(targets, "_source")
     inside = (
-        Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("_source", "_bucket").orderBy("_key", "doc_id", "_size", "_mark").rowsBetween(Window.unboundedPreceding, -1)
     )
     return keyed.join(offsets, ["_source", "_bucket"]).withColumn(
         "_begin", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
@@ -172,16 +174,21 @@ def slots(targets: DataFrame) -> DataFrame:
     return ranked.union(missing)
 
 
+def _streams(docs: DataFrame, mark: Column) -> tuple[DataFrame, DataFrame]:
+    """(documents with their place in their source's stream, sources with their targets), narrow and stored."""
+    narrow = stored(_keyed(docs, mark), "sizes")
+    sums = stored(narrow.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_size")), "sums")
+    targets = stored(source_targets(sums), "targets")
+    return stored(_placed(narrow, sums, targets), "placed"), targets
+
+
 def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents with their place in the stream, schedule of block pieces), both narrow.
 
     The schedule has one row per piece of a document in a slot: position of the slot, source, block,
     the document's place ``_begin`` in the source's stream, the pass ``_round`` and its words.
     """
-    narrow = stored(_keyed(docs.select("doc_id", "source", "text")).drop("text"), "sizes")
-    sums = stored(narrow.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_size")), "sums")
-    targets = stored(source_targets(sums), "targets")
-    placed = stored(_placed(narrow, sums, targets), "placed")
+    placed, targets = _streams(docs, F.lit(0).cast("long"))
     first = F.floor(F.col("_from") / F.lit(BLOCK)).cast("long")
     last = F.floor((F.col("_from") + F.col("_words") - 1) / F.lit(BLOCK)).cast("long")
     pieces = (
@@ -198,16 +205,23 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per row of ``docs`` (doc_id, text, source, others).
+    """(doc_id, size, source_size, target, taken, first_slot, slot_words) per row of ``docs`` (doc_id, text, source, others).
 
     ``taken`` counts the words the schedule takes of the row, repeats included: at most
-    ``MAX_REPEATS`` times its size. A null or empty text has size 0 and is never taken. The null
+    ``MAX_REPEATS`` times its size. ``first_slot`` is the slot of its first word in the first pass of
+    the stream and ``slot_words`` the sum of slot number times words over all its pieces (null and 0
+    for a row that is not taken). A null or empty text has size 0 and is never taken. The null
     source is a source. Repeated rows are separate documents next to each other in the stream, so
     equal rows can get different counts. An empty table gives an empty table; the order within a
     stream is fixed by the hash of doc_id, so reruns agree.
     """
     placed, schedule = plan(docs)
-    taken = schedule.groupBy("_source", "_begin").agg(F.sum("words").alias("taken"))
+    begins = (F.col("_round") == 0) & (F.col("first_word") == 0)
+    taken = schedule.groupBy("_source", "_begin").agg(
+        F.sum("words").alias("taken"),
+        F.min(F.when(begins, F.col("position"))).alias("first_slot"),
+        F.sum(F.col("position") * F.col("words")).alias("slot_words"),
+    )
     # Of the rows at one place only one has words; the others are taken 0 times.
     return placed.join(taken, ["_source", "_begin"], "left").select(
         "doc_id",
@@ -215,24 +229,45 @@ def mixture(docs: DataFrame) -> DataFrame:
         "source_size",
         "target",
         F.when(F.col("_size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"),
+        F.when(F.col("_size") > 0, F.col("first_slot")).alias("first_slot"),
+        F.when(F.col("_size") > 0, F.coalesce("slot_words", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("slot_words"),
     )
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: one row per pass of the stream that takes the row.
+    """The rows of ``docs`` as the schedule takes them: one row per pass of the stream that takes the row.
+
+    Rows come in the order of the slots: a row stands whole at the slot of its first word, and each
+    of the session's shuffle partitions holds an equal range of slots, sorted. The columns are those
+    of ``docs``. Text and ``n_chars`` (where it exists) change only in the one row per source at
+    which the target is reached: its words beyond are cut off, the kept ones are joined by single
+    spaces. Rows without words are not taken. The null source is a source. Equal rows are separate
+    rows of the stream and come as often as it takes them; what comes is the same for any
+    partitioning. An empty table gives an empty table.
 
-    The columns are those of ``docs``. Text and ``n_chars`` (where it exists) change only in the one
-    row per source at which the target is reached: its words beyond are cut off, the kept ones are
-    joined by single spaces. Rows without words are not taken.
+    Places, passes and slots are found on narrow rows. The texts are shuffled twice: to meet their
+    places, by doc_id and a hash of the row, and into the ranges of slots.
     """
-    sums = stored(_keyed(docs.select("doc_id", "source", "text")).groupBy("_source", "_bucket").agg(F.sum("_size").alias("_size")), "sums")
-    targets = stored(source_targets(sums), "targets")
-    whole = docs.select(F.struct("*").alias("_row"), "doc_id", "source", "text")
-    rounds = _rounds(_placed(_keyed(whole), sums, targets))
+    mark = row_mark(docs)
+    placed, targets = _streams(docs, mark)
+    total = targets.agg(F.sum(F.ceil(F.col("quota") / F.lit(BLOCK)))).first()[0] or 0
+    numbered = docs.select(F.struct("*").alias("_row"), "doc_id", mark.alias("_mark"))
+    one_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")
+    takes = (
+        _rounds(placed)
+        .withColumn("block", F.floor(F.col("_from") / F.lit(BLOCK)).cast("long"))
+        .join(slots(targets), ["_source", "block"])
+        .select(one_id, "_mark", "position", "_round", "_begin", "_size", "_words")
+    )
+    rows = numbered.select(one_id, "_mark", "_row").dropDuplicates(["_id", "_mark"])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.least(F.floor(F.col("position") * parts / F.lit(max(int(total), 1))), F.lit(parts - 1)).cast("int")
+    ordered = takes.join(rows, ["_id", "_mark"]).repartitionById(parts, part).sortWithinPartitions("position", "_round", "_begin")
     cut = F.col("_words") < F.col("_size")
-    kept = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
+    text = F.col("_row.text")
+    kept = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")
     changed = {"text": kept, "n_chars": F.length(kept)}
-    return rounds.select(
+    return ordered.select(
         *[
             F.when(cut, changed[c]).otherwise(F.col(f"_row.`{c}`")).cast(docs.schema[c].dataType).alias(c)
             if c in changed

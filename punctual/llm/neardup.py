@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from . import words as W
 from .components import components
+from .sampling import row_mark
 from .storage import prepare_workers, stored
 
 SHINGLE = 5
@@ -475,13 +476,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _row_mark(docs: DataFrame) -> Column:
-    """A 64-bit hash of the row; maps, which have no hash, are left out."""
-    values = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    # Nulls leave a hash unchanged, so it takes which of the values are null as well.
-    return F.xxhash64(F.concat(*[F.when(v.isNull(), "n").otherwise("v") for v in values]), *values)
-
-
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each class of ``near_duplicates``, with all its columns: that of the least doc_id.
 
@@ -490,7 +484,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     if none of its rows has one; of rows with its least doc_id that of the least hash stays, and of
     equal rows one. Rows without words are classes of their own and stay, of equal ones one.
     """
-    mark = _row_mark(docs)
+    mark = row_mark(docs)
     signed, of_key = _classes(docs, mark)
     least = (
         signed.join(of_key, "key")

@@ -158,14 +158,49 @@ t AS (
                    / (weights - sum(CASE WHEN capped THEN weight ELSE 0 END) OVER ())::DOUBLE END AS target
   FROM c),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, least(floor(t.target + 0.5), t.cap)::BIGINT AS quota,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, least(floor(t.target + 0.5), t.cap)::BIGINT AS quota,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS b
-  FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
+  FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+-- Slots: every golden-ratio point falls into one source's share; the k-th point of a source takes its k-th block.
+need AS (
+  SELECT source, ceil(least(floor(target + 0.5), cap)::BIGINT / 4096)::BIGINT AS n FROM t
+  WHERE least(floor(target + 0.5), cap) > 0),
+share AS (
+  SELECT source, n, sum(n) OVER (ORDER BY source NULLS LAST)::BIGINT AS upto, sum(n) OVER ()::BIGINT AS slots FROM need),
+point AS (
+  SELECT i AS position, ((i // 1048576) * golden_high + (i % 1048576) * golden + 0.5 * golden) % 1.0 AS u
+  FROM (SELECT unnest(range((SELECT max(slots) FROM share))) AS i),
+       (SELECT '0.6180339887498949'::DOUBLE AS golden, '0.6077874097402969'::DOUBLE AS golden_high)),
+hit AS (
+  SELECT source, n, position, row_number() OVER (PARTITION BY source ORDER BY position) - 1 AS block
+  FROM point JOIN share ON u >= (upto - n)::DOUBLE / slots AND u < upto::DOUBLE / slots),
+got AS (SELECT s.source, any_value(s.n) AS n, any_value(s.slots) AS slots, count(h.position) AS got
+        FROM share s LEFT JOIN hit h ON s.source IS NOT DISTINCT FROM h.source GROUP BY s.source),
+late AS (
+  SELECT *, coalesce(sum(n - got) OVER (ORDER BY source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM got WHERE got < n),
+slot AS (
+  SELECT source, block, position FROM hit WHERE block < n
+  UNION ALL
+  SELECT source, got + j, slots + earlier + j FROM (SELECT *, unnest(range(n - got)) AS j FROM late)),
+-- Passes of the stream over a document, and its pieces in blocks of 4,096 words.
+pass AS (
+  SELECT doc_id, source, size, z, z * source_size + b AS start, least(size, quota - z * source_size - b) AS words
+  FROM p, (SELECT unnest(range(3)) AS z) WHERE size > 0 AND z * source_size + b < quota),
+cut AS (SELECT *, unnest(range(start // 4096, (start + words - 1) // 4096 + 1)) AS block FROM pass),
+piece AS (
+  SELECT doc_id, z, block = start // 4096 AS opens, position,
+         least(start + words, (cut.block + 1) * 4096) - greatest(start, cut.block * 4096) AS words
+  FROM cut JOIN slot USING (block) WHERE cut.source IS NOT DISTINCT FROM slot.source),
+taken AS (
+  SELECT doc_id, min(CASE WHEN z = 0 AND opens THEN position END)::BIGINT AS first_slot, sum(position * words)::BIGINT AS slot_words
+  FROM piece GROUP BY doc_id)
+SELECT p.doc_id, size, source_size, target,
        (greatest(0, least(size, quota - b)) + greatest(0, least(size, quota - b - source_size))
-        + greatest(0, least(size, quota - b - 2 * source_size)))::BIGINT AS taken
-FROM p
+        + greatest(0, least(size, quota - b - 2 * source_size)))::BIGINT AS taken,
+       first_slot, coalesce(slot_words, 0)::BIGINT AS slot_words
+FROM p LEFT JOIN taken ON p.doc_id = taken.doc_id
 """
 
 _WARC = f"""

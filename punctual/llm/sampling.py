@@ -22,3 +22,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, e
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     met = texts.join(F.broadcast(chosen), "doc_id")
     return met.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def row_mark(frame: DataFrame) -> Column:
+    """A 64-bit hash of the row; maps, which have no hash, are left out."""
+    values = [F.col(f"`{f.name}`") for f in frame.schema.fields if "map<" not in f.dataType.simpleString()]
+    # Nulls leave a hash unchanged, so it takes which of the values are null as well.
+    return F.xxhash64(F.concat(*[F.when(v.isNull(), "n").otherwise("v") for v in values]), *values)
