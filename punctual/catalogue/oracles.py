@@ -288,6 +288,26 @@ _FUNNEL = """,
     FROM q"""
 
 
+def _city_identities() -> str:
+    """All pairs of names are compared; chains of links are followed by doubling."""
+    doubled = [f"e{i} AS (SELECT a.name, b.goal FROM e{i - 1} a JOIN e{i - 1} b ON a.goal = b.name)" for i in range(1, 6)]
+    return f""",
+    spellings AS (SELECT customer_city AS city, count(*) AS n,
+                         trim(regexp_replace(strip_accents(lower(customer_city)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS name
+                  FROM (SELECT concat(n_name, '-', c_mktsegment) AS customer_city FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE customer_city IS NOT NULL GROUP BY customer_city),
+    names AS (SELECT name, sum(n) AS n, list_extract(list(city ORDER BY n DESC, city), 1) AS spelling,
+                     CASE WHEN length(name) < 5 THEN 0 WHEN length(name) < 10 THEN 1 ELSE 2 END AS edits,
+                     regexp_replace(name, '\\P{{N}}+', '', 'g') AS digits
+              FROM spellings GROUP BY name),
+    targets AS (SELECT a.name, list_extract(list(b.name ORDER BY levenshtein(a.name, b.name), b.n DESC, b.name), 1) AS target
+                FROM names a JOIN names b ON a.digits = b.digits AND b.n >= 10 * a.n
+                     AND levenshtein(a.name, b.name) <= least(a.edits, b.edits) GROUP BY a.name),
+    e0 AS (SELECT name, coalesce(target, name) AS goal FROM names LEFT JOIN targets USING (name)),
+    {", ".join(doubled)}
+    SELECT city, spellings.n, spelling AS canonical
+    FROM spellings JOIN e5 USING (name) JOIN names ON names.name = e5.goal"""
+
+
 def _shrunk() -> str:
     """The prior's Newton steps over sums of reciprocals, and the interval by halving over binomial-like sums."""
     steps = []
@@ -525,6 +545,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT review_id, stratum, CAST(quota AS BIGINT) AS quota, rank, review_comment_message
             FROM placed JOIN quotas USING (stratum) WHERE rank <= quota""",
         "zip_points_robust": _robust_points(),
+        "city_identities": _city_identities(),
         "city_lateness_shrunk": _shrunk(),
         "city_funnel": _FUNNEL,
         "staged_features": f"SELECT {_FEATURE_COLUMNS} FROM features",

@@ -14,6 +14,7 @@ from punctual.functions import polarity
 from punctual.functions.delivery import outcome_rank
 from punctual.operators import (
     bootstrap,
+    city_identity as identity,
     distributions,
     features as feature_ops,
     gold as gold_ops,
@@ -449,6 +450,12 @@ def city_lateness(spark, bronze):
     return _rounded(cities, "late_rate", "avg_score", "lat", "lng")
 
 
+@_query
+def city_identities(spark, bronze):
+    """One spelling for every city name of the customers."""
+    return identity.city_identities(bronze.customers, _stored(spark, "city_identities"))
+
+
 def _city_rates(spark: SparkSession, bronze: Bronze, name: str) -> DataFrame:
     """One stored row per city for queries that read it in several steps."""
     rates = outliers.group_rates(medallion.build_features(bronze, text=False))
