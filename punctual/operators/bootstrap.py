@@ -18,40 +18,53 @@ _PER_HASH = 4
 BOUNDS = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(i + 1))) for i in range(12)]
 
 
-def _weights(key: Column, number: Column, seed: int) -> Column:
-    """How often the row counts in the ``_PER_HASH`` replicates of hash ``number``."""
-    digest = F.md5(F.concat_ws(":", key.cast("string"), number.cast("string"), F.lit(str(seed))))
+def _weight(part: Column) -> Column:
+    """How often a row counts, by eight hex digits of its hash, which compare as their numbers do.
 
-    def weight(part: Column) -> Column:
-        value = F.conv(part, 16, 10).cast("long")
-        out = F.lit(0)
-        for bound in BOUNDS:
-            out = out + (value >= bound).cast("int")
-        return out
-
-    return F.array(*[weight(F.substring(digest, 1 + 8 * i, 8)) for i in range(_PER_HASH)])
+    Small weights are found first: one row in three is done after one comparison, two in three after two.
+    """
+    weight = F.when(part < f"{BOUNDS[0]:08x}", 0)
+    for i, bound in enumerate(BOUNDS[1:], 1):
+        weight = weight.when(part < f"{bound:08x}", i)
+    return weight.otherwise(len(BOUNDS))
 
 
 def replicate_sums(frame: DataFrame, key: str, measures: dict[str, Column], by: tuple[str, ...] = (), replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
     """(replicate, *by, measures): weighted sums of integer measures in every replicate.
 
-    Rows are repeated only within the task that reads them, where they are added up at once: what is
-    shuffled are ``replicates`` rows per group and task.
+    The narrow rows are dealt over all cores first, because hashing costs far more than reading a small
+    stored table. They are repeated once per hash, not per replicate, inside a task, which adds them up
+    at once: what is shuffled then is one row per hash, group and task. Replicates that drew no row of
+    a group are left out.
     """
     hashes = -(-replicates // _PER_HASH)
     wide = frame.select(*by, F.col(key).alias("_key"), *[m.cast("long").alias(n) for n, m in measures.items()])
-    numbered = wide.withColumn("_hash", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
-    weighed = numbered.select(*by, *measures, "_hash", F.posexplode(_weights(F.col("_key"), F.col("_hash"), seed)).alias("_at", "_w")).where("_w > 0")
-    replicate = (F.col("_hash") * _PER_HASH + F.col("_at")).alias("replicate")
-    sums = weighed.groupBy(replicate, *by).agg(*[F.sum(F.col(m) * F.col("_w")).alias(m) for m in measures])
-    return sums.where(F.col("replicate") < replicates)
-
-
-def _interval(statistic: DataFrame, outside: float) -> DataFrame:
-    """(low, high): the replicates' values with ``outside`` / 2 of them beyond on either side; one short array."""
+    dealt = wide.repartition(frame.sparkSession.sparkContext.defaultParallelism)
+    numbered = dealt.withColumn("_hash", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
+    # Digest, its parts and the weights are columns of their own, so that each is computed once a row.
+    digest = F.md5(F.concat_ws(":", F.col("_key").cast("string"), F.col("_hash").cast("string"), F.lit(str(seed))))
+    hashed = numbered.select(*by, *measures, "_hash", digest.alias("_digest"))
+    places = range(_PER_HASH)
+    parts = hashed.select(*by, *measures, "_hash", *[F.substring("_digest", 1 + 8 * i, 8).alias(f"_p{i}") for i in places])
+    weighed = parts.select(*by, *measures, "_hash", *[_weight(F.col(f"_p{i}")).alias(f"_w{i}") for i in places])
+    sums = weighed.groupBy("_hash", *by).agg(
+        *[F.sum(f"_w{i}").alias(f"_drawn{i}") for i in places],
+        *[F.sum(F.when(F.col(f"_w{i}") > 0, F.col(m) * F.col(f"_w{i}"))).alias(f"_{m}{i}") for i in places for m in measures],
+    )
+    of_one = [F.struct((F.col("_hash") * _PER_HASH + i).alias("replicate"), F.col(f"_drawn{i}").alias("_drawn"), *[F.col(f"_{m}{i}").alias(m) for m in measures]) for i in places]
+    each = sums.select(*by, F.explode(F.array(*of_one)).alias("_one")).select("_one.replicate", *by, "_one._drawn", *[f"_one.{m}" for m in measures])
+    return each.where((F.col("_drawn") > 0) & (F.col("replicate") < replicates)).drop("_drawn")
+
+
+def _with_interval(whole: DataFrame, statistic: DataFrame, outside: float) -> DataFrame:
+    """The one row of ``whole`` with (low, high): the replicates' values with ``outside`` / 2 of them beyond on either side.
+
+    The values are one short array; the bounds are a scalar, so no rows are joined without a key.
+    """
     values = statistic.where("value is not null").agg(F.sort_array(F.collect_list("value")).alias("v"))
     at = lambda share: F.get("v", F.rint((F.size("v") - 1) * share).cast("int"))
-    return values.select(at(outside / 2).alias("low"), at(1 - outside / 2).alias("high"))
+    bounds = values.select(F.struct(at(outside / 2).alias("low"), at(1 - outside / 2).alias("high")).alias("bounds"))
+    return whole.select("*", bounds.scalar().alias("_bounds")).select(*whole.columns, "_bounds.low", "_bounds.high")
 
 
 def mean_interval(frame: DataFrame, key: str, value: Column, outside: float = 0.05, **options) -> DataFrame:
@@ -62,7 +75,7 @@ def mean_interval(frame: DataFrame, key: str, value: Column, outside: float = 0.
     present = frame.select(F.col(key).alias("_id"), value.cast("long").alias("_v")).where("_v is not null")
     whole = present.agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
     sums = replicate_sums(present, "_id", {"total": F.col("_v"), "count": F.lit(1)}, **options)
-    return whole.join(_interval(sums.select((F.col("total") / F.col("count")).alias("value")), outside))
+    return _with_interval(whole, sums.select((F.col("total") / F.col("count")).alias("value")), outside)
 
 
 def score_difference(features: DataFrame, outside: float = 0.05, **options) -> DataFrame:
@@ -73,4 +86,4 @@ def score_difference(features: DataFrame, outside: float = 0.05, **options) -> D
     difference = F.try_divide("s0", "n0") - F.try_divide("s1", "n1")
     whole = scored.agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(name) for name, m in measures.items()])
     sums = replicate_sums(scored, "review_id", measures, **options)
-    return whole.select("n", difference.alias("difference")).join(_interval(sums.select(difference.alias("value")), outside))
+    return _with_interval(whole.select("n", difference.alias("difference")), sums.select(difference.alias("value")), outside)

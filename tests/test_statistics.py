@@ -88,6 +88,29 @@ def test_intervals_of_one_side_and_of_nothing(spark):
     assert tuple(bootstrap.mean_interval(frame, "review_id", F.col("is_late")).first()) == (9, 0.0, 0.0, 0.0)
 
 
+def test_replicates_repeat_rows_per_hash_and_join_nothing(spark):
+    """A fourth of the rows of all replicates are made, and no rows are joined without a key."""
+    frame = spark.createDataFrame([(i, i % 3 == 0, i % 5 + 1) for i in range(90)], "review_id long, is_late boolean, review_score int")
+    result = bootstrap.score_difference(frame)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" not in plan and "conv(" not in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert "NestedLoop" not in bootstrap.mean_interval(frame, "review_id", F.col("is_late"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replicate_sums_by_group_and_missing_measures(spark):
+    rows = [(i, "b" if i % 4 else None, None if i % 7 == 0 else i) for i in range(12)]
+    frame = spark.createDataFrame(rows, "id long, side string, v long")
+    got = {(r.replicate, r.side): r.v for r in bootstrap.replicate_sums(frame, "id", {"v": F.col("v")}, by=("side",), replicates=10).collect()}
+    want, drawn = {}, set()
+    for i, side, v in rows:
+        for r in range(10):
+            if times := weight(i, r):
+                drawn.add((r, side))
+                if v is not None:
+                    want[r, side] = want.get((r, side), 0) + times * v
+    assert got == {k: want.get(k) for k in drawn}
+
+
 def test_quotas_by_largest_remainder(spark):
     sizes = spark.createDataFrame([("a", 50), ("b", 30), ("c", 20), (None, 1)], "stratum string, size long")
     quota = lambda n: {r.stratum: r.quota for r in sampling.quotas(sizes, n).collect()}
