@@ -571,9 +571,9 @@ CSV_BLOCK = 1 << 17
 
 @_query
 def csv_reviews_in_blocks(spark, bronze):
-    """All reviews in one CSV file with line breaks in quotes, read by many tasks."""
+    """All reviews in CSV files with line breaks in quotes, every file written by one task and read by many."""
     root = _stored(spark, "csv_reviews_in_blocks")
-    _write_csv(bronze.order_reviews.drop("has_text", "text_digest").coalesce(1), f"{root}/order_reviews.csv")
+    _write_csv(bronze.order_reviews.drop("has_text", "text_digest"), f"{root}/order_reviews.csv")
     session = spark.newSession()
     for key in ("maxPartitionBytes", "openCostInBytes"):
         session.conf.set(f"spark.sql.files.{key}", str(CSV_BLOCK))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +24,20 @@ COMPOUND_ALPHA = 15
 def with_model_stars(
     frame: DataFrame, text: str, load_model: ModelLoader, batch_size: int = 64
 ) -> DataFrame:
-    """Add ``star_a``: the model is loaded once per Python worker and fed whole texts."""
+    """Add ``star_a``: the model is loaded once per Python worker and fed whole texts.
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    The texts of a batch stay in Arrow; only ``batch_size`` of them at a time are Python strings.
+    """
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load_model()
         for texts in batches:
-            values = texts.tolist()
             labels = []
-            for start in range(0, len(values), batch_size):
-                labels.extend(model(values[start : start + batch_size]))
-            yield pd.Series(labels, dtype="object")
+            for start in range(0, len(texts), batch_size):
+                labels.extend(model(texts.slice(start, batch_size).to_pylist()))
+            yield pa.array(labels, pa.string())
 
-    labels = F.pandas_udf(score, "string")(F.col(text).cast("string"))
+    labels = F.arrow_udf(score, "string")(F.col(text).cast("string"))
     return frame.withColumn("star_a", polarity.stars_from_label(labels))
 
 

@@ -216,3 +216,19 @@ def test_materialize_cuts_lineage(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_csv_fixture_is_written_by_every_task(spark, tmp_path):
+    """No single task holds all reviews, and files of several tasks are read back whole."""
+    from punctual.catalogue import queries as catalogue
+    from punctual.sources.bronze import Bronze
+    from punctual.sources.star_schema import star_schema_bronze
+
+    bronze = star_schema_bronze(spark, "/root/testdata/sf0.001")
+    reviews = bronze.order_reviews.repartition(5)
+    folder = catalogue._stored(spark, "csv_reviews_in_blocks")
+    spread = Bronze(**{**bronze.tables(), "order_reviews": reviews})
+    read = catalogue.csv_reviews_in_blocks(spark, spread)
+    files = spark.read.text(f"{folder}/order_reviews.csv").select("_metadata.file_path").distinct().count()
+    assert files == 5
+    assert sorted(map(str, read.collect())) == sorted(map(str, reviews.drop("has_text", "text_digest").select(*read.columns).withColumn("review_id", reviews.review_id.cast("string")).withColumn("order_id", reviews.order_id.cast("string")).collect()))
