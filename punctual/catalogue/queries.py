@@ -33,7 +33,7 @@ from punctual.plans import jobs, medallion
 from punctual.plans.incremental import KEYS, Changes, IncrementalGold, changed_keys
 from punctual.plans.report import analyse
 from punctual.session import shared_folder, tune
-from punctual.sources.bronze import Bronze, Sources, register_frame, table_counts
+from punctual.sources.bronze import MULTI_LINE, Bronze, Sources, register_frame, table_counts
 from punctual.sources.cache import ResultCache, materialize
 from punctual.sources.star_schema import star_schema_bronze
 
@@ -551,10 +551,11 @@ def cache_follows_inputs(spark, bronze):
     return summary(later.repartition(5, "payment_value"), build=lambda: spark.range(0))
 
 
-def _write_csv(frame: DataFrame, path: str) -> None:
+def _write_csv(frame: DataFrame, path: str, compression: str = "none") -> None:
     (
         frame.write.mode("overwrite")
         .option("header", True)
+        .option("compression", compression)
         .option("escape", '"')
         .option("quoteAll", True)
         .option("emptyValue", "")
@@ -585,7 +586,8 @@ def csv_gold(spark, bronze):
     """The source tables written as CSV, read back by prefix and taken to gold."""
     root = _stored(spark, "csv_gold")
     for name, frame in bronze.tables().items():
-        _write_csv(frame, f"{root}/{name}.csv")
+        # Files of one task each can be read whole; those with multi-line texts are divided, so they stay plain.
+        _write_csv(frame, f"{root}/{name}.csv", "none" if name in MULTI_LINE else "gzip")
     gold = medallion.load_gold(spark, Sources(root, "csv", "{table}.csv"))
     return _rounded(gold, "customer_lat", "customer_lng")
 

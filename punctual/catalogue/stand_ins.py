@@ -38,7 +38,9 @@ LEXICON = (
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(LEXICON), "token string, valence double")
+    """The lexicon as an inline table: its size is known, so it is broadcast before any word is shuffled."""
+    rows = ", ".join(f"('{token}', {valence}D)" for token, valence in LEXICON)
+    return spark.sql(f"SELECT token, valence FROM VALUES {rows} AS t(token, valence)")
 
 
 def star_model():

@@ -92,7 +92,7 @@ def create_views(bronze: Bronze, prefix: str = "") -> dict[str, str]:
 
 @dataclass(frozen=True)
 class Stages:
-    """The stored layers, re-read from their files."""
+    """The stored layers, re-read from their files; gold is read from the columns of the features."""
 
     silver: Silver
     gold: DataFrame
@@ -121,9 +121,10 @@ def stage(bronze: Bronze, root: str) -> Stages:
             silver.geolocation_centroid(bronze.geolocation), f"{root}/geolocation_centroid"
         ),
     )
-    gold = materialize(gold_from_silver(tables, bronze.customers), f"{root}/gold")
+    # The features hold every column of gold, so the texts are written once for both.
+    gold = gold_from_silver(tables, bronze.customers)
     features = materialize(add_features(gold), f"{root}/features")
-    return Stages(silver=tables, gold=gold, features=features)
+    return Stages(silver=tables, gold=features.select(*gold.columns), features=features)
 
 
 def gold_statement(views: dict[str, str]) -> str:

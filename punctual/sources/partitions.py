@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.sources.cache import ResultCache
+from punctual.sources.cache import COMPRESSION, ResultCache
 
 #: Hash partitions of a table; choose them so that one partition is some hundred megabytes.
 PARTITIONS = 64
@@ -39,7 +39,7 @@ class HashPartitions:
         version = max(self.cache._folders(self.name, "version"), default=0) + 1
         path = self.cache.path(f"{self.name}/version={version}")
         dealt = frame.withColumn("_bucket", self.bucket()).repartition("_bucket")
-        dealt.write.partitionBy("_bucket").parquet(path)
+        dealt.write.option("compression", COMPRESSION).partitionBy("_bucket").parquet(path)
         # Which partitions the version holds is read off its folders.
         written = {b for b in self.cache._folders(f"{self.name}/version={version}", "_bucket")}
         kept = {b: v for b, v in known.items() if b not in set(touched or ())}
