@@ -1,8 +1,8 @@
 """Quality scores by a Bradley-Terry model on text features.
 
 Each labelled good document is preferred to each labelled bad one: ``P(a over b) =
-sigmoid(w.(f(a) - f(b)))``. The weights minimise the logistic loss over pairs of a bounded sample.
-The threshold is the quantile of the sample's scores at its share of bad documents; a score is
+sigmoid(w.(f(a) - f(b)))``. The weights minimise the logistic loss over all such pairs of all labelled
+documents. The threshold is the quantile of their scores at the share of bad documents; a score is
 reported as ``sigmoid((w.f - threshold) / scale)``, so one half lies on the threshold.
 """
 
@@ -17,11 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .sampling import labelled_sample
-from .storage import prepare_workers
-
-#: Labelled documents that the model is fitted on, and partners that each rarer-class document is paired with.
-SAMPLE, PARTNERS = 20_000, 16
+from .sampling import labelled_documents
+from .storage import prepare_workers, stored
+
+#: Partners that ``fit_pairs`` gives each document of the rarer class.
+PARTNERS = 16
+#: Scores from -REACH to REACH fall into BINS bins, COARSE of which share the products of features.
+REACH, BINS, COARSE = 40.0, 1024, 32
+#: Standardised features are whole numbers of this part, so that sums are exact.
+STEPS = 1024
 #: Words of the segments whose worst one enters the features: bad passages stand out in long good texts.
 SEGMENT = 32
 RIDGE = 1e-3
@@ -158,26 +162,158 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", eligible: Column | None = None, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents; only their ``FEATURES`` numbers each reach the driver.
+def _totals(rows: DataFrame, sums) -> dict[int, int]:
+    """Place -> total of the whole numbers that ``sums`` (label, x) gives by place, added up in Spark.
+
+    Whole numbers, so the totals do not depend on the order of the rows.
+    """
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+                found = sums(batch.column("label").to_numpy() > 0, x)
+                total = found if total is None else total + found
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "total"])
+
+    found = rows.select("label", "x").mapInArrow(part, "place int, total long").groupBy("place").agg(F.sum("total").alias("total")).toArrow()
+    return dict(zip(found["place"].to_pylist(), found["total"].to_pylist(), strict=True))
+
+
+def _dense(totals: dict[int, int], shape: tuple[int, ...]) -> np.ndarray:
+    out = np.zeros(int(np.prod(shape)))
+    out[list(totals)] = list(totals.values())
+    return out.reshape(shape)
+
+
+def _bins(scores: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((scores + REACH) * (BINS / (2 * REACH))), 0, BINS - 1).astype(np.int64)
+
+
+def _standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Standardised features in whole steps of 1 / ``STEPS``."""
+    return np.rint(np.clip((x - mean) / spread, -SPREAD, SPREAD) * STEPS)
+
+
+def _histograms(mean: np.ndarray, spread: np.ndarray, weights: np.ndarray):
+    """Per class and bin of scores the number of rows and the sums of their features; per class and coarse bin those of the products."""
+
+    def sums(good: np.ndarray, x: np.ndarray) -> np.ndarray:
+        z = _standard(x, mean, spread)
+        d = z.shape[1]
+        at = _bins(z @ weights / STEPS) + BINS * good
+        first = np.stack([np.bincount(at, weights=c, minlength=2 * BINS) for c in (np.ones(len(z)), *z.T)], axis=1)
+        second = np.zeros((2 * BINS // COARSE, d, d))
+        for group in np.unique(at // COARSE):
+            some = z[at // COARSE == group]
+            second[group] = some.T @ some
+        return np.concatenate([first.ravel(), second.ravel()]).astype(np.int64)
+
+    return sums
+
+
+def _moments(rows: DataFrame, mean: np.ndarray, spread: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(2, BINS) counts, (2, BINS, d) sums of features, (2, BINS / COARSE, d, d) sums of their products."""
+    d = len(mean)
+    totals = _totals(rows, _histograms(mean, spread, weights))
+    split = 2 * BINS * (d + 1)
+    first = _dense({k: v for k, v in totals.items() if k < split}, (2, BINS, d + 1))
+    second = _dense({k - split: v for k, v in totals.items() if k >= split}, (2, BINS // COARSE, d, d))
+    return first[:, :, 0], first[:, :, 1:] / STEPS, second / STEPS**2
+
+
+def fit_all_pairs(rows: DataFrame, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Weights of the Bradley-Terry model over all pairs (good, bad) of the rows (label, x): damped Newton steps.
+
+    A pair's loss depends on the difference of two scores alone. Scores are binned, so that all pairs
+    of two bins are taken at once: a step is one aggregate over the rows, and its cost is that of the
+    rows, not of the pairs.
+    """
+    w = np.zeros(len(mean))
+    centre = (np.arange(BINS) + 0.5) * (2 * REACH / BINS) - REACH
+    wrong = 1 / (1 + np.exp(np.clip(centre[:, None] - centre[None, :], -35, 35)))  # good bin, bad bin
+    curved = wrong * (1 - wrong)
+
+    def state(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        (bad_n, good_n), (bad_x, good_x), (bad_xx, good_xx) = _moments(rows, mean, spread, w)
+        pairs = good_n.sum() * bad_n.sum()
+        value = good_n @ -np.log1p(-np.minimum(wrong, 1 - 1e-16)) @ bad_n / pairs + RIDGE / 2 * w @ w
+        slope = RIDGE * w - ((wrong @ bad_n) @ good_x - (good_n @ wrong) @ bad_x) / pairs
+        # Products are kept by coarse bins, with the mean curvature of their rows.
+        hessian = -(good_x.T @ curved @ bad_x)
+        hessian = hessian + hessian.T
+        for n, xx, weight in ((good_n, good_xx, curved @ bad_n), (bad_n, bad_xx, good_n @ curved)):
+            by = (n * weight).reshape(-1, COARSE).sum(axis=1) / np.maximum(n.reshape(-1, COARSE).sum(axis=1), 1)
+            hessian = hessian + np.tensordot(by, xx, 1)
+        return value, slope, hessian / pairs + RIDGE * np.eye(len(w))
+
+    value, slope, hessian = state(w)
+    for _ in range(30):
+        step, size = np.linalg.solve(hessian, slope), 1.0
+        while True:
+            after = state(w - size * step)
+            if after[0] <= value or size < 1 / 64:
+                break
+            size /= 2
+        if after[0] > value:
+            break
+        gained, w = value - after[0], w - size * step
+        value, slope, hessian = after
+        if np.abs(size * step).max() < 1e-4 or gained < 1e-9:
+            break
+    return w
+
+
+def _order_statistics(rows: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray, ranks: list[int]) -> list[float]:
+    """Scores at the 0-based ``ranks`` of all rows, to ``1 / BINS`` of a bin: the bins that hold them are counted again, finer."""
+    mean, spread, weights = model
+    before = np.concatenate([[0], np.cumsum(counts)])
+    bins = [int(np.searchsorted(before, rank, side="right")) - 1 for rank in ranks]
+    width = 2 * REACH / BINS
+    low = np.array([b * width - REACH for b in bins])
+
+    def finer(_: np.ndarray, x: np.ndarray) -> np.ndarray:
+        s = _standard(x, mean, spread) @ weights / STEPS
+        at = _bins(s)
+        inside = [np.clip(np.floor((s[at == b] - l) / width * BINS), 0, BINS - 1).astype(np.int64) for b, l in zip(bins, low, strict=True)]
+        return np.concatenate([np.bincount(i, minlength=BINS) for i in inside])
+
+    fine = _dense(_totals(rows, finer), (len(ranks), BINS))
+    places = [int(np.searchsorted(np.cumsum(f), rank - before[b], side="right")) for f, rank, b in zip(fine, ranks, bins, strict=True)]
+    return [float(l + (p + 0.5) * width / BINS) for l, p in zip(low, places, strict=True)]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", eligible: Column | None = None) -> Model:
+    """Fit on every labelled document; only sums per bin of scores reach the driver.
 
-    Without a good or without a bad document in the sample all scores are one half or more.
+    The ``FEATURES`` of the labelled documents are stored and read once per step. Without a good or
+    without a bad document all scores are one half or more.
     """
     prepare_workers(docs.sparkSession)
-    chosen = labelled_sample(docs, labels, label, sample, eligible)
-    rows = chosen.select("doc_id", "text", "label").mapInArrow(_sampled, "doc_id long, label int, x array<double>").toArrow()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    y = rows["label"].to_numpy()[order]
-    if not (y > 0).any() or not (y <= 0).any():
-        d = len(FEATURES)
+    chosen = labelled_documents(docs, labels, label, eligible)
+    rows = stored(chosen.select("doc_id", "text", "label").mapInArrow(_sampled, "doc_id long, label int, x array<double>"), "quality-features")
+    d = len(FEATURES)
+    # Decimals, so that the sums do not depend on the order of the rows.
+    exact = lambda value: F.sum(value.cast("decimal(30,14)")).cast("double")
+    value = [F.get("x", F.lit(i)) for i in range(d)]
+    sums = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") > 0).alias("good"),
+        F.array(*[exact(v) for v in value]).alias("x"), F.array(*[exact(v * v) for v in value]).alias("xx"),
+    ).first()
+    if not sums.good or sums.good == sums.n:
         return Model(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 1.0)
-    x = rows["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)[order]
-    mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    z = np.clip((x - mean) / spread, -SPREAD, SPREAD)
-    weights = fit_pairs(z[y > 0], z[y <= 0])
-    scores = z @ weights
-    threshold = float(np.quantile(scores, (y <= 0).mean()))
-    return Model(mean, spread, weights, threshold, float(max(scores.std(), 1e-6) / 2))
+    mean = np.array(sums.x) / sums.n
+    spread = np.maximum(np.sqrt(np.maximum(np.array(sums.xx) / sums.n - mean**2, 0)), 1e-6)
+    weights = fit_all_pairs(rows, mean, spread)
+    n, x, xx = _moments(rows, mean, spread, weights)
+    at = (sums.n - sums.good) / sums.n * (sums.n - 1)
+    below, above = _order_statistics(rows, (mean, spread, weights), n.sum(axis=0), [int(at), min(int(at) + 1, sums.n - 1)])
+    average = x.sum(axis=(0, 1)) @ weights / sums.n
+    variance = weights @ xx.sum(axis=(0, 1)) @ weights / sums.n - average**2
+    return Model(mean, spread, weights, below + (at - int(at)) * (above - below), float(max(np.sqrt(max(variance, 0)), 1e-6) / 2))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

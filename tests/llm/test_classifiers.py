@@ -6,7 +6,7 @@ from punctual.llm import quality_score as Q
 from punctual.llm import toxicity as T
 from punctual.llm import words as W
 from punctual.llm.queries import queries
-from punctual.llm.sampling import labelled_sample
+from punctual.llm.sampling import labelled_documents, labelled_sample
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -130,3 +130,25 @@ def test_toxic_terms_in_other_shapes(spark, word):
     model = T.train(frame, spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int"))
     shown = spark.createDataFrame([(1, f"some words {word} more words " + "calm " * 500)], "doc_id long, text string")
     assert T.graded(shown, model).first().toxic == 1
+
+
+def test_every_label_takes_part(spark):
+    """More labels than the former bound of 20,000: all of them are joined, and all pairs of them fit the weights."""
+    n = 20_500
+    docs = spark.range(n).selectExpr("id AS doc_id", "'word' AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    assert labelled_documents(docs, labels, "quality").count() == n
+
+
+def test_all_pairs_minimise_the_loss_of_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(0.5, 1, (60, 3)), rng.normal(0, 1, (45, 3))
+    rows = spark.createDataFrame([(1, x.tolist()) for x in good] + [(0, x.tolist()) for x in bad], "label int, x array<double>")
+    mean, spread = np.zeros(3), np.ones(3)
+    w = Q.fit_all_pairs(rows, mean, spread)
+    assert (Q.fit_all_pairs(rows.repartition(5), mean, spread) == w).all()
+    d = (good[:, None] - bad).reshape(-1, 3)
+    assert all(loss(w + step, d) > loss(w, d) for step in rng.normal(0, 0.02, (50, 3)))
+    counts = Q._moments(rows, mean, spread, w)[0].sum(axis=0)
+    scores = np.sort(np.rint(np.concatenate([good, bad]) * Q.STEPS) / Q.STEPS @ w)
+    assert Q._order_statistics(rows, (mean, spread, w), counts, [0, 45, 104]) == pytest.approx([scores[0], scores[45], scores[104]], abs=1e-4)
