@@ -11,11 +11,14 @@ RUNTIME_SETTINGS = {
     # an extra exchange is cheap next to a task that holds a third of the rows.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # What a Python worker holds at a time does not grow with the table or the length of its texts.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the adaptive-execution settings the plans of this package count on."""
+    """Apply the adaptive-execution and batch settings the plans of this package count on."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -297,3 +297,42 @@ def test_negative_text_population(spark, skewed):
     assert stand_ins.rule_labels(
         skewed.order_reviews.withColumn("review_id", F.regexp_extract("review_id", r"(\d+)", 1).cast("long"))
     ).count() >= len(picked)
+
+
+def test_items_are_shuffled_once_by_order(spark):
+    """One exchange with one row per order and task, not one of every item by order and seller."""
+    items = star_schema_bronze(spark, FOLDER).order_items
+    plan = _plan(silver.order_items_agg(items))
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(order_id" in plan.replace("l_orderkey", "order_id")
+    odd = spark.createDataFrame([(1, 5, 1.0, 0.5), (1, 5, 2.0, 0.5), (1, None, 3.0, 0.5), (2, None, 4.0, 0.5), (None, 6, 1.0, 0.5)], "order_id long, seller_id long, price double, freight_value double")
+    assert {r.order_id: (r.n_items, r.n_sellers) for r in silver.order_items_agg(odd).collect()} == {1: (3, 1), 2: (1, 0), None: (1, 1)}
+
+
+def test_words_are_not_shuffled_to_meet_the_stand_in_lexicon(spark):
+    from punctual.operators.sentiment import with_lexicon_compound
+
+    texts = spark.createDataFrame([(1, "good and hate"), (2, None)], "review_id long, text string")
+    scored = with_lexicon_compound(texts, "text", stand_ins.lexicon(spark))
+    plan = _plan(scored)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(token" not in plan
+    assert {(r.token, r.valence) for r in stand_ins.lexicon(spark).collect()} == set(stand_ins.LEXICON)
+    assert scored.count() == 2
+
+
+def test_texts_are_stored_once_for_gold_and_features(spark, tmp_path, skewed, expected_gold):
+    import os
+
+    stages = medallion.stage(skewed, str(tmp_path / "stages"))
+    assert sorted(os.listdir(tmp_path / "stages")) == ["features", "geolocation_centroid", "order_items_agg", "order_payments_agg", "orders_clean", "reviews_dedup"]
+    assert stages.gold.columns == list(medallion.GOLD_COLUMNS) and gold_dict(stages.gold) == expected_gold
+    written = os.listdir(tmp_path / "stages" / "features")
+    assert any(name.endswith(".zstd.parquet") for name in written)
+
+
+def test_python_batches_are_bounded(spark):
+    """Rows and bytes that a Python worker holds at once, whatever the size of the table."""
+    tune(spark)
+    seen = spark.range(0, 9000, 1, 1).mapInArrow(lambda batches: batches, "id long")
+    assert seen.count() == 9000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 1 << 24
