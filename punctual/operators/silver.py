@@ -26,13 +26,15 @@ TEXT_COLUMNS = ("review_comment_title", "review_comment_message")
 DERIVED_COLUMNS = ("has_text", "text_digest")
 #: Orders the columns of ``TEXT_COLUMNS`` of otherwise equal rows; the same in SQL statements.
 TEXT_DIGEST = "md5(concat_ws('|', {}))".format(", ".join(f"coalesce(concat('1', {c}), '0')" for c in TEXT_COLUMNS))
+#: True for a row with any of ``TEXT_COLUMNS``, by its digest alone.
+HAS_ANY_TEXT = "text_digest <> md5('{}')".format("|".join("0" for _ in TEXT_COLUMNS))
 
 
 def source_columns(order_reviews: DataFrame) -> list[str]:
     return [c for c in order_reviews.columns if c not in DERIVED_COLUMNS]
 
 
-def _with_derived(order_reviews: DataFrame) -> DataFrame:
+def with_derived(order_reviews: DataFrame) -> DataFrame:
     """Adds ``has_text``, ``text_digest`` and ``_row``, a key of review, order and text."""
     derived = {"has_text": F.col("review_comment_message").isNotNull(), "text_digest": F.expr(TEXT_DIGEST)}
     frame = order_reviews.withColumns({c: e for c, e in derived.items() if c not in order_reviews.columns})
@@ -40,7 +42,7 @@ def _with_derived(order_reviews: DataFrame) -> DataFrame:
     return frame.withColumns({"has_text": F.col("has_text").cast("boolean"), "_row": F.concat_ws("|", *ids, "text_digest")})
 
 
-def picked(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:
+def picked(order_reviews: DataFrame, clean: DataFrame, keep_digest: bool = False) -> DataFrame:
     """The richest row per review among its delivered orders, without its text; ``_row`` finds the text.
 
     Text first, then the newest answer, then the smallest order id; score, text digest and the
@@ -49,7 +51,7 @@ def picked(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:
     map task before the shuffle, so a review id that holds a large part of the rows costs its
     reducer one row per map task.
     """
-    narrow = _with_derived(order_reviews).drop(*TEXT_COLUMNS)
+    narrow = with_derived(order_reviews).drop(*TEXT_COLUMNS)
     ranked = {"review_id", "order_id", "review_answer_timestamp", "review_score", "has_text", "text_digest", "_row"}
     rest = [F.col(c).asc_nulls_first() for c in narrow.columns if c not in ranked]
     delivered = narrow.join(clean.select("order_id"), "order_id", "left_semi")
@@ -61,18 +63,18 @@ def picked(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:
         "text_digest",
         *rest,
     )
-    return delivered.withColumn("rn", F.row_number().over(best_first)).filter("rn = 1").drop("rn", "text_digest")
+    return delivered.withColumn("rn", F.row_number().over(best_first)).filter("rn = 1").drop("rn", *(() if keep_digest else ("text_digest",)))
 
 
-def with_text(narrow: DataFrame, order_reviews: DataFrame) -> DataFrame:
-    """Adds ``TEXT_COLUMNS`` to rows with a ``_row`` key: the only shuffle of the text.
-
-    Rows of one key have the same text; one of them is kept, before the shuffle already.
-    """
-    texts = _with_derived(order_reviews).select("_row", *TEXT_COLUMNS)
+def one_text_per_row(texts: DataFrame) -> DataFrame:
+    """(_row, texts) with one row per ``_row``. Rows of one key have the same text; all but one go before the shuffle already."""
     one = Window.partitionBy("_row").orderBy("_row")
-    texts = texts.withColumn("rn", F.row_number().over(one)).filter("rn = 1").drop("rn")
-    return narrow.join(texts, "_row").drop("_row")
+    return texts.select("_row", *TEXT_COLUMNS).withColumn("rn", F.row_number().over(one)).filter("rn = 1").drop("rn")
+
+
+def with_text(narrow: DataFrame, order_reviews: DataFrame) -> DataFrame:
+    """Adds ``TEXT_COLUMNS`` to rows with a ``_row`` key: the only shuffle of the text."""
+    return narrow.join(one_text_per_row(with_derived(order_reviews)), "_row").drop("_row")
 
 
 def deduplicated(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:

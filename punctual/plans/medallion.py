@@ -127,8 +127,16 @@ def stage(bronze: Bronze, root: str) -> Stages:
     return Stages(silver=tables, gold=features.select(*gold.columns), features=features)
 
 
-def gold_statement(views: dict[str, str]) -> str:
-    """Gold as one portable SQL statement over registered tables; ``has_text`` is 0 or 1."""
+def gold_statement(views: dict[str, str], derived: bool = False) -> str:
+    """Gold as one portable SQL statement over registered tables; ``has_text`` is 0 or 1.
+
+    Rows are picked and joined without their texts, which join last: only rows that have one carry it.
+    Items are read for delivered orders, so that they lie by order when sellers are counted. With
+    ``derived`` the reviews bring ``silver.DERIVED_COLUMNS`` along, and no text is read to pick a row.
+    """
+    digest = "text_digest" if derived else silver.TEXT_DIGEST
+    has_text = "has_text" if derived else "review_comment_message IS NOT NULL"
+    row_key = f"concat_ws('|', coalesce(concat('1', review_id), '0'), order_id, {digest})"
 
     def money(column: str) -> str:
         value, whole = f"CAST({column} AS DOUBLE)", f"rint(CAST({column} AS DOUBLE))"
@@ -150,7 +158,8 @@ def gold_statement(views: dict[str, str]) -> str:
         SELECT order_id, count(*) AS n_items, count(DISTINCT seller_id) AS n_sellers,
                {money('price')} AS items_total,
                {money('freight_value')} AS freight_total
-        FROM {views['order_items']}
+        FROM {views['order_items']} i
+        WHERE EXISTS (SELECT 1 FROM delivered d WHERE d.order_id = i.order_id)
         GROUP BY order_id
     ),
     paid AS (
@@ -169,47 +178,56 @@ def gold_statement(views: dict[str, str]) -> str:
         FROM {views['geolocation']}
         GROUP BY geolocation_zip_code_prefix
     ),
-    facts AS (
-        SELECT d.*, c.customer_unique_id, c.customer_state, c.customer_zip_code_prefix,
-               c.customer_city, point.customer_lat, point.customer_lng,
-               basket.n_items, basket.n_sellers, basket.items_total, basket.freight_total,
-               paid.payment_total, paid.max_installments
-        FROM delivered d
-        LEFT JOIN basket ON basket.order_id = d.order_id
-        LEFT JOIN paid ON paid.order_id = d.order_id
-        JOIN {views['customers']} c ON c.customer_id = d.customer_id
+    place AS (
+        SELECT c.customer_id, c.customer_unique_id, c.customer_state, c.customer_zip_code_prefix,
+               c.customer_city, point.customer_lat, point.customer_lng
+        FROM {views['customers']} c
         LEFT JOIN point ON point.customer_zip_code_prefix = c.customer_zip_code_prefix
     ),
     candidates AS (
-        SELECT r.review_id, r.order_id, r.review_score, r.review_comment_title,
-               r.review_comment_message,
-               CASE WHEN r.review_comment_message IS NULL THEN 0 ELSE 1 END AS has_text,
-               r.review_answer_timestamp
-        FROM {views['order_reviews']} r
-        WHERE EXISTS (SELECT 1 FROM delivered d WHERE d.order_id = r.order_id)
+        SELECT r.*
+        FROM (
+            SELECT review_id, order_id, review_score, CASE WHEN {has_text} THEN 1 ELSE 0 END AS has_text,
+                   review_answer_timestamp, {digest} AS text_key, {row_key} AS row_key
+            FROM {views['order_reviews']}
+        ) r
+        JOIN (SELECT DISTINCT order_id FROM delivered) d ON d.order_id = r.order_id
     ),
     picked AS (
         SELECT *,
                row_number() OVER (
                    PARTITION BY review_id
                    ORDER BY has_text DESC, review_answer_timestamp DESC NULLS LAST,
-                            order_id ASC NULLS LAST, review_score NULLS FIRST,
-                            {silver.TEXT_DIGEST}
+                            order_id ASC NULLS LAST, review_score NULLS FIRST, text_key
                ) AS position
         FROM candidates
+    ),
+    written AS (
+        SELECT row_key, review_comment_title, review_comment_message,
+               row_number() OVER (PARTITION BY row_key ORDER BY row_key) AS position
+        FROM (
+            SELECT review_comment_title, review_comment_message, {row_key} AS row_key
+            FROM {views['order_reviews']}
+            WHERE order_id IS NOT NULL
+              AND (review_comment_title IS NOT NULL OR review_comment_message IS NOT NULL)
+        ) w
     )
-    SELECT p.review_id, p.order_id, p.review_score, p.review_comment_title,
-           p.review_comment_message, p.has_text,
-           f.order_purchase_timestamp, f.order_delivered_customer_date,
-           f.order_estimated_delivery_date, f.customer_unique_id, f.customer_state,
-           f.customer_zip_code_prefix, f.customer_city, f.customer_lat, f.customer_lng,
-           f.n_items, f.n_sellers, f.items_total, f.freight_total,
-           f.payment_total, f.max_installments
-    FROM picked p
-    JOIN facts f ON f.order_id = p.order_id
-    WHERE p.position = 1
+    SELECT p.review_id, p.order_id, p.review_score, t.review_comment_title,
+           t.review_comment_message, p.has_text,
+           d.order_purchase_timestamp, d.order_delivered_customer_date,
+           d.order_estimated_delivery_date, c.customer_unique_id, c.customer_state,
+           c.customer_zip_code_prefix, c.customer_city, c.customer_lat, c.customer_lng,
+           basket.n_items, basket.n_sellers, basket.items_total, basket.freight_total,
+           paid.payment_total, paid.max_installments
+    FROM (SELECT * FROM picked WHERE position = 1) p
+    JOIN delivered d ON d.order_id = p.order_id
+    LEFT JOIN basket ON basket.order_id = p.order_id
+    LEFT JOIN paid ON paid.order_id = p.order_id
+    JOIN place c ON c.customer_id = d.customer_id
+    LEFT JOIN (SELECT * FROM written WHERE position = 1) t ON t.row_key = p.row_key
     """
 
 
 def gold_by_statement(spark: SparkSession, views: dict[str, str]) -> DataFrame:
-    return spark.sql(gold_statement(views))
+    derived = set(silver.DERIVED_COLUMNS) <= set(spark.table(views["order_reviews"]).columns)
+    return spark.sql(gold_statement(views, derived))

@@ -265,3 +265,39 @@ def test_one_time_buyers_of_nobody(spark):
     orders = spark.createDataFrame([], "order_id string, customer_id string")
     customers = spark.createDataFrame([], "customer_id string, customer_unique_id string")
     assert tuple(profile.one_time_buyers(orders, customers).first()) == (0, None)
+
+
+def _texts_moved(frame):
+    """The exchanges of the whole plan whose rows carry the message, and their other columns."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    found = []
+
+    def walk(node):
+        if node.nodeName() == "Exchange":
+            output = node.output()
+            names = {output.apply(i).name() for i in range(output.size())}
+            found.extend([names] if "review_comment_message" in names else [])
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+    return found
+
+
+def test_the_statement_moves_texts_last_and_once(spark):
+    reviews = [review("r1", "o1", "x"), review("r1", "o1", "x", score=1), review(None, "o2", "y"), review("r3", "o2", title="t"), review("r4", None, "z"), review("r5", "o9", "z")]
+    bronze = make_bronze(
+        spark,
+        [order("o1"), order("o2"), order("o3", delivered=None)],
+        reviews,
+        items=[("o1", "s1", 1.5, 1.0), ("o1", "s1", 1.5, 1.0), ("o1", None, 2.0, 1.0), ("o3", "s1", 1.0, 1.0)],
+    )
+    statement = medallion.gold_by_statement(spark, bronze.create_views("once_"))
+    assert len(_texts_moved(statement)) == 1
+    got = statement.withColumn("has_text", F.col("has_text").cast("boolean"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, medallion.build_gold(bronze).collect()))
+    derived = silver.with_derived(bronze.order_reviews).drop("_row")
+    derived.createOrReplaceTempView("once_order_reviews")
+    views = {name: f"once_{name}" for name in bronze.tables()}
+    again = medallion.gold_by_statement(spark, views)
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, statement.collect()))
