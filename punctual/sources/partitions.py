@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from punctual.sources.cache import COMPRESSION, ResultCache
@@ -32,13 +32,15 @@ class HashPartitions:
         """Version of every partition that has rows: at most ``partitions`` numbers."""
         return {r.bucket: r.version for r in self.cache.load(f"{self.name}/current").collect()}
 
-    def _write(self, frame: DataFrame, touched: list[int] | None) -> None:
-        """Store ``frame`` as what the ``touched`` partitions hold from now on (``None``: all of them)."""
-        self.schema = frame.schema
+    def _dealt(self, frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_bucket", self.bucket()).repartition("_bucket")
+
+    def _write(self, dealt: DataFrame, touched: list[int] | None) -> None:
+        """Store ``dealt`` as what the ``touched`` partitions hold from now on (``None``: all of them)."""
+        self.schema = dealt.drop("_bucket").schema
         known = {} if touched is None else self._current()
         version = max(self.cache._folders(self.name, "version"), default=0) + 1
         path = self.cache.path(f"{self.name}/version={version}")
-        dealt = frame.withColumn("_bucket", self.bucket()).repartition("_bucket")
         dealt.write.option("compression", COMPRESSION).partitionBy("_bucket").parquet(path)
         # Which partitions the version holds is read off its folders.
         written = {b for b in self.cache._folders(f"{self.name}/version={version}", "_bucket")}
@@ -47,7 +49,7 @@ class HashPartitions:
         self.cache.save(f"{self.name}/current", self.spark.createDataFrame(rows, "bucket int, version int").coalesce(1))
 
     def create(self, frame: DataFrame) -> None:
-        self._write(frame, None)
+        self._write(self._dealt(frame), None)
 
     def read(self, buckets: list[int] | None = None) -> DataFrame:
         """The table, or only the partitions ``buckets``; no other file is opened."""
@@ -62,6 +64,10 @@ class HashPartitions:
         """The partitions of ``keys``: at most ``partitions`` numbers."""
         return sorted(r[0] for r in keys.select(self.bucket()).distinct().collect())
 
+    def near(self, keys: DataFrame) -> DataFrame:
+        """All rows of the partitions in which ``keys`` (one column, the key) lie."""
+        return self.read(self.touched(keys))
+
     def of_keys(self, keys: DataFrame) -> DataFrame:
         """The rows of ``keys`` (one column, the key), read from their partitions alone."""
         same = F.col(f"t.{self.key}").eqNullSafe(F.col(f"k.{self.key}"))
@@ -75,7 +81,10 @@ class HashPartitions:
         """
         touched = self.touched(keys)
         if touched:
-            same = F.col(f"t.{self.key}").eqNullSafe(F.col(f"k.{self.key}"))
-            others = self.read(touched).alias("t").join(keys.distinct().alias("k"), same, "left_anti")
-            self._write(others.unionByName(rows.select(*others.columns)), touched)
+            stored = self.read(touched)
+            # Rows and keys meet where the rows are dealt to their partitions, so no row moves twice.
+            marked = stored.withColumn("_gone", F.lit(False)).unionByName(keys.distinct().withColumn("_gone", F.lit(True)), allowMissingColumns=True)
+            of_key = Window.partitionBy("_bucket", self.key)
+            others = self._dealt(marked).withColumn("_any", F.max("_gone").over(of_key)).where("not _any").drop("_gone", "_any")
+            self._write(others.unionByName(self._dealt(rows.select(*stored.columns))), touched)
         return touched

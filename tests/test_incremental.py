@@ -4,6 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from punctual.operators import silver
 from punctual.plans import medallion
 from punctual.plans.incremental import KEYS, Changes, IncrementalGold, changed_keys
 from punctual.sources.bronze import Bronze
@@ -110,3 +111,41 @@ def test_changed_keys(spark):
     two = spark.createDataFrame([(1, "b"), (1, "a"), (2, "x"), (3, "c"), (None, "e"), (4, "new")], "k long, v string")
     assert sorted((r.k for r in changed_keys(one, two, "k").collect()), key=repr) == [2, 3, 4, None]
     assert changed_keys(one, one, "k").count() == 0
+
+
+def test_texts_are_stored_once_and_stay_when_only_facts_change(spark, tmp_path):
+    store = IncrementalGold(spark, str(tmp_path), partitions=4)
+    before = bronze_of(spark, **START)
+    store.create(before)
+    assert not set(silver.TEXT_COLUMNS) & set(store.gold.read().columns)
+    texts = rows(store._stored_texts())
+    assert sum(texts.values()) == 10
+    state = {**START, "payments": [*START["payments"], ("o3", 9.0, 9)]}
+    after = bronze_of(spark, **state)
+    store.apply(after, Changes(order_payments=changed_keys(before.order_payments, after.order_payments, "order_id")))
+    assert rows(store._stored_texts()) == texts
+    assert rows(store.read()) == rows(medallion.build_gold(after))
+    # A review with a new text adds this text alone, once.
+    state = {**state, "reviews": [*state["reviews"], ("r40", "o6", 2, "title", None, D2), ("r41", None, 2, None, "no order", D2)]}
+    later = bronze_of(spark, **state)
+    for _ in range(2):
+        store.apply(later, Changes(order_reviews=changed_keys(after.order_reviews, later.order_reviews, "review_id")))
+        assert [r[1:] for r in store._stored_texts().collect() if repr(r) not in texts] == [("title", None)]
+        assert rows(store.read()) == rows(medallion.build_gold(later))
+
+
+def test_a_stored_partition_moves_once_when_it_is_rewritten(spark, tmp_path, monkeypatch):
+    table = HashPartitions(spark, str(tmp_path), "t", "id", 4)
+    table.create(spark.range(20).withColumn("x", F.lit(1)))
+    plans = []
+    write = HashPartitions._write
+
+    def seen(self, dealt, touched):
+        plans.append(dealt._jdf.queryExecution().optimizedPlan().toString())
+        write(self, dealt, touched)
+
+    monkeypatch.setattr(HashPartitions, "_write", seen)
+    gone = spark.createDataFrame([(3,), (3,), (None,)], "id long")
+    table.replace(gone, spark.createDataFrame([(3, 7), (None, 8)], "id long, x int"))
+    assert "Join" not in plans[0]
+    assert table.read().agg(F.sum("x"), F.count(F.lit(1))).first() == (34, 21)
