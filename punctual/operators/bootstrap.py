@@ -19,41 +19,46 @@ BOUNDS = [math.floor(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range
 
 
 def _weight(part: Column) -> Column:
-    """How often a row counts, by eight hex digits of its hash, which compare as their numbers do.
+    """How often a row counts, by four bytes of its hash, which compare as their numbers do; missing for a row not drawn.
 
     Small weights are found first: one row in three is done after one comparison, two in three after two.
     """
-    weight = F.when(part < f"{BOUNDS[0]:08x}", 0)
-    for i, bound in enumerate(BOUNDS[1:], 1):
-        weight = weight.when(part < f"{bound:08x}", i)
+    bounds = [F.lit(bound.to_bytes(4, "big")) for bound in BOUNDS]
+    weight = F.when(part < bounds[0], F.lit(None).cast("int"))
+    for i, bound in enumerate(bounds[1:], 1):
+        weight = weight.when(part < bound, i)
     return weight.otherwise(len(BOUNDS))
 
 
 def replicate_sums(frame: DataFrame, key: str, measures: dict[str, Column], by: tuple[str, ...] = (), replicates: int = REPLICATES, seed: int = 42) -> DataFrame:
-    """(replicate, *by, measures): weighted sums of integer measures in every replicate.
+    """(replicate, *by, drawn, measures): rows drawn and weighted sums of integer measures in every replicate.
 
     The narrow rows are dealt over all cores first, because hashing costs far more than reading a small
     stored table. They are repeated once per hash, not per replicate, inside a task, which adds them up
-    at once: what is shuffled then is one row per hash, group and task. Replicates that drew no row of
+    at once: what is shuffled then is one row per hash, group and task. Digests are cut and compared as
+    bytes, because parts of a string are found character by character. Replicates that drew no row of
     a group are left out.
     """
     hashes = -(-replicates // _PER_HASH)
     wide = frame.select(*by, F.col(key).alias("_key"), *[m.cast("long").alias(n) for n, m in measures.items()])
     dealt = wide.repartition(frame.sparkSession.sparkContext.defaultParallelism)
-    numbered = dealt.withColumn("_hash", F.explode(F.sequence(F.lit(0), F.lit(hashes - 1))))
+    # What is hashed is "key:hash:seed", and "hash:seed" where the key is missing.
+    named = dealt.withColumn("_key", F.coalesce(F.concat(F.col("_key").cast("string"), F.lit(":")), F.lit("")))
+    rests = F.array(*[F.struct(F.lit(i).alias("hash"), F.lit(f"{i}:{seed}").alias("text")) for i in range(hashes)])
+    numbered = named.withColumn("_rest", F.explode(rests))
     # Digest, its parts and the weights are columns of their own, so that each is computed once a row.
-    digest = F.md5(F.concat_ws(":", F.col("_key").cast("string"), F.col("_hash").cast("string"), F.lit(str(seed))))
-    hashed = numbered.select(*by, *measures, "_hash", digest.alias("_digest"))
+    digest = F.unhex(F.md5(F.concat("_key", "_rest.text")))
+    hashed = numbered.select(*by, *measures, F.col("_rest.hash").alias("_hash"), digest.alias("_digest"))
     places = range(_PER_HASH)
-    parts = hashed.select(*by, *measures, "_hash", *[F.substring("_digest", 1 + 8 * i, 8).alias(f"_p{i}") for i in places])
+    parts = hashed.select(*by, *measures, "_hash", *[F.substring("_digest", 1 + 4 * i, 4).alias(f"_p{i}") for i in places])
     weighed = parts.select(*by, *measures, "_hash", *[_weight(F.col(f"_p{i}")).alias(f"_w{i}") for i in places])
     sums = weighed.groupBy("_hash", *by).agg(
         *[F.sum(f"_w{i}").alias(f"_drawn{i}") for i in places],
-        *[F.sum(F.when(F.col(f"_w{i}") > 0, F.col(m) * F.col(f"_w{i}"))).alias(f"_{m}{i}") for i in places for m in measures],
+        *[F.sum(F.col(m) * F.col(f"_w{i}")).alias(f"_{m}{i}") for i in places for m in measures],
     )
-    of_one = [F.struct((F.col("_hash") * _PER_HASH + i).alias("replicate"), F.col(f"_drawn{i}").alias("_drawn"), *[F.col(f"_{m}{i}").alias(m) for m in measures]) for i in places]
-    each = sums.select(*by, F.explode(F.array(*of_one)).alias("_one")).select("_one.replicate", *by, "_one._drawn", *[f"_one.{m}" for m in measures])
-    return each.where((F.col("_drawn") > 0) & (F.col("replicate") < replicates)).drop("_drawn")
+    of_one = [F.struct((F.col("_hash") * _PER_HASH + i).alias("replicate"), F.col(f"_drawn{i}").alias("drawn"), *[F.col(f"_{m}{i}").alias(m) for m in measures]) for i in places]
+    each = sums.select(*by, F.explode(F.array(*of_one)).alias("_one")).select("_one.replicate", *by, "_one.drawn", *[f"_one.{m}" for m in measures])
+    return each.where(F.col("drawn").isNotNull() & (F.col("replicate") < replicates))
 
 
 def _with_interval(whole: DataFrame, statistic: DataFrame, outside: float) -> DataFrame:
@@ -74,8 +79,8 @@ def mean_interval(frame: DataFrame, key: str, value: Column, outside: float = 0.
     """
     present = frame.select(F.col(key).alias("_id"), value.cast("long").alias("_v")).where("_v is not null")
     whole = present.agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
-    sums = replicate_sums(present, "_id", {"total": F.col("_v"), "count": F.lit(1)}, **options)
-    return _with_interval(whole, sums.select((F.col("total") / F.col("count")).alias("value")), outside)
+    sums = replicate_sums(present, "_id", {"total": F.col("_v")}, **options)
+    return _with_interval(whole, sums.select((F.col("total") / F.col("drawn")).alias("value")), outside)
 
 
 def score_difference(features: DataFrame, outside: float = 0.05, **options) -> DataFrame:
@@ -85,5 +90,8 @@ def score_difference(features: DataFrame, outside: float = 0.05, **options) -> D
     measures = {"n0": on_time, "s0": on_time * F.col("review_score"), "n1": late, "s1": late * F.col("review_score")}
     difference = F.try_divide("s0", "n0") - F.try_divide("s1", "n1")
     whole = scored.agg(F.count(F.lit(1)).alias("n"), *[F.sum(m).alias(name) for name, m in measures.items()])
-    sums = replicate_sums(scored, "review_id", measures, **options)
+    # Two sums a side, which come in rows of their own, instead of four of which two are zero.
+    sides = replicate_sums(scored, "review_id", {"score": F.col("review_score")}, by=("is_late",), **options)
+    of_side = [F.sum(F.when(F.col("is_late") == late, F.col(c))).alias(f"{c[0]}{int(late)}") for late in (False, True) for c in ("n", "score")]
+    sums = sides.withColumnRenamed("drawn", "n").groupBy("replicate").agg(*of_side)
     return _with_interval(whole.select("n", difference.alias("difference")), sums.select(difference.alias("value")), outside)

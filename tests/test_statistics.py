@@ -97,6 +97,28 @@ def test_replicates_repeat_rows_per_hash_and_join_nothing(spark):
     assert "NestedLoop" not in bootstrap.mean_interval(frame, "review_id", F.col("is_late"))._jdf.queryExecution().executedPlan().toString()
 
 
+def test_replicates_compare_bytes_and_add_two_sums_a_replicate(spark):
+    """Per replicate of a hash the rows drawn and their scores are added up, side by side; digests are not cut as strings."""
+    frame = spark.createDataFrame([(i, i % 3 == 0, i % 5 + 1) for i in range(90)], "review_id long, is_late boolean, review_score int")
+    plan = bootstrap.score_difference(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "unhex(md5(" in plan
+    assert max(line.count("partial_sum(") for line in plan.splitlines()) == 8
+
+
+def test_rows_drawn_with_missing_and_repeated_keys(spark):
+    keys = [None, None, "", "a:b", "x" * 70, "x" * 70, "é"]
+    frame = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "id string, v long")
+    got = {r.replicate: (r.drawn, r.v) for r in bootstrap.replicate_sums(frame, "id", {"v": F.col("v")}, replicates=10).collect()}
+
+    def times(key, replicate):
+        text = ("" if key is None else f"{key}:") + f"{replicate // 4}:42"
+        part = hashlib.md5(text.encode()).hexdigest()[8 * (replicate % 4) :][:8]
+        return sum(int(part, 16) >= b for b in bootstrap.BOUNDS)
+
+    want = {r: (sum(times(k, r) for k in keys), sum(times(k, r) * i for i, k in enumerate(keys))) for r in range(10)}
+    assert got == {r: w for r, w in want.items() if w[0]}
+
+
 def test_replicate_sums_by_group_and_missing_measures(spark):
     rows = [(i, "b" if i % 4 else None, None if i % 7 == 0 else i) for i in range(12)]
     frame = spark.createDataFrame(rows, "id long, side string, v long")
