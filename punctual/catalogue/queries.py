@@ -246,8 +246,7 @@ def gap_quantiles(spark, bronze):
 @_query
 def score_difference_interval(spark, bronze):
     """Mean score of on-time less late reviews with its bootstrap interval."""
-    scores = medallion.build_features(bronze, text=False).select("review_id", "is_late", "review_score")
-    stored = materialize(scores, _stored(spark, "score_difference"))
+    stored = materialize(medallion.build_scores(bronze), _stored(spark, "score_difference"))
     return _rounded(bootstrap.score_difference(stored), "difference", "low", "high")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.functions.numeric import exact_sum, mean_of, money_sum
@@ -42,6 +42,19 @@ def with_derived(order_reviews: DataFrame) -> DataFrame:
     return frame.withColumns({"has_text": F.col("has_text").cast("boolean"), "_row": F.concat_ws("|", *ids, "text_digest")})
 
 
+def _best_first(narrow: DataFrame) -> list[Column]:
+    """The order in which ``picked`` looks at the rows of a review."""
+    ranked = {"review_id", "order_id", "review_answer_timestamp", "review_score", "has_text", "text_digest", "_row"}
+    return [
+        F.col("has_text").desc(),
+        F.col("review_answer_timestamp").desc_nulls_last(),
+        F.col("order_id").asc_nulls_last(),
+        F.col("review_score").asc_nulls_first(),
+        F.col("text_digest"),
+        *[F.col(c).asc_nulls_first() for c in narrow.columns if c not in ranked],
+    ]
+
+
 def picked(order_reviews: DataFrame, clean: DataFrame, keep_digest: bool = False) -> DataFrame:
     """The richest row per review among its delivered orders, without its text; ``_row`` finds the text.
 
@@ -52,20 +65,26 @@ def picked(order_reviews: DataFrame, clean: DataFrame, keep_digest: bool = False
     reducer one row per map task.
     """
     narrow = with_derived(order_reviews).drop(*TEXT_COLUMNS)
-    ranked = {"review_id", "order_id", "review_answer_timestamp", "review_score", "has_text", "text_digest", "_row"}
-    rest = [F.col(c).asc_nulls_first() for c in narrow.columns if c not in ranked]
     delivered = narrow.join(clean.select("order_id"), "order_id", "left_semi")
-    best_first = Window.partitionBy("review_id").orderBy(
-        F.col("has_text").desc(),
-        F.col("review_answer_timestamp").desc_nulls_last(),
-        F.col("order_id").asc_nulls_last(),
-        F.col("review_score").asc_nulls_first(),
-        "text_digest",
-        *rest,
-    )
+    best_first = Window.partitionBy("review_id").orderBy(*_best_first(narrow))
     return delivered.withColumn("rn", F.row_number().over(best_first)).filter("rn = 1").drop("rn", *(() if keep_digest else ("text_digest",)))
 
 
+def picked_with_orders(order_reviews: DataFrame, clean: DataFrame) -> DataFrame:
+    """``picked``, without its row key, joined with ``clean``; the orders are read and joined once for both.
+
+    Only the best row of a review and order can be picked. It meets its order before the pick, where both
+    lie by order id. An order that is there twice repeats the row, and the pick keeps all copies of the best.
+    """
+    narrow = with_derived(order_reviews).drop(*TEXT_COLUMNS, "_row")
+    best_first = _best_first(narrow)
+    of_order = Window.partitionBy("order_id", "review_id").orderBy(*best_first)
+    one = narrow.withColumn("rn", F.row_number().over(of_order)).filter("rn = 1")
+    # What comes after the order id settles nothing between rows of different orders.
+    of_review = Window.partitionBy("review_id").orderBy(*best_first[:3])
+    return one.join(clean, "order_id").withColumn("rn", F.rank().over(of_review)).filter("rn = 1").drop("rn", "text_digest")
+
+
 def one_text_per_row(texts: DataFrame) -> DataFrame:
     """(_row, texts) with one row per ``_row``. Rows of one key have the same text; all but one go before the shuffle already."""
     one = Window.partitionBy("_row").orderBy("_row")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from punctual.functions import delivery
 from punctual.operators import silver
 from punctual.operators.features import add_features
 from punctual.operators.gold import GOLD_COLUMNS, gold_reviews
@@ -77,6 +79,19 @@ def build_features(bronze: Bronze, text: bool = True) -> DataFrame:
     return add_features(build_gold(bronze, text))
 
 
+def build_scores(bronze: Bronze) -> DataFrame:
+    """(review_id, is_late, review_score) of ``build_features``, for a reader of nothing else.
+
+    Lateness is found at the order, so that neither dates nor order ids move with the reviews. Customers
+    join last, as an order without one takes its picked review along; baskets, payments and points
+    neither drop nor repeat a row.
+    """
+    gap = delivery.gap_days(F.col("order_estimated_delivery_date"), F.col("order_delivered_customer_date"))
+    orders = silver.orders_clean(bronze.orders).select("order_id", "customer_id", delivery.is_late(gap).alias("is_late"))
+    reviews = silver.picked_with_orders(bronze.order_reviews, orders).select("review_id", "customer_id", "is_late", "review_score")
+    return reviews.join(bronze.customers.select("customer_id"), "customer_id").drop("customer_id")
+
+
 def create_views(bronze: Bronze, prefix: str = "") -> dict[str, str]:
     """Register the source tables, the cleaned tables and ``gold_reviews`` as lazy temp views.
 

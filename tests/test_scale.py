@@ -243,6 +243,22 @@ def test_score_query_shuffles_no_text_and_reads_no_basket(spark, no_broadcast):
         assert not _shuffled(frame, column), column
 
 
+def test_interval_joins_orders_with_their_lines_once(spark, no_broadcast):
+    bronze = star_schema_bronze(spark, FOLDER)
+    twice = medallion.build_features(bronze, text=False).select("review_id", "is_late", "review_score")
+    once = medallion.build_scores(bronze)
+    assert (len(_shuffled(twice, "l_orderkey")), len(_shuffled(once, "l_orderkey"))) == (2, 1)
+    assert len(_shuffled(once, "o_orderkey")) == 1
+    for column in ("text", "order_estimated_delivery_date"):
+        assert not _shuffled(once, column), column
+
+
+def test_scores_of_hot_keys_are_those_of_the_features(skewed):
+    scores = medallion.build_scores(skewed)
+    wanted = medallion.build_features(skewed, text=False).select(*scores.columns)
+    assert scores.exceptAll(wanted).isEmpty() and wanted.exceptAll(scores).isEmpty()
+
+
 def test_sampled_ids_are_picked_without_text(spark, no_broadcast, skewed):
     from punctual.operators.sampling import sample_ranked
 

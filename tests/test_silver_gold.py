@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,40 @@ def test_repeated_orders_do_not_repeat_deduplicated_reviews(spark):
     assert len(rows) == 1
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_scores_are_those_of_the_features_on_odd_rows(spark, parts):
+    """Repeated and missing keys, orders and customers that come twice or not at all, full ties."""
+    early, late = D(2018, 1, 5), D(2018, 1, 20)
+    orders = [order("o1"), order("o1", delivered=late), order("o1", "c2"), order("o2", "nobody"), order("o3", delivered=None), order("o4", None), order("o5", "c2", early, None), order(None), order("o6", "c2", late), order("o6", "c2", late)]
+    reviews = [
+        *[review("r1", "o1", "x", score=4)] * 3,
+        review("r1", "o2", "a", D(2018, 1, 1)),
+        *[review("r2", "o2", "x"), review("r2", "o1")],
+        *[review("r3", "o3", "x"), review("r3", "o6", score=None), review("r3", "o6", score=2)],
+        *[review(None, "o5", "x", None, 1), review(None, "o6", "x", None, 5), review(None, "o6")],
+        *[review("r4", "o4"), review("r5", None), review("r6", "o9"), review("r7", "o5", score=None)],
+        *[review("r8", "o6", "b", score=1), review("r8", "o6", "a", score=1), review("r8", "o5", "a", D(2018, 3, 1), 5)],
+    ]
+    customers = [("c1", "u1", "SP", "01037", "sao paulo"), ("c2", "u2", "SP", None, "x"), ("c2", "u3", "RJ", "01037", "y"), (None, "u4", "SP", "1", "z")]
+    bronze = make_bronze(spark, orders, reviews, [("o1", "s1", 1.0, 1.0)] * 2, [("o1", 1.0, 1)] * 2, customers, [("01037", 1.0, 1.0, "SP")] * 2)
+    bronze = replace(bronze, order_reviews=bronze.order_reviews.repartition(parts), orders=bronze.orders.repartition(parts))
+    scores = medallion.build_scores(bronze)
+    assert scores.columns == ["review_id", "is_late", "review_score"]
+    told = sorted(map(repr, scores.collect()))
+    assert told == sorted(map(repr, medallion.build_features(bronze).select(*scores.columns).collect()))
+    assert sum("'r1'" in r for r in told) == 4 and sum("review_id=None" in r for r in told) == 2 and not any("'r2'" in r for r in told)
+
+
+def test_copies_of_a_review_do_not_meet_every_copy_of_their_order(spark):
+    """Rows made by the join with the orders: one per copy of the order, not one per pair of copies."""
+    bronze = make_bronze(spark, [order("o1")] * 30, [review("r1", "o1", "x")] * 40)
+    clean = silver.orders_clean(bronze.orders).select("order_id", "customer_id")
+    seen = silver.picked_with_orders(bronze.order_reviews.withColumn("extra", F.lit(1)), clean)
+    assert seen.count() == 30
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "row_number()" in plan[plan.index("Join Inner") :]
+
+
 def test_gold_has_review_grain_and_keeps_left_join_misses(spark):
     bronze = make_bronze(
         spark,
