@@ -11,6 +11,7 @@ fragments, which are put together by a small shuffle; all other records stay whe
 from __future__ import annotations
 
 import csv
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,13 +24,28 @@ from pyspark.sql import types as T
 #: Kinds of what a block yields: a whole record, the end of one begun earlier, the begin of one, or a block inside one.
 WHOLE, TAIL, HEAD, INNER = range(4)
 
+#: Bytes of the files that one task reads where the session's blocks are smaller, and the least number of tasks per core.
+TASK_BYTES = 1 << 25
+TASKS_PER_CORE = 4
+
 _SCHEMA = "file long, block long, kind int, record string"
+_NOTHING = pa.array([], pa.string())
+
+
+def _tasks(spark: SparkSession, path: str) -> int:
+    """The number of tasks in which the blocks below ``path`` are read; the files are listed, not opened."""
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, value): the lines of every block in their order, with the carriage return of their end, if any."""
+    """(file, block, value): the lines of every block in their order, with the carriage return of their end, if any.
+
+    A task reads many blocks, one after the other: to start a task and its Python worker takes longer than a small block.
+    """
     lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    named = lines.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return named.coalesce(_tasks(spark, path))
 
 
 def inside_blocks(lines: DataFrame, quote: str = '"') -> tuple[set[tuple[int, int]], set[int]]:
@@ -50,53 +66,63 @@ class UnpairedQuotes(ValueError):
     """A file with an odd number of quotation marks: where its quoted values end cannot be told by counting."""
 
 
+def _joined(lines: list[pa.Array], borders: np.ndarray) -> pa.Array:
+    """The texts of the lines from each border to the next."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.concat_arrays(lines)), "\n")
+
+
 class _Block:
-    """Turns the lines of one block, coming in batches, into records and fragments."""
+    """Turns the lines of one block, coming in batches, into its whole records or, with ``fragments``, what it has of others.
 
-    def __init__(self, file: int, block: int, inside: bool, quote: str, names: list[str]):
-        self.file, self.block, self.quote = file, block, quote
+    Lines stay in Arrow. A record ends with every line after which no value is open.
+    """
+
+    def __init__(self, file: int, block: int, inside: bool, quote: str, names: list[str], fragments: bool):
+        self.file, self.block, self.quote, self.fragments = file, block, quote, fragments
         # The first record of a file names its columns and goes no further.
-        self.header = names if block == 0 else None
+        self.header = names if block == 0 and not fragments else None
         self.odd, self.begun = inside, inside
-        self.held: list[str] = []
+        self.held: list[pa.Array] = []
 
-    def feed(self, values: pa.Array) -> tuple[list[int], list[str]]:
-        """Kinds and texts of what the lines complete."""
+    def feed(self, values: pa.Array) -> tuple[int, pa.Array]:
+        """Kind and texts of what the lines complete."""
         marks = pc.count_substring(values, self.quote).to_numpy(zero_copy_only=False)
         after = (np.cumsum(marks) + self.odd) % 2 == 1
-        before = np.concatenate([[self.odd], after[:-1]])
         self.odd = bool(after[-1])
-        kinds, records = [], []
-        for line, opened, still in zip(values.to_pylist(), before.tolist(), after.tolist(), strict=True):
-            if not opened and not still:
-                kinds.append(WHOLE)
-                records.append(line)
-                continue
-            self.held.append(line)
-            if not still:
-                kinds.append(TAIL if self.begun else WHOLE)
-                records.append("\n".join(self.held))
-                self.held, self.begun = [], False
-        if self.header is not None:
-            first = next((i for i, r in enumerate(records) if r.strip()), None)
-            if first is not None:
-                if next(csv.reader([records[first].rstrip("\r")], quotechar=self.quote)) != self.header:
-                    raise ValueError(f"a file with other columns than {self.header}: {records[first]!r}")
-                del kinds[first], records[first]
-                self.header = None
-        return kinds, records
-
-    def rest(self) -> tuple[list[int], list[str]]:
-        return ([INNER if self.begun else HEAD], ["\n".join(self.held)]) if self.held else ([], [])
-
-
-def _records(inside: set[tuple[int, int]], quote: str, names: list[str]):
+        ends = np.flatnonzero(~after) + 1
+        if not len(ends):
+            self.held.append(values)
+            return WHOLE, _NOTHING
+        last = int(ends[-1])
+        borders = np.concatenate([[0], ends + sum(map(len, self.held))])
+        # The first of a block that begins inside a value is the end of a record, all others are whole.
+        wanted = borders[: 1 + self.begun] if self.fragments else borders[int(self.begun) :]
+        records = _joined([*self.held, values.slice(0, last)], wanted)
+        self.held, self.begun = [values.slice(last)] if last < len(values) else [], False
+        return TAIL if self.fragments else WHOLE, records if self.header is None else self._below_header(records)
+
+    def _below_header(self, records: pa.Array) -> pa.Array:
+        first = next((i for i, r in enumerate(records) if r.as_py().strip()), None)
+        if first is None:
+            return records
+        found = records[first].as_py()
+        if next(csv.reader([found.rstrip("\r")], quotechar=self.quote)) != self.header:
+            raise ValueError(f"a file with other columns than {self.header}: {found!r}")
+        self.header = None
+        return pa.concat_arrays([records.slice(0, first), records.slice(first + 1)])
+
+    def rest(self) -> tuple[int, pa.Array]:
+        if not self.fragments or not self.held:
+            return WHOLE, _NOTHING
+        return INNER if self.begun else HEAD, _joined(self.held, np.array([0, sum(map(len, self.held))]))
+
+
+def _records(inside: set[tuple[int, int]], quote: str, names: list[str], fragments: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(state: _Block, found: tuple[list[int], list[str]]) -> Iterator[pa.RecordBatch]:
-            kinds, records = found
-            if kinds:
-                n = len(kinds)
-                columns = [pa.array([state.file] * n, pa.int64()), pa.array([state.block] * n, pa.int64()), pa.array(kinds, pa.int32()), pa.array(records, pa.string())]
+        def batch(state: _Block, found: tuple[int, pa.Array]) -> Iterator[pa.RecordBatch]:
+            kind, records = found
+            if n := len(records):
+                columns = [pa.repeat(pa.scalar(state.file, pa.int64()), n), pa.repeat(pa.scalar(state.block, pa.int64()), n), pa.repeat(pa.scalar(kind, pa.int32()), n), records]
                 yield pa.RecordBatch.from_arrays(columns, names=["file", "block", "kind", "record"])
 
         state = None
@@ -104,14 +130,15 @@ def _records(inside: set[tuple[int, int]], quote: str, names: list[str]):
             if not rows.num_rows:
                 continue
             file, block = rows.column("file").to_numpy(), rows.column("block").to_numpy()
+            values = rows.column("value").cast(pa.string())
             edges = np.flatnonzero((np.diff(file) != 0) | (np.diff(block) != 0)) + 1
             for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(file)], strict=True):
                 key = int(file[low]), int(block[low])
                 if state is None or (state.file, state.block) != key:
                     if state is not None:
                         yield from batch(state, state.rest())
-                    state = _Block(*key, key in inside, quote, names)
-                yield from batch(state, state.feed(rows.column("value").slice(low, high - low)))
+                    state = _Block(*key, key in inside, quote, names, fragments)
+                yield from batch(state, state.feed(values.slice(low, high - low)))
         if state is not None:
             yield from batch(state, state.rest())
 
@@ -139,10 +166,9 @@ def csv_records(spark: SparkSession, path: str, names: list[str], quote: str = '
     inside, unpaired = inside_blocks(lines, quote)
     if unpaired:
         raise UnpairedQuotes(f"{len(unpaired)} file(s) below {path} hold an odd number of quotation marks")
-    found = lines.mapInArrow(_records(inside, quote, names), _SCHEMA)
-    whole = found.where(F.col("kind") == WHOLE).select("file", "block", "record")
+    whole = lines.mapInArrow(_records(inside, quote, names, fragments=False), _SCHEMA).select("file", "block", "record")
     if inside:
-        whole = whole.unionByName(_stitched(found.where(F.col("kind") != WHOLE)))
+        whole = whole.unionByName(_stitched(lines.mapInArrow(_records(inside, quote, names, fragments=True), _SCHEMA)))
     # The carriage return of a record's own end is no part of its last value.
     text = F.when(F.endswith("record", F.lit("\r")), F.expr("left(record, length(record) - 1)")).otherwise(F.col("record"))
     return whole.withColumn("record", text).where(F.trim("record") != "")

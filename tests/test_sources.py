@@ -193,6 +193,24 @@ def test_random_csv_in_blocks(spark, tmp_path):
     assert sorted(map(tuple, split.collect())) == sorted((r[0], r[1], int(r[2])) for r in whole.collect())
 
 
+def test_a_task_reads_many_small_blocks(spark, tmp_path, monkeypatch):
+    """Tasks follow the cores and the bytes, not the blocks; a record may span blocks, tasks and Arrow batches."""
+    with open(tmp_path / "order_reviews.csv", "w", encoding="utf-8", newline="") as out:
+        writer = csv.writer(out, lineterminator="\n")
+        writer.writerow(["review_id", "review_comment_message", "review_score"])
+        writer.writerows([f"r{i}", 'a "b",\r\n\n' * (900 if i % 250 == 7 else i % 4), i % 5] for i in range(1500))
+    session = in_blocks(spark, 300)
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    blocks = split_csv._lines(session, str(tmp_path)).select("file", "block").distinct().count()
+    tasks = split_csv._lines(session, str(tmp_path)).rdd.getNumPartitions()
+    assert blocks > 4 * tasks and tasks == split_csv.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    whole = spark.read.options(header=True, multiLine=True, escape='"').csv(str(tmp_path))
+    split = sources.read_csv(session, str(tmp_path))
+    assert sorted(map(tuple, split.collect())) == sorted((r[0], r[1], int(r[2])) for r in whole.collect())
+    monkeypatch.setattr(split_csv, "TASK_BYTES", 1000)
+    assert split_csv._lines(session, str(tmp_path)).rdd.getNumPartitions() > tasks
+
+
 def test_csv_with_other_columns_or_unpaired_marks(spark, tmp_path):
     (tmp_path / "a.csv").write_text("review_id,review_score\nr1,1\n")
     (tmp_path / "b.csv").write_text("review_score,review_id\n1,r1\n")
